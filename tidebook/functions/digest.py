@@ -60,5 +60,5 @@ def state_digest(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     Commutative, so it is combined before the shuffle and no order or layout changes it."""
     values = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in rows.columns if c not in (by or [])]
     row = F.concat_ws("|", *values)
-    lane = lambda salt: (F.sum(F.xxhash64(F.lit(salt), row).cast("decimal(38,0)")) % F.lit(1 << 64).cast("decimal(38,0)")).cast("string")
+    lane = lambda salt: (F.sum(F.xxhash64(F.lit(salt), row).cast("decimal(38,0)")) % F.expr("18446744073709551616BD")).cast("string")
     return rows.groupBy(*(by or [])).agg(lane(1).alias("lane0"), lane(2).alias("lane1"), F.count(F.lit(1)).alias("rows"))

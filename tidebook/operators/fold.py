@@ -9,6 +9,7 @@ the shuffle and everything after the fold is relational again.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 from itertools import groupby
 
 import pyarrow as pa
@@ -30,8 +31,9 @@ def rows_of(batches) -> Iterator[dict]:
 
 def batch_of(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     types = [_ARROW[x.split(" ", 1)[1]] for x in ddl.split(", ")]
-    cols = zip(*rows) if rows else [()] * len(types)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names(ddl))
+    cols = list(zip(*rows)) if rows else [()] * len(types)
+    dec = [[None if v is None else Decimal(v) for v in c] if pa.types.is_decimal(t) else c for c, t in zip(cols, types)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(dec, types)], names=names(ddl))
 
 
 def fold(df: DataFrame, key: str, order: list[str], step: Callable[[object, Iterator[dict]], Iterator[tuple]], out: str, columns: list[str] | None = None) -> DataFrame:
