@@ -124,7 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype("<f4").tobytes()], pa.binary())], names=["w"])
 
     ordered = turns.repartition(1).sortWithinPartitions("epoch", "h", "i", "text").select("y", "text")
-    return np.frombuffer(ordered.mapInArrow(run, "w binary").first()["w"], "<f4")
+    learned = ordered.mapInArrow(run, "w binary").first()  # none if there is no row to learn from
+    return np.frombuffer(learned["w"], "<f4") if learned else np.zeros(1 << BITS, "<f4")
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col="doc_id", text_col="text", keep=()) -> DataFrame:
