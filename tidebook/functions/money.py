@@ -19,7 +19,8 @@ def fee(amount: Column, ppm: Column) -> Column:
 
 def percent(amount: Column, p: int) -> Column:
     """amount/100*p + amount%100*p/100 in whole numbers."""
-    return (F.floor(amount / 100) * p + F.floor((amount % 100) * p / 100)).cast("long")
+    hundred = F.lit(100).cast("long")
+    return F.call_function("div", amount, hundred) * p + F.call_function("div", (amount % 100) * p, hundred)
 
 
 def hold(side: Column, price: Column, qty: Column, lot: Column) -> Column:

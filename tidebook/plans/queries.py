@@ -302,22 +302,22 @@ _ARCHIVE = "SELECT user_id % 4 AS source, event_id AS iseq, row_number() OVER (P
 
 
 def _archive(spark, d):
-    return ordering.archive_index(_events(spark, d).selectExpr("user_id % 4 as source", "event_id as iseq", "0 as ordinal"), 500)
+    return ordering.archive_index(_events(spark, d).selectExpr("user_id % 4 as source", "event_id as iseq", "0 as ordinal"), 100)
 
 
-@register("archive_index_window", f"SELECT source, iseq, idx, idx > max(idx) OVER (PARTITION BY source) - 500 AS retained FROM ({_ARCHIVE})")
+@register("archive_index_window", f"SELECT source, iseq, idx, idx > max(idx) OVER (PARTITION BY source) - 100 AS retained FROM ({_ARCHIVE})")
 def archive_index_window(spark, d):
     return _archive(spark, d).select("source", "iseq", "idx", "retained")
 
 
-@register("stream_read", f"SELECT 'ok' AS status, base, idx FROM (SELECT *, (SELECT count(*) - 499 FROM ({_ARCHIVE}) WHERE source = 1) AS base FROM ({_ARCHIVE}) WHERE source = 1) WHERE idx >= base ORDER BY idx LIMIT 100")
+@register("stream_read", f"SELECT 'ok' AS status, base, idx FROM (SELECT *, (SELECT count(*) - 99 FROM ({_ARCHIVE}) WHERE source = 1) AS base FROM ({_ARCHIVE}) WHERE source = 1) WHERE idx >= base ORDER BY idx LIMIT 50")
 def stream_read(spark, d):
     a = _archive(spark, d)
     base = a.filter("source = 1 and retained").agg(F.min("idx")).first()[0]
-    return ordering.read_stream(a, 1, base, 100)
+    return ordering.read_stream(a, 1, base, 50)
 
 
-@register("stream_truncated", f"SELECT 'truncated' AS status, (SELECT count(*) - 499 FROM ({_ARCHIVE}) WHERE source = 1) AS base, NULL::BIGINT AS idx")
+@register("stream_truncated", f"SELECT 'truncated' AS status, (SELECT count(*) - 99 FROM ({_ARCHIVE}) WHERE source = 1) AS base, NULL::BIGINT AS idx")
 def stream_truncated(spark, d):
     return ordering.read_stream(_archive(spark, d), 1, 1, 100)
 
