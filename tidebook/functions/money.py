@@ -9,12 +9,20 @@ PPM = 1_000_000
 _D = "decimal(38,0)"
 
 
+def product(a: Column, b: Column) -> Column:
+    """a * b of longs as an exact decimal; the decimal product is made only where a long overflows."""
+    return F.coalesce(F.try_multiply(a, b).cast(_D), (a.cast(_D) * b.cast(_D)).cast(_D))
+
+
 def fee(amount: Column, ppm: Column) -> Column:
-    """floor(amount * ppm / 10^6) without a product beyond 38 digits: whole and broken millions apart."""
+    """floor(amount * ppm / 10^6). Amounts whose product fits a long take long arithmetic; above,
+    whole and broken millions are multiplied apart, so no product exceeds 38 digits."""
     a, p = amount.cast(_D), ppm.cast(_D)
     rest = a % PPM
     whole, part = ((a - rest) / PPM).cast(_D), (rest * p).cast(_D)
-    return (whole * p + ((part - part % PPM) / PPM)).cast(_D)
+    exact = (whole * p + ((part - part % PPM) / PPM)).cast(_D)
+    quick = F.call_function("div", amount.cast("long") * ppm.cast("long"), F.lit(PPM).cast("long")).cast(_D)
+    return F.when(amount <= (1 << 63) // PPM - 1, quick).otherwise(exact)
 
 
 def percent(amount: Column, p: int) -> Column:

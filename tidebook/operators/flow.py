@@ -56,7 +56,7 @@ def settle_sides(trades: DataFrame, symbols: DataFrame, default_ppm: int) -> Dat
     fold of ledger.py checks each one.
     """
     t = trades.join(symbols, "symbol")
-    goods, cash = (F.col("lot").cast(_D) * F.col("qty")).cast(_D), (F.col("price").cast(_D) * F.col("qty")).cast(_D)
+    goods, cash = money.product(F.col("lot"), F.col("qty")), money.product(F.col("price"), F.col("qty"))
 
     def leg(who, asset, amount, way, taker):
         fee = money.fee(amount, money.fee_rate(taker, F.col("maker_ppm"), F.col("taker_ppm"), default_ppm)) if way == "in" else F.lit(0).cast(_D)
