@@ -32,6 +32,24 @@ def local_roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         label = new
 
 
+def forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of links x[i]-y[i] that form a spanning forest of 0..n-1: in rounds, every
+    component takes its first link that leaves it."""
+    label, taken, left = np.arange(n), [], np.arange(len(x))
+    while len(left):
+        a, b = label[x[left]], label[y[left]]
+        left, a, b = left[a != b], a[a != b], b[a != b]
+        if not len(left):
+            break
+        first = np.full(n, len(x))
+        np.minimum.at(first, a, left)
+        np.minimum.at(first, b, left)
+        taken.append(np.unique(first[first < len(x)]))
+        got = np.concatenate(taken)
+        label = local_roots(n, x[got], y[got])
+    return np.concatenate(taken) if taken else np.empty(0, np.int64)
+
+
 def _state(edges: DataFrame):
     r = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31)))).first()
     return tuple(r)

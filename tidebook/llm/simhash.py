@@ -3,19 +3,20 @@
 A fingerprint is the bitwise majority over the XXH64 values of a text's word
 shingles. Two fingerprints link if they differ in RADIUS = 3 bits at most.
 
-Candidates: if A and B differ in three bits, at least one of the four 16-bit
-blocks holds one of them; without that block they differ in two bits at most,
-so a variant of A within one bit (half the radius) equals a variant of B within
-one bit. Every distinct fingerprint therefore emits, for each left-out block,
-its remaining 48 bits and their 48 one-bit variants: 196 rows, shuffled on
-(block, variant). No link is missed, and all links are verified on 64 bits.
-
-Equal texts and equal fingerprints are one node, so a bucket holds distinct
-fingerprints only, and its size has a bound whatever the number of copies. In a
-bucket, members that agree on the left-out block differ in two bits at most and
-are linked to one of them; only those stand for the block's value when values
-are compared. Each task sends a spanning set of the links that it verified, not
-the pairs.
+Candidates: of three differing bits, one of the two 32-bit halves holds one at most.
+Every distinct fingerprint therefore emits, for each half, that half and its 32 variants
+within half the radius (one bit): 66 rows, shuffled on (half, variant). A pair meets where
+one side's half, unchanged, equals a variant of the other's. No link is missed, and all
+links are verified on 64 bits.
+
+Equal fingerprints are one node, so a bucket holds distinct fingerprints only. In a bucket,
+members that agree on the other half differ in two bits at most and are linked to one of
+them; only those stand for the other half's value when values are compared. Each task
+sends a spanning forest of the links that it verified, not the pairs.
+
+near_duplicates() links by fingerprints alone. similar_documents() takes these links, from
+several fingerprints over distinct words, as candidates and keeps those whose texts share
+enough word shingles.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, local_roots
+from .components import components, forest
 from .common import stored, table
 
 RADIUS = 3
 SEED = 42
-BLOCKS, WIDTH = 4, 16
+BLOCKS, WIDTH = 2, 32
+#: Variants of a block: itself and each of its bits flipped.
+BALL = 64 - WIDTH + 1
 #: Rows of complete buckets that a task links at a time.
 CHUNK = 1 << 20
 #: Representatives of a bucket that are compared in one step.
@@ -82,7 +85,7 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", size=3) -> D
 
 def link_buckets(block: np.ndarray, variant: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of complete buckets (rows with equal block and variant, fps distinct in each):
-    pairs (member, root) that connect exactly what links of RADIUS bits within buckets connect."""
+    pairs within RADIUS bits that connect exactly what all such pairs within buckets connect."""
     order = np.lexsort((fp, variant, block))
     block, variant, fp = block[order], variant[order], fp[order]
     new = np.r_[True, (block[1:] != block[:-1]) | (variant[1:] != variant[:-1])]
@@ -119,9 +122,9 @@ def link_buckets(block: np.ndarray, variant: np.ndarray, fp: np.ndarray) -> tupl
                 xs.append(r[p + i[far]])
                 ys.append(r[q + j[far]])
     values, at = np.unique(u.view(np.int64), return_inverse=True)
-    root = local_roots(len(values), at[np.concatenate(xs)], at[np.concatenate(ys)])
-    linked = np.flatnonzero(root != np.arange(len(values)))
-    return values[linked], values[root[linked]]
+    x, y = at[np.concatenate(xs)], at[np.concatenate(ys)]
+    kept = forest(len(values), x, y)
+    return values[x[kept]], values[y[kept]]
 
 
 def _link_stream(batches):
@@ -146,7 +149,7 @@ def _link_stream(batches):
 def near_links(fps: DataFrame) -> DataFrame:
     """fps: distinct longs `fp`. Links a, b whose components are those of all pairs within RADIUS bits."""
     keep = (1 << WIDTH) - 1
-    rows = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS * 49 - 1))).alias("i")).selectExpr("fp", "cast(i div 49 as tinyint) as block", "cast(i % 49 as int) as r")
+    rows = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS * BALL - 1))).alias("i")).selectExpr("fp", f"cast(i div {BALL} as tinyint) as block", f"cast(i % {BALL} as int) as r")
     rows = rows.selectExpr(
         "block",
         f"(fp & ~shiftleft({keep}L, {WIDTH} * block)) ^ (case when r = 0 then 0L else shiftleft(1L, case when r - 1 < {WIDTH} * block then r - 1 else r - 1 + {WIDTH} end) end) as variant",
@@ -175,5 +178,105 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", size=3) -
     return rows.join(by_fp, "fp").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Fingerprints of a text in similar_documents(), and odd multipliers that make its word hashes independent.
+VIEWS = 4
+_MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
+_S33 = np.uint64(33)
+
+
+def word_fingerprints(text: str | None, views: int = VIEWS) -> list[int]:
+    """Signed 64-bit SimHashes over the distinct words of `text`, each over hashes of its own."""
+    h, out = np.unique(shingle_hashes(text, 1)), []
+    for v in range(views):
+        g = h + np.uint64(v)
+        for m in _MIX:
+            g = (g ^ (g >> _S33)) * m
+        octets, n = (g ^ (g >> _S33)).view(np.uint8).reshape(-1, 8), len(h)
+        counts = np.zeros(64, np.int64)
+        for at in range(0, n, 65536):
+            counts += np.unpackbits(octets[at : at + 65536], axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def _candidates(texts: DataFrame, fp: str) -> DataFrame:
+    """texts: node, and a fingerprint column. Pairs a, b of nodes to verify: fingerprints within
+    RADIUS bits, by one node of each fingerprint, and the other nodes of a fingerprint with that one."""
+    classes = stored(texts.groupBy(F.col(fp).alias("fp")).agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")), "similar-classes")
+    links = stored(near_links(classes.select("fp")).distinct(), "similar-links")
+    ends = classes.select("fp", "rep")
+    pairs = links.join(ends.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(ends.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    shared = classes.filter("n > 1").select(F.col("fp").alias("f"), "rep")
+    same = texts.select("node", F.col(fp).alias("fp")).join(shared, F.col("fp") == F.col("f")).filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    return pairs.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def similar_documents(docs: DataFrame, id_col="doc_id", text_col="text", size=5, least=0.8, views=VIEWS) -> DataFrame:
+    """One row per row of `docs`: doc_id, component_id (smallest id reachable by links).
+
+    Texts link if their sets of `size`-word shingles have a Jaccard similarity of `least` or
+    more; equal texts always do. Candidates come from SimHash links in any of the views, so a
+    similar pair can be missed where all its fingerprints differ in more than RADIUS bits (the
+    tests measure recall), but no dissimilar pair links. Rows without id are in no group:
+    component_id null. Texts without words link with each other only if they are equal.
+    """
+    fps = [f"fp{v}" for v in range(views)]
+
+    def prints(batches):
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            cols = np.array([word_fingerprints(t, views) for t in texts], np.int64).reshape(-1, views)
+            th = [xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(th, pa.binary()), *[pa.array(np.ascontiguousarray(cols[:, v])) for v in range(views)]], names=["id", "th", *fps])
+
+    def sets(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t, size)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["n", "grams"])
+
+    def similar(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(len(p) > 0 and both >= least * (len(p) + len(q) - both) - 1e-9)
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    printed = stored(rows.mapInArrow(prints, "id long, th binary, " + ", ".join(f"{f} long" for f in fps)), "similar-rows")
+    # one node, the smallest id, for each text
+    texts = stored(printed.filter("id is not null").groupBy("th").agg(F.min("id").alias("node"), *[F.first(f).alias(f) for f in fps]), "similar-texts")
+    found = None
+    for f in fps:
+        part = stored(_candidates(texts, f), "similar-candidates")
+        found = part if found is None else found.unionByName(part)
+    pairs = stored(found.distinct(), "similar-pairs")
+    ends = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).distinct()
+    wanted = stored(ends.join(texts.select(F.col("node"), F.col("th").alias("want")), F.col("n") == F.col("node")).select("n", "want"), "similar-wanted")
+    # ids may repeat: a node's text is the one whose hash made it
+    mine = rows.join(wanted, F.col("id") == F.col("n")).mapInArrow(_text_of, "n long, text string")
+    grams = stored(mine.mapInArrow(sets, "n long, grams binary"), "similar-grams")
+    one = pairs.join(grams.select(F.col("n").alias("a"), F.col("grams").alias("x")), "a")
+    two = one.join(grams.select(F.col("n").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
+    links = two.mapInArrow(similar, "a long, b long")
+    roots = stored(components(links, "similar-components"), "similar-roots")
+    named = stored(texts.select("th", "node").join(roots, "node", "left").select(F.col("th").alias("t"), F.coalesce("root", "node").alias("component_id")), "similar-named")
+    return printed.join(named, F.col("th") == F.col("t"), "left").select(F.col("id").alias("doc_id"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def _text_of(batches):
+    """Rows id, text, n, want: those whose text has the wanted hash, once per node and task."""
+    seen = set()
+    for b in batches:
+        cols = dict(zip(b.schema.names, b.columns))
+        n, text = [], []
+        for i, t, w in zip(cols["n"].to_pylist(), cols["text"].to_pylist(), cols["want"].to_pylist()):
+            if i not in seen and xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) == w:
+                seen.add(i)
+                n.append(i)
+                text.append(t)
+        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(text, pa.string())], names=["n", "text"])
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
