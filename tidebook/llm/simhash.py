@@ -83,9 +83,11 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", size=3) -> D
     return rows.mapInArrow(run, "id long, fp long")
 
 
-def link_buckets(block: np.ndarray, variant: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def link_buckets(block: np.ndarray, variant: np.ndarray, fp: np.ndarray, forests: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Links of complete buckets (rows with equal block and variant, fps distinct in each):
-    pairs within RADIUS bits that connect exactly what all such pairs within buckets connect."""
+    pairs within RADIUS bits that connect exactly what all such pairs within buckets connect.
+    With more forests, that many spanning forests without a common link: other ways between
+    the same nodes, for callers that drop links afterwards."""
     order = np.lexsort((fp, variant, block))
     block, variant, fp = block[order], variant[order], fp[order]
     new = np.r_[True, (block[1:] != block[:-1]) | (variant[1:] != variant[:-1])]
@@ -123,11 +125,15 @@ def link_buckets(block: np.ndarray, variant: np.ndarray, fp: np.ndarray) -> tupl
                 ys.append(r[q + j[far]])
     values, at = np.unique(u.view(np.int64), return_inverse=True)
     x, y = at[np.concatenate(xs)], at[np.concatenate(ys)]
-    kept = forest(len(values), x, y)
-    return values[x[kept]], values[y[kept]]
+    out = []
+    for _ in range(forests):
+        kept = forest(len(values), x, y)
+        out.append((values[x[kept]], values[y[kept]]))
+        x, y = np.delete(x, kept), np.delete(y, kept)
+    return tuple(np.concatenate(z) for z in zip(*out))
 
 
-def _link_stream(batches):
+def _link_stream(batches, forests):
     held = [np.empty(0, np.int64)] * 3
 
     def out(a, b):
@@ -141,13 +147,13 @@ def _link_stream(batches):
             changes = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))
             if len(changes):  # the last bucket may go on in the next batch
                 cut = changes[-1] + 1
-                yield out(*link_buckets(*(x[:cut] for x in held)))
+                yield out(*link_buckets(*(x[:cut] for x in held), forests))
                 held = [x[cut:] for x in held]
-    yield out(*link_buckets(*held))
+    yield out(*link_buckets(*held, forests))
 
 
-def near_links(fps: DataFrame) -> DataFrame:
-    """fps: distinct longs `fp`. Links a, b whose components are those of all pairs within RADIUS bits."""
+def near_links(fps: DataFrame, forests: int = 1) -> DataFrame:
+    """fps: distinct longs `fp`. Links a, b within RADIUS bits whose components are those of all such pairs."""
     keep = (1 << WIDTH) - 1
     rows = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS * BALL - 1))).alias("i")).selectExpr("fp", f"cast(i div {BALL} as tinyint) as block", f"cast(i % {BALL} as int) as r")
     rows = rows.selectExpr(
@@ -156,7 +162,7 @@ def near_links(fps: DataFrame) -> DataFrame:
         "fp",
     )
     dealt = rows.repartition("block", "variant").sortWithinPartitions("block", "variant")
-    return dealt.mapInArrow(_link_stream, "a long, b long")
+    return dealt.mapInArrow(lambda batches: _link_stream(batches, forests), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", size=3) -> DataFrame:
@@ -179,7 +185,9 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", size=3) -
 
 
 #: Fingerprints of a text in similar_documents(), and odd multipliers that make its word hashes independent.
-VIEWS = 4
+VIEWS = 6
+#: Spanning forests of candidate links that a task sends on to be verified.
+FORESTS = 2
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 _S33 = np.uint64(33)
 
@@ -203,7 +211,7 @@ def _candidates(texts: DataFrame, fp: str) -> DataFrame:
     """texts: node, and a fingerprint column. Pairs a, b of nodes to verify: fingerprints within
     RADIUS bits, by one node of each fingerprint, and the other nodes of a fingerprint with that one."""
     classes = stored(texts.groupBy(F.col(fp).alias("fp")).agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")), "similar-classes")
-    links = stored(near_links(classes.select("fp")).distinct(), "similar-links")
+    links = stored(near_links(classes.select("fp"), FORESTS).distinct(), "similar-links")
     ends = classes.select("fp", "rep")
     pairs = links.join(ends.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(ends.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     shared = classes.filter("n > 1").select(F.col("fp").alias("f"), "rep")
