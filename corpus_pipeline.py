@@ -33,9 +33,10 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id. Rows
-    without id name no group and stay; of rows that repeat an id, one stays."""
-    named = simhash.near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_i")).distinct()
+    """One document of each group of near-duplicates, the one with the smallest id: groups by
+    five-word shingles and a similarity of 0.8, candidates by SimHash. Rows without id name no
+    group and stay; of rows that repeat an id, one stays."""
+    named = simhash.similar_documents(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_i")).distinct()
     first = docs.filter("doc_id is not null").join(stored(named, "kept-simhash"), F.col("doc_id") == F.col("_i"), "left_semi")
     return first.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
 
