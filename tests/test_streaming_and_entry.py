@@ -3,8 +3,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from tidebook.operators import matching
+from tidebook import cli
+from tidebook.operators import ledger, matching
+from tidebook.plans import ledger_queries
 from tidebook.schemas import COMMANDS
+from tidebook.sources import partition_map
+from tidebook.streaming.ledger_stream import ledger_stream
 from tidebook.streaming.match_stream import acked_sink, match_stream
 
 from .test_matching import flow, frame
@@ -34,6 +38,41 @@ def test_stream_equals_batch_across_micro_batches_and_restart(spark, tmp_path):
     assert sorted((tuple(r) for r in got.collect()), key=lambda x: x[:3]) == sorted((tuple(r) for r in matching.match(c).collect()), key=lambda x: x[:3])
 
 
+def test_ledger_stream_equals_batch(spark, tmp_path):
+    names = [x.split(" ", 1)[0] for x in ledger.CMDS.split(", ")]
+    rows = [{"shard": n % 2, "lsn": n, "cmd": "deposit", "account": n % 3, "asset": 2, "amount": 100 + n, "external_id": n % 25} if n % 4 < 2 else {"shard": n % 2, "lsn": n, "cmd": "reserve", "account": n % 3, "symbol": 10, "side": "buy", "price": 7, "qty": 1 + n % 5} for n in range(80)]
+    df = ledger_queries.cmds(spark.createDataFrame([tuple(r.get(f) for f in names) for r in rows], ledger.CMDS.replace("decimal(38,0)", "long")))
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for lo in (0, 30):
+        df.filter(f"lsn >= {lo} and lsn < {lo + 50}").coalesce(1).write.mode("append").parquet(src)  # 30 to 49 arrive twice
+    q = ledger_stream(spark.readStream.schema(ledger.CMDS).option("maxFilesPerTrigger", 1).parquet(src), ledger_queries.SYMBOLS).writeStream.option("checkpointLocation", str(tmp_path / "ck")).foreachBatch(acked_sink(out)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    cols = ["shard", "lsn", "outcome", "reject", "order_id", "outbox_idx"]
+    want = ledger.run_ledger(df, ledger_queries.SYMBOLS, 0, False).select(*cols)
+    assert sorted(map(repr, spark.read.parquet(out).select(*cols).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_partition_table_file(spark, tmp_path):
+    f = tmp_path / "t.map.jsonl"
+    f.write_text('{"format":"x-partition-map/1","partitions":4}\n{"symbol":5,"partition":3}\n\n{"symbol":9,"partition":0}\n')
+    assert sorted(map(tuple, partition_map.read(spark, str(f), 4).collect())) == [(5, 3), (9, 0)]
+    with pytest.raises(ValueError):
+        partition_map.read(spark, str(f), 5)
+    f.write_text('{"format":"x-partition-map/1","partitions":4}\n{"symbol":5,"partition":4}\n')
+    with pytest.raises(ValueError):
+        partition_map.read(spark, str(f), 4)
+
+
+def test_cli_runs_a_command_file(spark, tmp_path, capsys):
+    f = tmp_path / "a.cmd.jsonl"
+    new = '{"cmd":"new","order_id":%d,"side":"%s","otype":"limit","price":5,"qty":2,"tif":"gtc"}'
+    f.write_text("\n".join(['{"format":"x","pmin":0,"pmax":9}', new % (1, "bid"), "", new % (2, "ask")]) + "\n")
+    assert cli.main(["run", str(f)]) == 0
+    assert capsys.readouterr().out.splitlines()[1] == '{"seq":2,"ev":"trade","maker":1,"taker":2,"price":5,"qty":2}'
+    f.write_text('{"format":"x"}\nnonsense\n')
+    assert cli.main(["run", str(f)]) == 2
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import digest
-from ..operators import audit, flow, ledger, matching, slices
+from ..functions import digest, metrics
+from ..operators import audit, endpoints, flow, ledger, matching, replication, slices
 from ..sources import adapters as A
 from .queries import _events, register
 
@@ -239,3 +239,100 @@ def thinned_spans(spark, d):
 def trim_points(spark, d):
     c = _events(spark, d).groupBy((F.col("user_id") % 3).alias("shard"), (F.col("user_id") % 5).alias("grp")).agg(F.max("event_id").alias("cursor"))
     return flow.trim_point(c)
+
+
+# --- read endpoints, metrics and replicated-log invariants ---
+
+def _session(spark, d):
+    return ledger.run_ledger(exchange_cmds(spark, d), SYMBOLS, DEFAULT_PPM)
+
+
+_RESERVES = "SELECT user_id % 3 AS shard, event_id, event_type, 1 + event_id % 7 AS qty, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS n FROM events WHERE event_type IN ('click', 'view')"
+
+
+@register("endpoint_state", f"SELECT count(*) + 2 * (SELECT count(DISTINCT user_id) FROM events WHERE event_type IN ('click', 'view') AND user_id % 3 = 1) AS applied, 0::BIGINT AS clock, 0::BIGINT AS outbox_base, count(*) AS outbox_next, count(*) AS open_orders, 0::BIGINT AS anomalies, 0::BIGINT AS mark_0 FROM ({_RESERVES}) WHERE shard = 1")
+def endpoint_state(spark, d):
+    return endpoints.state(_session(spark, d), 1, [0])
+
+
+@register("endpoint_outbox", f"SELECT n - 1 AS outbox_idx, 'submit' AS name, (CAST(1 AS BIGINT) << 48) + n AS order_id, 10::BIGINT AS symbol, CASE event_type WHEN 'click' THEN 'buy' ELSE 'sell' END AS side, 100::BIGINT AS price, qty FROM ({_RESERVES}) WHERE shard = 1 AND n > 20 ORDER BY n LIMIT 50")
+def endpoint_outbox(spark, d):
+    return endpoints.outbox_page(_session(spark, d), 1, 20, 50)
+
+
+@register("endpoint_balance", f"SELECT 1000000000000 - CAST(sum(CASE WHEN event_type = 'click' THEN 100 * qty ELSE 0 END) AS BIGINT) AS available, CAST(sum(CASE WHEN event_type = 'click' THEN 100 * qty ELSE 0 END) AS BIGINT) AS held FROM (SELECT *, 1 + event_id % 7 AS qty FROM events WHERE user_id = 7 AND event_type IN ('click', 'view'))")
+def endpoint_balance(spark, d):
+    return endpoints.balance(_session(spark, d), 7, 2)
+
+
+@register("endpoint_order", f"SELECT TRUE AS found, (SELECT user_id FROM events e WHERE e.event_id = r.event_id) AS account, 10::BIGINT AS symbol, CASE event_type WHEN 'click' THEN 'buy' ELSE 'sell' END AS side, 100::BIGINT AS price, qty, CAST(CASE event_type WHEN 'click' THEN 100 ELSE 1000 END * qty AS BIGINT) AS held, FALSE AS cancelling FROM ({_RESERVES}) r WHERE shard = 1 AND n = 5")
+def endpoint_order(spark, d):
+    return endpoints.order(_session(spark, d), (1 << 48) + 5).withColumn("held", F.col("held").cast("long"))
+
+
+@register("endpoint_cursors", "SELECT user_id % 5 AS grp, user_id % 3 AS shard, max(event_id) + 1 AS cursor FROM events GROUP BY ALL")
+def endpoint_cursors(spark, d):
+    return endpoints.cursors(_events(spark, d).selectExpr("user_id % 5 as grp", "user_id % 3 as shard", "event_id as idx"))
+
+
+@register("endpoint_request", "SELECT 'ok' AS status, max(event_id) AS result FROM events WHERE user_id = 3")
+def endpoint_request(spark, d):
+    r = _events(spark, d).selectExpr("user_id as client", "event_id as seq", "event_id as result")
+    last = r.filter("client = 3").agg(F.max("seq")).first()[0]
+    return endpoints.request_result(r, 3, last)
+
+
+@register("metrics_by_partition", "SELECT user_id % 4 AS partition, count(*) AS events, count(DISTINCT event_id // 2) AS commands, count(*) FILTER (event_type = 'purchase') AS trades FROM events GROUP BY ALL")
+def metrics_by_partition(spark, d):
+    e = _events(spark, d).selectExpr("user_id % 4 as partition", "event_id div 2 as iseq", "if(event_type = 'purchase', 'trade', 'accepted') as ev")
+    return metrics.by_partition(e)
+
+
+@register("metrics_text", """SELECT 'events' AS name, p AS partition, 'stream_events_total{partition="' || p || '"} ' || n AS line FROM (SELECT user_id % 4 AS p, count(*) AS n FROM events GROUP BY 1)""")
+def metrics_text(spark, d):
+    e = _events(spark, d).selectExpr("user_id % 4 as partition", "event_id as iseq", "'accepted' as ev")
+    return metrics.prometheus(metrics.by_partition(e)).filter("name = 'events'")
+
+
+@register("metrics_latency", "SELECT user_id % 4 AS partition, count(*) AS events, count(*) AS commands, 0::BIGINT AS trades, CAST(sum(event_id * 7 % 100) AS BIGINT) AS latency_sum, max(event_id * 7 % 100) AS latency_max FROM events GROUP BY ALL")
+def metrics_latency(spark, d):
+    e = _events(spark, d).selectExpr("user_id % 4 as partition", "event_id as iseq", "0 as ordinal", "'accepted' as ev", "event_id * 1000 + event_id * 7 % 100 as t_evt")
+    return metrics.by_partition(e, _events(spark, d).selectExpr("event_id as iseq", "event_id * 1000 as t_pub"))
+
+
+@register("replication_votes", "SELECT 'votes' AS rule, user_id || '/' || term AS key FROM (SELECT event_id // 50 AS term, user_id, event_type FROM events WHERE event_id % 3 > 0) GROUP BY term, user_id HAVING count(DISTINCT event_type) > 1")
+def replication_votes(spark, d):
+    v = _events(spark, d).selectExpr("event_id div 50 as term", "user_id as voter", "event_type as candidate", "event_id % 3 > 0 as granted")
+    return replication.one_vote(v)
+
+
+@register("replication_leaders", "SELECT 'leaders' AS rule, CAST(event_id // 5 AS VARCHAR) AS key FROM events WHERE event_type = 'purchase' GROUP BY event_id // 5 HAVING count(DISTINCT user_id % 3) > 1")
+def replication_leaders(spark, d):
+    return replication.one_leader(_events(spark, d).filter("event_type = 'purchase'").selectExpr("event_id div 5 as term", "user_id % 3 as node"))
+
+
+@register("replication_commit", "SELECT term, matched AS committed FROM (SELECT event_id // 5 AS term, event_id * 7919 % 1000 AS matched, event_id // 5 - event_id % 2 AS mt, row_number() OVER (PARTITION BY event_id // 5 ORDER BY event_id * 7919 % 1000 DESC, event_id % 5) AS r FROM events) WHERE r = 3 AND mt = term")
+def replication_commit(spark, d):
+    m = _events(spark, d).selectExpr("event_id div 5 as term", "event_id % 5 as node", "event_id * 7919 % 1000 as matched", "event_id div 5 - event_id % 2 as matched_term")
+    return replication.commit_index(m, 3)
+
+
+@register("replication_apply_order", "SELECT 'applied order' AS rule, node || '/' || life || '/' || place AS key FROM (SELECT *, lag(idx) OVER (PARTITION BY node, life ORDER BY place) AS b FROM (SELECT user_id % 3 AS node, user_id % 2 AS life, row_number() OVER (PARTITION BY user_id % 3, user_id % 2 ORDER BY event_id) AS place, row_number() OVER (PARTITION BY user_id % 3, user_id % 2 ORDER BY event_id) + event_id // 900 AS idx FROM events)) WHERE idx <> b + 1")
+def replication_apply_order(spark, d):
+    w = Window.partitionBy(F.expr("user_id % 3"), F.expr("user_id % 2")).orderBy("event_id")
+    a = _events(spark, d).select(F.expr("user_id % 3").alias("node"), F.expr("user_id % 2").alias("life"), F.row_number().over(w).cast("long").alias("place"), (F.row_number().over(w) + F.expr("event_id div 900")).alias("idx"))
+    return replication.applied_in_order(a)
+
+
+@register("replication_log_matching", "WITH l AS (SELECT range % 3 AS node, range // 3 AS idx, CASE WHEN range = 61 THEN 'bad' ELSE 'p' END AS p FROM range(90)) SELECT 'log matching' AS rule, idx || '/1' AS key FROM l WHERE idx >= 20 GROUP BY idx")
+def replication_log_matching(spark, d):
+    logs = spark.range(90).selectExpr("id % 3 as node", "id div 3 as idx", "1L as term", "if(id = 61, 'bad', 'p') as payload")
+    return replication.log_matching(logs)
+
+
+@register("replication_completeness", "SELECT 'leader completeness' AS rule, '4' AS key")
+def replication_completeness(spark, d):
+    """Leaders of terms 2 to 4 over ten committed entries of terms 1 to 3; the last one lacks an entry."""
+    committed = spark.range(10).selectExpr("id as idx", "1 + id % 3 as term")
+    logs = spark.range(30).selectExpr("2 + id div 10 as led_term", "id % 10 as idx", "1 + id % 10 % 3 as term").filter("not (led_term = 4 and idx = 2)")
+    return replication.leader_completeness(committed, logs)
