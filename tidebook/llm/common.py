@@ -7,13 +7,13 @@ the columns that its docstring names.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import shared_dir, stored  # noqa: F401  stored is used by the operators
+
 #: Java and RE2 class of the six ASCII blanks that separate words.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -22,31 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the
-    session; where that is unset (tests on one machine) a folder of its own."""
-    set_ = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (set_ or os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
-
-
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidebook/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """`df` written once to the shared folder and read back. Cuts the lineage,
-    survives lost executors, and keeps a costly column from being computed by
-    each of its readers. The folder can be emptied when the job has ended."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def words_of(text):
     """Column: the words of `text` (null: none)."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
