@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from tidebook.llm import packing, quality_classifier, quality_rules, secret_scans, simhash
 from tidebook.llm.common import stored, table
 
+#: The columns of documents; stages take and return these, whatever else a table has.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. Verdicts are joined by id and text hash, so
     rows that share an id are judged on their own texts; null ids join as equal."""
+    docs = docs.select(*COLUMNS)
     keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("k"), "text", "lang", "source")
     kept = quality_rules.quality_rules(keyed, id_col="k").filter("kept").select(F.col("doc_id.doc_id").alias("_i"), F.col("doc_id.h").alias("_h")).distinct()
     return docs.join(stored(kept, "kept-rules"), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64("text") == F.col("_h")), "left_semi").select(*COLUMNS)
@@ -27,6 +29,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of 0.3 or more; the score is made beside the row, without
     a join. Training reads labelled rows of the whole table: most bad examples are gone from docs."""
+    docs = docs.select(*COLUMNS)
     weights = quality_classifier.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     scored = quality_classifier.score(docs, weights, keep=("text", "lang", "source", "n_chars"))
     return scored.filter("score >= 0.3").withColumnRenamed("id", "doc_id").select(*COLUMNS)
@@ -36,6 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id: groups by
     five-word shingles and a similarity of 0.8, candidates by SimHash. Rows without id name no
     group and stay; of rows that repeat an id, one stays."""
+    docs = docs.select(*COLUMNS)
     named = simhash.similar_documents(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_i")).distinct()
     first = docs.filter("doc_id is not null").join(stored(named, "kept-simhash"), F.col("doc_id") == F.col("_i"), "left_semi")
     return first.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
@@ -43,12 +47,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret found replaced by a mark; n_chars follows the text."""
+    docs = docs.select(*COLUMNS)
     clean = secret_scans.redacted(docs)
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences; see packing.pack_documents()."""
+    docs = docs.select(*COLUMNS)
     import public_tokenizers as P
 
     return packing.pack_documents(docs, P.path("word_bpe_49k.json"))
