@@ -94,7 +94,7 @@ def test_run_is_the_stages_in_turn(spark, corpus):
 
 def test_stages_take_awkward_and_empty_tables(spark, corpus):
     d, _ = corpus
-    base = documents(spark, awkward()).select(*cp.COLUMNS)
+    base = documents(spark, awkward()).selectExpr("*", "id as _i", "key as _id", "w as _spans", "th as _h", "fp as score")
     for docs in (base, base.limit(0)):
         n = docs.count()
         for name, stage in cp.STAGES:

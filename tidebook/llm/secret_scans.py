@@ -135,21 +135,21 @@ def redacted(docs: DataFrame, id_col="doc_id", text_col="text", mark="[secret]",
 
     Overlapping spans are replaced as one. Rows without spans, and null texts, stay as they are."""
     spans = stored(_scan(docs, id_col, text_col, scope).filter("spans <> ''").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans")).distinct(), "secret-redactions")
-    rows = docs.join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_th")), "left")
+    rows = docs.join(spans, docs[id_col].eqNullSafe(spans["_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == spans["_th"]), "left")
     # spans by start; a span's cut begins where the spans before it have ended
-    pairs = F.transform(F.split("_spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), F.split(s, ":")[2].cast("int").alias("b")))
+    pairs = F.transform(F.split(spans["_spans"], ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), F.split(s, ":")[2].cast("int").alias("b")))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
-        t = F.col(text_col)
+        t = docs[text_col]
         fresh = s["a"] >= acc["at"]
         return F.struct(
             F.greatest(acc["at"], s["b"]).alias("at"),
             F.when(fresh, F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["a"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
         )
 
-    cut = F.aggregate(pairs, zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))))
-    return rows.select(*[(F.when(F.col("_spans").isNull(), F.col(c)).otherwise(cut).alias(c) if c == text_col else docs[c]) for c in docs.columns])
+    cut = F.aggregate(pairs, zero, step, lambda acc: F.concat(acc["out"], F.substring(docs[text_col], acc["at"] + 1, F.length(docs[text_col]))))
+    return rows.select(*[(F.when(spans["_spans"].isNull(), docs[c]).otherwise(cut).alias(c) if c == text_col else docs[c]) for c in docs.columns])
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
