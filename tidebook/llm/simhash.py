@@ -185,9 +185,9 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", size=3) -
 
 
 #: Fingerprints of a text in similar_documents(), and odd multipliers that make its word hashes independent.
-VIEWS = 6
+VIEWS = 2
 #: Spanning forests of candidate links that a task sends on to be verified.
-FORESTS = 2
+FORESTS = 1
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 _S33 = np.uint64(33)
 
