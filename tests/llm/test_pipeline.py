@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as cp
@@ -49,6 +50,33 @@ def test_similar_documents_links_only_similar_texts_and_most_of_them(spark):
     assert simhash.similar_documents(documents(spark, [])).count() == 0
 
 
+def test_similar_texts_are_found_behind_a_dissimilar_one_with_their_fingerprints(spark):
+    rows = []
+    for k in range(8):  # a reordered text has the fingerprints of its words, but none of their shingles
+        w = [f"w{k}x{i}" for i in range(200)]
+        mixed = w[:]
+        random.Random(k).shuffle(mixed)
+        rows += [(10 * k + i, " ".join(x), "en", "s", 0) for i, x in enumerate((mixed, w, w[5:] + w[:5]))]
+    assert len({tuple(simhash.word_fingerprints(r[1])) for r in rows}) == 8
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(spark, rows)).collect()}
+    assert got == {i: i - (i % 10 == 2) for i, *_ in rows}
+
+
+def test_pairs_between_groups_of_a_bucket_are_all_drawn():
+    r = np.random.default_rng(5)
+    bucket, n = np.repeat(np.arange(40), [*range(2, 40), 70, 2100]), 0
+    node, group = r.permutation(len(bucket)), r.integers(0, 3, len(bucket))
+    size = r.integers(70, 130, len(bucket))
+    got = [x for a, b in simhash.crossing(bucket, node, size, group, 0.8) for x in zip(a.tolist(), b.tolist())]
+    for b in range(40):
+        i = np.flatnonzero(bucket == b)
+        low, high = np.minimum(size[i, None], size[None, i]), np.maximum(size[i, None], size[None, i])
+        n += int(np.triu((group[i, None] != group[None, i]) & (5 * low >= 4 * high), 1).sum())
+    assert len(got) == len({(min(x), max(x)) for x in got}) == n
+    some = {x for k in (1, 2) for a, b in simhash.crossing(bucket, node, size, group, 0.8, k) for x in zip(a.tolist(), b.tolist())}
+    assert some and {(min(x), max(x)) for x in some} <= {(min(x), max(x)) for x in got}
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
     rows = [(i, prose(i, 150), "en", "s", 0) for i in range(120)] + [(200 + i, prose(i, 90).upper().replace(" ", "!! "), "en", "s", 0) for i in range(60)]

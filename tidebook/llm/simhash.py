@@ -16,7 +16,9 @@ sends a spanning forest of the links that it verified, not the pairs.
 
 near_duplicates() links by fingerprints alone. similar_documents() takes these links, from
 several fingerprints over distinct words, as candidates and keeps those whose texts share
-enough word shingles.
+enough word shingles. Pairs that fingerprints miss, or that a forest of unverified links has
+passed over, meet in buckets of MinHash bands, where every pair of texts that aren't in one
+group yet is verified.
 """
 
 from __future__ import annotations
@@ -192,6 +194,14 @@ _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 _S33 = np.uint64(33)
 
 
+#: MinHash bands of a text, and minima in each. Texts of similarity s share no bucket with a
+#: chance of (1 - s ** BAND_ROWS) ** BANDS: 5e-6 at 0.8, 5e-14 at 0.9.
+BANDS, BAND_ROWS = 40, 6
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64)
+#: Pivot rounds at most, and pairs left per bucket row up to which all are verified at once.
+PIVOTS, FEW = 3, 4
+
+
 def word_fingerprints(text: str | None, views: int = VIEWS) -> list[int]:
     """Signed 64-bit SimHashes over the distinct words of `text`, each over hashes of its own."""
     h, out = np.unique(shingle_hashes(text, 1)), []
@@ -207,6 +217,81 @@ def word_fingerprints(text: str | None, views: int = VIEWS) -> list[int]:
     return out
 
 
+def bands(grams: np.ndarray) -> np.ndarray:
+    """Bucket (long) of each MinHash band of a set of shingle hashes; none for an empty set."""
+    if not len(grams):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(grams), 256):
+        np.minimum(least, ((grams[None, at : at + 256] ^ _DRAWN[0]) * (_DRAWN[1] | np.uint64(1))).min(axis=1), out=least)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        out = (out ^ column) * _MIX[0]
+        out = (out ^ (out >> _S33)) * _MIX[1]
+    return (out ^ (out >> _S33)).view(np.int64)
+
+
+def _whole(batches):
+    """Columns of rows sorted by the first one, cut only where it changes."""
+    held = None
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+        changes = np.flatnonzero(held[0][1:] != held[0][:-1]) if len(held[0]) >= CHUNK else ()
+        if len(changes):
+            cut = changes[-1] + 1
+            yield [x[:cut] for x in held]
+            held = [x[cut:] for x in held]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def _runs(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin of each run of equal values, and the run of each row."""
+    new = np.r_[True, bucket[1:] != bucket[:-1]]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _shared(batches):
+    """Rows bucket, node, size, sorted: those of buckets with several nodes, and the bucket's first node."""
+    for bucket, node, size in _whole(batches):
+        begins, run = _runs(bucket)
+        many = np.bincount(run)[run] > 1
+        yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (bucket, node, size, node[begins][run])], names=["bucket", "node", "size", "first"])
+
+
+def crossing(bucket, node, size, group, least: float, pivot: int | None = None):
+    """Pairs of nodes of complete buckets that are in different groups and can be similar by
+    their sizes, in parts; with `pivot`, those of one node of each bucket only, another for
+    another value."""
+    begins, run = _runs(bucket)
+    sizes = np.bincount(run)
+
+    def fit(i, j):
+        ok = (group[i] != group[j]) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9)
+        return node[i[ok]], node[j[ok]]
+
+    if pivot is not None:
+        drawn = (bucket[begins].view(np.uint64) ^ np.uint64(pivot)) * _MIX[0]
+        yield fit((begins + ((drawn ^ (drawn >> _S33)) % sizes.astype(np.uint64)).astype(np.int64))[run], np.arange(len(node)))
+        return
+    small = sizes[run] <= 64
+    for d in range(1, int(sizes[sizes <= 64].max(initial=1))):
+        i = np.flatnonzero(small[:-d] & (run[:-d] == run[d:]))
+        yield fit(i, i + d)
+    for s, k in zip(begins[sizes > 64], sizes[sizes > 64]):
+        for p in range(0, k, STEP):
+            for q in range(p, k, STEP):
+                i, j = (x.ravel() for x in np.meshgrid(np.arange(p, min(p + STEP, k)), np.arange(q, min(q + STEP, k)), indexing="ij"))
+                yield fit(s + i[i < j], s + j[i < j])
+
+
+def _crossing_stream(batches, least, pivot):
+    for cols in _whole(batches):
+        for x, y in crossing(*cols, least, pivot):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+
 def _candidates(texts: DataFrame, fp: str) -> DataFrame:
     """texts: node, and a fingerprint column. Pairs a, b of nodes to verify: fingerprints within
     RADIUS bits, by one node of each fingerprint, and the other nodes of a fingerprint with that one."""
@@ -223,10 +308,12 @@ def similar_documents(docs: DataFrame, id_col="doc_id", text_col="text", size=5,
     """One row per row of `docs`: doc_id, component_id (smallest id reachable by links).
 
     Texts link if their sets of `size`-word shingles have a Jaccard similarity of `least` or
-    more; equal texts always do. Candidates come from SimHash links in any of the views, so a
-    similar pair can be missed where all its fingerprints differ in more than RADIUS bits (the
-    tests measure recall), but no dissimilar pair links. Rows without id are in no group:
-    component_id null. Texts without words link with each other only if they are equal.
+    more; equal texts always do. Candidates are SimHash links in any of the views and pairs
+    that share a bucket of a MinHash band. After a first round (forest links, each bucket's
+    first node with the others), every pair in a bucket whose texts are still in different
+    groups is verified. So a similar pair can be missed only if it shares no bucket (see
+    BANDS), and no dissimilar pair links. Rows without id are in no group: component_id null.
+    Texts without words link with each other only if they are equal.
     """
     fps = [f"fp{v}" for v in range(views)]
 
@@ -235,7 +322,16 @@ def similar_documents(docs: DataFrame, id_col="doc_id", text_col="text", size=5,
             texts = b.column(1).to_pylist()
             cols = np.array([word_fingerprints(t, views) for t in texts], np.int64).reshape(-1, views)
             th = [xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(th, pa.binary()), *[pa.array(np.ascontiguousarray(cols[:, v])) for v in range(views)]], names=["id", "th", *fps])
+            grams = [np.unique(shingle_hashes(t, size)) for t in texts]
+            more = [pa.array([bands(g).tobytes() for g in grams], pa.binary()), pa.array([len(g) for g in grams], pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(th, pa.binary()), *[pa.array(np.ascontiguousarray(cols[:, v])) for v in range(views)], *more], names=["id", "th", *fps, "bands", "size"])
+
+    def banded(batches):
+        for b in batches:
+            per = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            n = [len(x) for x in per]
+            out = [np.concatenate([np.empty(0, np.int64), *per]), *(np.repeat(b.column(k).to_numpy(), n) for k in (0, 2))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["bucket", "node", "size"])
 
     def sets(batches):
         for b in batches:
@@ -251,23 +347,40 @@ def similar_documents(docs: DataFrame, id_col="doc_id", text_col="text", size=5,
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    printed = stored(rows.mapInArrow(prints, "id long, th binary, " + ", ".join(f"{f} long" for f in fps)), "similar-rows")
+    printed = stored(rows.mapInArrow(prints, "id long, th binary, " + ", ".join(f"{f} long" for f in fps) + ", bands binary, size long"), "similar-rows")
     # one node, the smallest id, for each text
-    texts = stored(printed.filter("id is not null").groupBy("th").agg(F.min("id").alias("node"), *[F.first(f).alias(f) for f in fps]), "similar-texts")
-    found = None
+    texts = stored(printed.filter("id is not null").groupBy("th").agg(F.min("id").alias("node"), *[F.first(f).alias(f) for f in (*fps, "bands", "size")]), "similar-texts")
+    dealt = texts.select("node", "bands", "size").mapInArrow(banded, "bucket long, node long, size long").repartition("bucket").sortWithinPartitions("bucket", "node")
+    buckets = stored(dealt.mapInArrow(_shared, "bucket long, node long, size long, first long"), "similar-buckets")
+    found = buckets.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     for f in fps:
-        part = stored(_candidates(texts, f), "similar-candidates")
-        found = part if found is None else found.unionByName(part)
+        found = found.unionByName(stored(_candidates(texts, f), "similar-candidates"))
     pairs = stored(found.distinct(), "similar-pairs")
+    # the nodes of all buckets are among the ends of these pairs
     ends = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).distinct()
     wanted = stored(ends.join(texts.select(F.col("node"), F.col("th").alias("want")), F.col("n") == F.col("node")).select("n", "want"), "similar-wanted")
     # ids may repeat: a node's text is the one whose hash made it
     mine = rows.join(wanted, F.col("id") == F.col("n")).mapInArrow(_text_of, "n long, text string")
     grams = stored(mine.mapInArrow(sets, "n long, grams binary"), "similar-grams")
-    one = pairs.join(grams.select(F.col("n").alias("a"), F.col("grams").alias("x")), "a")
-    two = one.join(grams.select(F.col("n").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
-    links = two.mapInArrow(similar, "a long, b long")
+
+    def verified(pairs):
+        one = pairs.join(grams.select(F.col("n").alias("a"), F.col("grams").alias("x")), "a")
+        two = one.join(grams.select(F.col("n").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
+        return stored(two.mapInArrow(similar, "a long, b long"), "similar-links")
+
+    links, pivot = verified(pairs), 0
     roots = stored(components(links, "similar-components"), "similar-roots")
+    while pivot is not None:
+        grouped = stored(buckets.join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("group")), "similar-grouped")
+        shares = grouped.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.sum("k").alias("n"), F.sum(F.expr("k * k")).alias("own"))
+        n, left = shares.filter("own < n * n").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr("cast(n * n - own as double)")), F.lit(0.0)) / 2).first()
+        if not left:
+            break
+        # many pairs: a node of each bucket first, which joins most of what belongs together; then all pairs left
+        pivot = pivot + 1 if left > FEW * n and pivot < PIVOTS else None
+        drawn = grouped.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(lambda batches, pivot=pivot: _crossing_stream(batches, least, pivot), "a long, b long")
+        links = links.unionByName(verified(stored(drawn.distinct(), "similar-pairs")))
+        roots = stored(components(links, "similar-components"), "similar-roots")
     named = stored(texts.select("th", "node").join(roots, "node", "left").select(F.col("th").alias("t"), F.coalesce("root", "node").alias("component_id")), "similar-named")
     return printed.join(named, F.col("th") == F.col("t"), "left").select(F.col("id").alias("doc_id"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
