@@ -62,6 +62,22 @@ def test_similar_texts_are_found_behind_a_dissimilar_one_with_their_fingerprints
     assert got == {i: i - (i % 10 == 2) for i, *_ in rows}
 
 
+def test_pairs_of_similarity_80_to_90_are_found(spark):
+    r, rows, near, dice = random.Random(11), [], 0, [1 / (i + 1) for i in range(5000)]
+    for k in range(300):
+        w = [f"z{x}" for x in r.choices(range(5000), dice, k=200)]
+        v = w[:]
+        for p in r.sample(range(5, 195), 3 + k % 3):
+            v[p] = f"z{r.choices(range(5000), dice)[0]}"
+        a, b = shingles(" ".join(w)), shingles(" ".join(v))
+        if 0.8 * len(a | b) <= len(a & b) <= 0.9 * len(a | b):
+            rows += [(2 * k, " ".join(w), "en", "s", 0), (2 * k + 1, " ".join(v), "en", "s", 0)]
+            near += 1
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(documents(spark, rows)).collect()}
+    found = sum(got[i] == i - 1 for i in got if i % 2)
+    assert near > 200 and found == near, (found, near)
+
+
 def test_pairs_between_groups_of_a_bucket_are_all_drawn():
     r = np.random.default_rng(5)
     bucket, n = np.repeat(np.arange(40), [*range(2, 40), 70, 2100]), 0
