@@ -37,12 +37,14 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id: groups by
-    five-word shingles and a similarity of 0.8, candidates by SimHash. Rows without id name no
-    group and stay; of rows that repeat an id, one stays."""
+    five-word shingles and a similarity of 0.8, candidates by SimHash and MinHash bands. Verdicts
+    are joined by id and text hash: of rows equal in both, one stays, and rows that share an id
+    only are judged on their own texts. Rows without id name no group and stay."""
     docs = docs.select(*COLUMNS)
-    named = simhash.similar_documents(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_i")).distinct()
-    first = docs.filter("doc_id is not null").join(stored(named, "kept-simhash"), F.col("doc_id") == F.col("_i"), "left_semi")
-    return first.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
+    heads = simhash.similar_documents(docs).filter("head").select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct()
+    keyed = docs.filter("doc_id is not null").withColumn("_k", F.xxhash64("text"))
+    first = keyed.join(stored(heads, "kept-simhash"), (F.col("doc_id") == F.col("_i")) & (F.col("_k") == F.col("_h")), "left_semi")
+    return first.dropDuplicates(["doc_id", "_k"]).select(*COLUMNS).unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

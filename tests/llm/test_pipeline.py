@@ -93,6 +93,13 @@ def test_pairs_between_groups_of_a_bucket_are_all_drawn():
     assert some and {(min(x), max(x)) for x in some} <= {(min(x), max(x)) for x in got}
 
 
+def test_rows_that_share_an_id_are_judged_on_their_own_texts(spark):
+    a, b, c, d = (prose(700 + i, 80) for i in range(4))
+    rows = [(5, a), (5, b), (5, b), (7, b), (3, c), (6, c), (6, d), (None, a)]  # 5: two clean texts; 6: a copy of 3 and a clean one
+    out = cp.near_dedup(spark, documents(spark, [(i, t, "en", "s", 0) for i, t in rows]), "")
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(5, a), (5, b), (3, c), (6, d), (None, a)], key=str)
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
     rows = [(i, prose(i, 150), "en", "s", 0) for i in range(120)] + [(200 + i, prose(i, 90).upper().replace(" ", "!! "), "en", "s", 0) for i in range(60)]

@@ -305,15 +305,18 @@ def _candidates(texts: DataFrame, fp: str) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, id_col="doc_id", text_col="text", size=5, least=0.8, views=VIEWS) -> DataFrame:
-    """One row per row of `docs`: doc_id, component_id (smallest id reachable by links).
+    """One row per row of `docs`: doc_id, text_hash (xxhash64 of the text), component_id (smallest
+    id reachable by links), head (the row has that id and, of its texts, the one that stands
+    for the group).
 
     Texts link if their sets of `size`-word shingles have a Jaccard similarity of `least` or
     more; equal texts always do. Candidates are SimHash links in any of the views and pairs
     that share a bucket of a MinHash band. After a first round (forest links, each bucket's
     first node with the others), every pair in a bucket whose texts are still in different
     groups is verified. So a similar pair can be missed only if it shares no bucket (see
-    BANDS), and no dissimilar pair links. Rows without id are in no group: component_id null.
-    Texts without words link with each other only if they are equal.
+    BANDS), and no dissimilar pair links. Texts are told apart by 64 bits of their hash, so rows
+    that share an id are grouped by their own texts. Rows without id are in no group:
+    component_id null, head false. Texts without words link only if they are equal.
     """
     fps = [f"fp{v}" for v in range(views)]
 
@@ -324,7 +327,7 @@ def similar_documents(docs: DataFrame, id_col="doc_id", text_col="text", size=5,
             th = [xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
             grams = [np.unique(shingle_hashes(t, size)) for t in texts]
             more = [pa.array([bands(g).tobytes() for g in grams], pa.binary()), pa.array([len(g) for g in grams], pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(th, pa.binary()), *[pa.array(np.ascontiguousarray(cols[:, v])) for v in range(views)], *more], names=["id", "th", *fps, "bands", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(th, pa.binary()), *[pa.array(np.ascontiguousarray(cols[:, v])) for v in range(views)], *more], names=["id", "h", "th", *fps, "bands", "size"])
 
     def banded(batches):
         for b in batches:
@@ -347,9 +350,11 @@ def similar_documents(docs: DataFrame, id_col="doc_id", text_col="text", size=5,
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    printed = stored(rows.mapInArrow(prints, "id long, th binary, " + ", ".join(f"{f} long" for f in fps) + ", bands binary, size long"), "similar-rows")
-    # one node, the smallest id, for each text
-    texts = stored(printed.filter("id is not null").groupBy("th").agg(F.min("id").alias("node"), *[F.first(f).alias(f) for f in (*fps, "bands", "size")]), "similar-texts")
+    hashed = rows.select("id", "text", F.xxhash64("text").alias("h"))
+    printed = stored(hashed.mapInArrow(prints, "id long, h long, th binary, " + ", ".join(f"{f} long" for f in fps) + ", bands binary, size long"), "similar-rows")
+    # one node for each text
+    node = F.conv(F.hex(F.substring("th", 1, 8)), 16, -10).cast("long")
+    texts = stored(printed.filter("id is not null").groupBy("th").agg(F.min("id").alias("low"), *[F.first(f).alias(f) for f in (*fps, "bands", "size")]).withColumn("node", node), "similar-texts")
     dealt = texts.select("node", "bands", "size").mapInArrow(banded, "bucket long, node long, size long").repartition("bucket").sortWithinPartitions("bucket", "node")
     buckets = stored(dealt.mapInArrow(_shared, "bucket long, node long, size long, first long"), "similar-buckets")
     found = buckets.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
@@ -358,9 +363,9 @@ def similar_documents(docs: DataFrame, id_col="doc_id", text_col="text", size=5,
     pairs = stored(found.distinct(), "similar-pairs")
     # the nodes of all buckets are among the ends of these pairs
     ends = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).distinct()
-    wanted = stored(ends.join(texts.select(F.col("node"), F.col("th").alias("want")), F.col("n") == F.col("node")).select("n", "want"), "similar-wanted")
+    wanted = stored(ends.join(texts.select(F.col("node"), "low", F.col("th").alias("want")), F.col("n") == F.col("node")).select("n", "low", "want"), "similar-wanted")
     # ids may repeat: a node's text is the one whose hash made it
-    mine = rows.join(wanted, F.col("id") == F.col("n")).mapInArrow(_text_of, "n long, text string")
+    mine = rows.join(wanted, F.col("id") == F.col("low")).mapInArrow(_text_of, "n long, text string")
     grams = stored(mine.mapInArrow(sets, "n long, grams binary"), "similar-grams")
 
     def verified(pairs):
@@ -381,8 +386,13 @@ def similar_documents(docs: DataFrame, id_col="doc_id", text_col="text", size=5,
         drawn = grouped.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(lambda batches, pivot=pivot: _crossing_stream(batches, least, pivot), "a long, b long")
         links = links.unionByName(verified(stored(drawn.distinct(), "similar-pairs")))
         roots = stored(components(links, "similar-components"), "similar-roots")
-    named = stored(texts.select("th", "node").join(roots, "node", "left").select(F.col("th").alias("t"), F.coalesce("root", "node").alias("component_id")), "similar-named")
-    return printed.join(named, F.col("th") == F.col("t"), "left").select(F.col("id").alias("doc_id"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    named = stored(texts.select("th", "low", "node").join(roots, "node", "left").select("th", "low", F.coalesce("root", "node").alias("root")), "similar-named")
+    heads = stored(named.groupBy("root").agg(F.min(F.struct("low", "th")).alias("head")), "similar-heads")
+    of = stored(named.join(heads, "root").select(F.col("th").alias("t"), F.col("head.low").alias("component_id"), (F.col("th") == F.col("head.th")).alias("stands")), "similar-groups")
+    known = F.col("id").isNotNull()
+    return printed.join(of, F.col("th") == F.col("t"), "left").select(
+        F.col("id").alias("doc_id"), F.col("h").alias("text_hash"), F.when(known, F.col("component_id")).alias("component_id"), (known & F.col("stands") & (F.col("id") == F.col("component_id"))).alias("head")
+    )
 
 
 def _text_of(batches):
