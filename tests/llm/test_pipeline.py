@@ -82,14 +82,14 @@ def test_pairs_between_groups_of_a_bucket_are_all_drawn():
     r = np.random.default_rng(5)
     bucket, n = np.repeat(np.arange(40), [*range(2, 40), 70, 2100]), 0
     node, group = r.permutation(len(bucket)), r.integers(0, 3, len(bucket))
-    size = r.integers(70, 130, len(bucket))
-    got = [x for a, b in simhash.crossing(bucket, node, size, group, 0.8) for x in zip(a.tolist(), b.tolist())]
+    size, bits = r.integers(70, 130, len(bucket)), np.zeros((len(bucket), simhash.LONGS), np.uint64)
+    got = [x for a, b in simhash.crossing(bucket, node, size, group, bits, 0.8) for x in zip(a.tolist(), b.tolist())]
     for b in range(40):
         i = np.flatnonzero(bucket == b)
         low, high = np.minimum(size[i, None], size[None, i]), np.maximum(size[i, None], size[None, i])
         n += int(np.triu((group[i, None] != group[None, i]) & (5 * low >= 4 * high), 1).sum())
     assert len(got) == len({(min(x), max(x)) for x in got}) == n
-    some = {x for k in (1, 2) for a, b in simhash.crossing(bucket, node, size, group, 0.8, k) for x in zip(a.tolist(), b.tolist())}
+    some = {x for k in (1, 2) for a, b in simhash.crossing(bucket, node, size, group, bits, 0.8, k) for x in zip(a.tolist(), b.tolist())}
     assert some and {(min(x), max(x)) for x in some} <= {(min(x), max(x)) for x in got}
 
 
@@ -100,6 +100,19 @@ def test_rows_that_share_an_id_are_judged_on_their_own_texts(spark):
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(5, a), (5, b), (3, c), (6, d), (None, a)], key=str)
 
 
+def test_bitmaps_leave_out_no_similar_pair():
+    r, drawn = np.random.default_rng(8), 0
+    for n in [*range(1, 60), *range(60, 3000, 90)]:
+        x = r.integers(0, 1 << 63, n).astype(np.uint64)
+        y = np.r_[x[r.integers(0, n // 3 + 1) :], r.integers(0, 1 << 63, r.integers(0, n // 3 + 1)).astype(np.uint64)]
+        true = 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y))
+        bits = np.stack([simhash.bitmap(x), simhash.bitmap(y)]).view(np.uint64)
+        got = sum(len(a) for a, _ in simhash.crossing(np.zeros(2, np.int64), np.arange(2), np.array([len(x), len(y)]), np.arange(2), bits, 0.8))
+        assert got or not true
+        drawn += true
+    assert drawn > 10
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
     rows = [(i, prose(i, 150), "en", "s", 0) for i in range(120)] + [(200 + i, prose(i, 90).upper().replace(" ", "!! "), "en", "s", 0) for i in range(60)]

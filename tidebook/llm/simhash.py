@@ -199,7 +199,9 @@ _S33 = np.uint64(33)
 BANDS, BAND_ROWS = 40, 6
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64)
 #: Pivot rounds at most, and pairs left per bucket row up to which all are verified at once.
-PIVOTS, FEW = 3, 4
+PIVOTS, FEW = 2, 4
+#: Longs of a set's bitmap, by which pairs that can't be similar are told without their sets.
+LONGS = 8
 
 
 def word_fingerprints(text: str | None, views: int = VIEWS) -> list[int]:
@@ -231,13 +233,20 @@ def bands(grams: np.ndarray) -> np.ndarray:
     return (out ^ (out >> _S33)).view(np.int64)
 
 
-def _whole(batches):
+def bitmap(grams: np.ndarray) -> np.ndarray:
+    """Bits of a set of shingle hashes: a bit that only one of two sets has is a shingle that the other lacks."""
+    out = np.zeros(64 * LONGS, np.uint8)
+    out[(grams % np.uint64(64 * LONGS)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").view(np.int64)
+
+
+def _whole(batches, chunk=CHUNK):
     """Columns of rows sorted by the first one, cut only where it changes."""
     held = None
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
-        changes = np.flatnonzero(held[0][1:] != held[0][:-1]) if len(held[0]) >= CHUNK else ()
+        changes = np.flatnonzero(held[0][1:] != held[0][:-1]) if len(held[0]) >= chunk else ()
         if len(changes):
             cut = changes[-1] + 1
             yield [x[:cut] for x in held]
@@ -260,15 +269,18 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (bucket, node, size, node[begins][run])], names=["bucket", "node", "size", "first"])
 
 
-def crossing(bucket, node, size, group, least: float, pivot: int | None = None):
+def crossing(bucket, node, size, group, bits, least: float, pivot: int | None = None):
     """Pairs of nodes of complete buckets that are in different groups and can be similar by
-    their sizes, in parts; with `pivot`, those of one node of each bucket only, another for
+    their sizes and bitmaps (a bound: no similar pair is left out), in parts; with `pivot`, those of one node of each bucket only, another for
     another value."""
     begins, run = _runs(bucket)
     sizes = np.bincount(run)
 
     def fit(i, j):
         ok = (group[i] != group[j]) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9)
+        i, j = i[ok], j[ok]
+        both = np.minimum(size[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(1, dtype=np.int64), size[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(1, dtype=np.int64))
+        ok = both >= least * (size[i] + size[j] - both) - 1e-9
         return node[i[ok]], node[j[ok]]
 
     if pivot is not None:
@@ -279,16 +291,17 @@ def crossing(bucket, node, size, group, least: float, pivot: int | None = None):
     for d in range(1, int(sizes[sizes <= 64].max(initial=1))):
         i = np.flatnonzero(small[:-d] & (run[:-d] == run[d:]))
         yield fit(i, i + d)
+    step = STEP // 4
     for s, k in zip(begins[sizes > 64], sizes[sizes > 64]):
-        for p in range(0, k, STEP):
-            for q in range(p, k, STEP):
-                i, j = (x.ravel() for x in np.meshgrid(np.arange(p, min(p + STEP, k)), np.arange(q, min(q + STEP, k)), indexing="ij"))
+        for p in range(0, k, step):
+            for q in range(p, k, step):
+                i, j = (x.ravel() for x in np.meshgrid(np.arange(p, min(p + step, k)), np.arange(q, min(q + step, k)), indexing="ij"))
                 yield fit(s + i[i < j], s + j[i < j])
 
 
 def _crossing_stream(batches, least, pivot):
-    for cols in _whole(batches):
-        for x, y in crossing(*cols, least, pivot):
+    for bucket, node, size, group, *bits in _whole(batches, CHUNK // LONGS):
+        for x, y in crossing(bucket, node, size, group, np.stack(bits, axis=1).view(np.uint64), least, pivot):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
@@ -318,7 +331,7 @@ def similar_documents(docs: DataFrame, id_col="doc_id", text_col="text", size=5,
     that share an id are grouped by their own texts. Rows without id are in no group:
     component_id null, head false. Texts without words link only if they are equal.
     """
-    fps = [f"fp{v}" for v in range(views)]
+    fps, longs = [f"fp{v}" for v in range(views)], [f"bits{k}" for k in range(LONGS)]
 
     def prints(batches):
         for b in batches:
@@ -338,7 +351,9 @@ def similar_documents(docs: DataFrame, id_col="doc_id", text_col="text", size=5,
 
     def sets(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t, size)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["n", "grams"])
+            grams = [np.unique(shingle_hashes(t, size)) for t in b.column(1).to_pylist()]
+            bits = np.array([bitmap(g) for g in grams], np.int64).reshape(-1, LONGS)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.tobytes() for g in grams], pa.binary()), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(LONGS)]], names=["n", "grams", *longs])
 
     def similar(batches):
         for b in batches:
@@ -366,7 +381,7 @@ def similar_documents(docs: DataFrame, id_col="doc_id", text_col="text", size=5,
     wanted = stored(ends.join(texts.select(F.col("node"), "low", F.col("th").alias("want")), F.col("n") == F.col("node")).select("n", "low", "want"), "similar-wanted")
     # ids may repeat: a node's text is the one whose hash made it
     mine = rows.join(wanted, F.col("id") == F.col("low")).mapInArrow(_text_of, "n long, text string")
-    grams = stored(mine.mapInArrow(sets, "n long, grams binary"), "similar-grams")
+    grams = stored(mine.mapInArrow(sets, "n long, grams binary, " + ", ".join(f"{x} long" for x in longs)), "similar-grams")
 
     def verified(pairs):
         one = pairs.join(grams.select(F.col("n").alias("a"), F.col("grams").alias("x")), "a")
@@ -383,7 +398,8 @@ def similar_documents(docs: DataFrame, id_col="doc_id", text_col="text", size=5,
             break
         # many pairs: a node of each bucket first, which joins most of what belongs together; then all pairs left
         pivot = pivot + 1 if left > FEW * n and pivot < PIVOTS else None
-        drawn = grouped.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(lambda batches, pivot=pivot: _crossing_stream(batches, least, pivot), "a long, b long")
+        open_ones = grouped.join(shares.filter("own < n * n").select(F.col("bucket").alias("_b")), F.col("bucket") == F.col("_b"), "left_semi")
+        drawn = open_ones.join(grams.select("n", *longs), F.col("node") == F.col("n")).select("bucket", "node", "size", "group", *longs).repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(lambda batches, pivot=pivot: _crossing_stream(batches, least, pivot), "a long, b long")
         links = links.unionByName(verified(stored(drawn.distinct(), "similar-pairs")))
         roots = stored(components(links, "similar-components"), "similar-roots")
     named = stored(texts.select("th", "low", "node").join(roots, "node", "left").select("th", "low", F.coalesce("root", "node").alias("root")), "similar-named")
