@@ -163,6 +163,12 @@ def test_pages_come_back_from_archives(spark, monkeypatch):
     assert warc.archive_and_read(df.limit(0)).count() == 0
 
 
+def test_pages_with_control_characters_in_the_host_come_back(spark):
+    urls = ["a\nb", "http://a\tb.org/x", "http://c\r\nd.org", "e f", "\x00\x7f", "http://u\n@g.org:80/", "http://plain.org/"]
+    df = spark.createDataFrame([(i, u, f"<p>{i}</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert sorted(r.page_id for r in warc.archive_and_read(df).collect()) == list(range(len(urls)))
+
+
 def test_lookup_reads_payloads_and_misses(spark):
     rows = [(i, f"http://a.org/{i}", prose(i, 9)) for i in range(50)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")

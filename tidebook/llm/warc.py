@@ -45,7 +45,7 @@ def reversed_host_key(url: str | None) -> str:
     cut = min((i for i in (rest.find("/"), rest.find("?")) if i >= 0), default=len(rest))
     host, path = rest[:cut].rsplit("@", 1)[-1].lower(), rest[cut:] or "/"
     host = re.sub(r":\d*$", "", host)
-    return ",".join(reversed(host.split("."))) + ")" + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", path)
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", ",".join(reversed(host.split("."))) + ")" + path)
 
 
 def digest_of(payload: bytes) -> str:
