@@ -240,6 +240,13 @@ def bitmap(grams: np.ndarray) -> np.ndarray:
     return np.packbits(out, bitorder="little").view(np.int64)
 
 
+def _slices(batches, rows=1024):
+    """Batches of a bounded number of rows, so that a task holds few texts at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _whole(batches, chunk=CHUNK):
     """Columns of rows sorted by the first one, cut only where it changes."""
     held = None
@@ -263,7 +270,7 @@ def _runs(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _shared(batches):
     """Rows bucket, node, size, sorted: those of buckets with several nodes, and the bucket's first node."""
-    for bucket, node, size in _whole(batches):
+    for bucket, node, size in _whole(batches, CHUNK // 4):
         begins, run = _runs(bucket)
         many = np.bincount(run)[run] > 1
         yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (bucket, node, size, node[begins][run])], names=["bucket", "node", "size", "first"])
@@ -334,7 +341,7 @@ def similar_documents(docs: DataFrame, id_col="doc_id", text_col="text", size=5,
     fps, longs = [f"fp{v}" for v in range(views)], [f"bits{k}" for k in range(LONGS)]
 
     def prints(batches):
-        for b in batches:
+        for b in _slices(batches):
             texts = b.column(1).to_pylist()
             cols = np.array([word_fingerprints(t, views) for t in texts], np.int64).reshape(-1, views)
             th = [xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
@@ -343,20 +350,20 @@ def similar_documents(docs: DataFrame, id_col="doc_id", text_col="text", size=5,
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(th, pa.binary()), *[pa.array(np.ascontiguousarray(cols[:, v])) for v in range(views)], *more], names=["id", "h", "th", *fps, "bands", "size"])
 
     def banded(batches):
-        for b in batches:
+        for b in _slices(batches):
             per = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
             n = [len(x) for x in per]
             out = [np.concatenate([np.empty(0, np.int64), *per]), *(np.repeat(b.column(k).to_numpy(), n) for k in (0, 2))]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["bucket", "node", "size"])
 
     def sets(batches):
-        for b in batches:
+        for b in _slices(batches):
             grams = [np.unique(shingle_hashes(t, size)) for t in b.column(1).to_pylist()]
             bits = np.array([bitmap(g) for g in grams], np.int64).reshape(-1, LONGS)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.tobytes() for g in grams], pa.binary()), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(LONGS)]], names=["n", "grams", *longs])
 
     def similar(batches):
-        for b in batches:
+        for b in _slices(batches):
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
