@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -88,6 +89,8 @@ def test_every_link_of_three_bits_is_found_and_none_of_four(spark):
         fps.add(s ^ sum(1 << (16 * block + b) for b in r.sample(range(16), 3)))
     dense = r.getrandbits(64)  # one crowded neighbourhood: more values than are compared pair by pair at once
     fps |= {dense ^ sum(1 << b for b in r.sample(range(24), r.randrange(4))) for _ in range(1500)}
+    for block in range(4):  # buckets with so many values of one block that neighbours are looked up
+        fps |= {dense ^ v << (16 * block) for v in r.sample(range(1 << 16), 1500)}
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     links = simhash.near_links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()
     got = {x.node: x.root for x in components.components(spark.createDataFrame([(x.a, x.b) for x in links], "a long, b long")).collect()}
@@ -98,6 +101,24 @@ def test_every_link_of_three_bits_is_found_and_none_of_four(spark):
     assert got == {n: u.find(n) for n in u.p}
 
 
+def test_a_crowded_half_is_linked_in_bounded_time(spark):
+    """100,000 fingerprints that share 32 bits: every planted link is found, and no bucket is compared pair by pair."""
+    import time
+
+    r = np.random.default_rng(3)
+    half = r.choice(1 << 32, 99_000, replace=False).astype(np.uint64)
+    near = half[:1000] ^ np.array([sum(1 << int(b) for b in r.choice(32, 3, replace=False)) for _ in range(1000)], np.uint64)
+    fps = np.unique(np.r_[half, near] | np.uint64(0x5A5A1234) << np.uint64(32)).view(np.int64)
+    began = time.monotonic()
+    rows = spark.createDataFrame(pd.DataFrame({"fp": fps})).repartition(4)
+    got = {x.node: x.root for x in components.components(simhash.near_links(rows)).collect()}
+    assert time.monotonic() - began < 120
+    for a, b in zip(half[:1000], near):
+        x, y = (int((v | np.uint64(0x5A5A1234) << np.uint64(32)).view(np.int64)) for v in (a, b))
+        assert got[x] == got[y]
+    assert all(bin((n ^ q) & 0xFFFFFFFF00000000).count("1") == 0 for n, q in got.items())
+
+
 def test_vectors_match_brute_force(spark):
     g = np.random.default_rng(3)
     centres = g.normal(size=(40, 32))

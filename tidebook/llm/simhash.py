@@ -3,16 +3,19 @@
 A fingerprint is the bitwise majority over the XXH64 values of a text's word
 shingles. Two fingerprints link if they differ in RADIUS = 3 bits at most.
 
-Candidates: of three differing bits, one of the two 32-bit halves holds one at most.
-Every distinct fingerprint therefore emits, for each half, that half and its 32 variants
-within half the radius (one bit): 66 rows, shuffled on (half, variant). A pair meets where
-one side's half, unchanged, equals a variant of the other's. No link is missed, and all
-links are verified on 64 bits.
-
-Equal fingerprints are one node, so a bucket holds distinct fingerprints only. In a bucket,
-members that agree on the other half differ in two bits at most and are linked to one of
-them; only those stand for the other half's value when values are compared. Each task
-sends a spanning forest of the links that it verified, not the pairs.
+Candidates: of three differing bits at least one lies in one of four blocks of 16 bits, so
+two at most lie in the other 48 bits. Every distinct fingerprint therefore emits, for each
+block, the other 48 bits and their 48 variants within half the radius (one bit): 196 rows,
+shuffled on (block, variant). A pair meets where one side's bits, unchanged or with one
+flipped, equal the other's. No link is missed, and all links are verified on 64 bits.
+
+Equal fingerprints are one node, so a bucket holds distinct fingerprints that agree on its
+48 bits but for one flip: 49 * 65536 at most, whatever the table holds, and nearly always a
+few. In a bucket, members that agree on the block differ in two bits at most and are linked
+to one of them; only those (65536 at most) stand for the block's value, and of a bucket with
+many values each looks up the 696 values within three bits of its own. So neither memory nor
+time of a bucket grows with the square of its size. Each task sends a spanning forest of the
+links that it verified, not the pairs.
 
 near_duplicates() links by fingerprints alone. similar_documents() takes these links, from
 several fingerprints over distinct words, as candidates and keeps those whose texts share
@@ -23,6 +26,8 @@ group yet is verified.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,17 +35,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
-from .common import stored, table
+from .common import map_arrow, stored, table
 
 RADIUS = 3
 SEED = 42
-BLOCKS, WIDTH = 2, 32
-#: Variants of a block: itself and each of its bits flipped.
-BALL = 64 - WIDTH + 1
+BLOCKS, WIDTH = 4, 16
+REST = 64 - WIDTH
+#: Variants of the bits beside a block: themselves and each of their bits flipped.
+BALL = REST + 1
 #: Rows of complete buckets that a task links at a time.
 CHUNK = 1 << 20
-#: Representatives of a bucket that are compared in one step.
-STEP = 2048
+#: Block values of a bucket up to which all pairs of them are compared; of more, neighbours are looked up.
+STEP = 1024
+#: Values within RADIUS bits of a block's value, as masks.
+NEIGHBOURS = np.array([sum(1 << i for i in c) for k in range(1, RADIUS + 1) for c in combinations(range(WIDTH), k)], np.int64)
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -82,27 +90,27 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", size=3) -> D
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    return map_arrow(rows, run, "id long, fp long")
 
 
-def link_buckets(block: np.ndarray, variant: np.ndarray, fp: np.ndarray, forests: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Links of complete buckets (rows with equal block and variant, fps distinct in each):
+def link_buckets(key: np.ndarray, info: np.ndarray, forests: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Links of complete buckets (rows of near_links() with equal keys next to each other):
     pairs within RADIUS bits that connect exactly what all such pairs within buckets connect.
     With more forests, that many spanning forests without a common link: other ways between
     the same nodes, for callers that drop links afterwards."""
-    order = np.lexsort((fp, variant, block))
-    block, variant, fp = block[order], variant[order], fp[order]
-    new = np.r_[True, (block[1:] != block[:-1]) | (variant[1:] != variant[:-1])]
+    none = np.empty(0, np.int64)
+    if not len(key):
+        return none, none
+    new = np.r_[True, key[1:] != key[:-1]]
     run = np.cumsum(new) - 1
     many = np.bincount(run)[run] > 1
-    block, variant, fp, run = block[many], variant[many], fp[many], run[many]
-    if not len(fp):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    u, shift = fp.view(np.uint64), (block.astype(np.uint64) * np.uint64(WIDTH))
-    left = (u >> shift) & np.uint64((1 << WIDTH) - 1)
-    flips = np.bitwise_count((u ^ variant.view(np.uint64)) & ~(np.uint64((1 << WIDTH) - 1) << shift))
-    order = np.lexsort((fp, flips, left, run))
-    u, left, run = u[order], left[order], run[order]
+    if not many.any():
+        return none, none
+    key, run, r, left = key[many], run[many], info[many].astype(np.int64) >> WIDTH, info[many].astype(np.int64) & ((1 << WIDTH) - 1)
+    order = np.lexsort((r, left, run))
+    key, run, r, left = (x[order] for x in (key, run, r, left))
+    low, own = (np.int64(1) << (key >> REST) * WIDTH) - 1, (key & ((1 << REST) - 1)) ^ np.where(r > 0, np.int64(1) << np.maximum(r - 1, 0), 0)
+    u = ((own & low) | left << (key >> REST) * WIDTH | (own & ~low) << WIDTH).view(np.uint64)
     first = np.r_[True, (run[1:] != run[:-1]) | (left[1:] != left[:-1])]
     stands = np.flatnonzero(first)[np.cumsum(first) - 1]
     xs, ys = [np.flatnonzero(~first)], [stands[~first]]
@@ -111,20 +119,28 @@ def link_buckets(block: np.ndarray, variant: np.ndarray, fp: np.ndarray, forests
     begins = np.flatnonzero(np.r_[True, rep_run[1:] != rep_run[:-1]])
     sizes = np.diff(np.r_[begins, len(reps)])
     small = np.repeat(sizes <= 64, sizes)
+
+    def near(a, b):
+        ok = np.bitwise_count(u[a] ^ u[b]) <= RADIUS
+        xs.append(a[ok])
+        ys.append(b[ok])
+
     for d in range(1, int(sizes[sizes <= 64].max(initial=1))):
         i = np.flatnonzero(small[:-d] & (rep_run[:-d] == rep_run[d:]))
-        a, b = reps[i], reps[i + d]
-        near = np.bitwise_count(u[a] ^ u[b]) <= RADIUS
-        xs.append(a[near])
-        ys.append(b[near])
+        near(reps[i], reps[i + d])
     for s, k in zip(begins[sizes > 64], sizes[sizes > 64]):
-        r = reps[s : s + k]
-        for p in range(0, k, STEP):
-            for q in range(p, k, STEP):
-                i, j = np.nonzero(np.bitwise_count(u[r[p : p + STEP], None] ^ u[None, r[q : q + STEP]]) <= RADIUS)
-                far = p + i < q + j
-                xs.append(r[p + i[far]])
-                ys.append(r[q + j[far]])
+        members = reps[s : s + k]
+        if k <= STEP:
+            i, j = np.nonzero(np.triu(np.bitwise_count(u[members, None] ^ u[None, members]) <= RADIUS, 1))
+            xs.append(members[i])
+            ys.append(members[j])
+            continue
+        place = np.full(1 << WIDTH, -1)
+        place[left[members]] = np.arange(k)
+        for mask in NEIGHBOURS:
+            j = place[left[members] ^ mask]
+            i = np.flatnonzero(j > np.arange(k))
+            near(members[i], members[j[i]])
     values, at = np.unique(u.view(np.int64), return_inverse=True)
     x, y = at[np.concatenate(xs)], at[np.concatenate(ys)]
     out = []
@@ -136,35 +152,19 @@ def link_buckets(block: np.ndarray, variant: np.ndarray, fp: np.ndarray, forests
 
 
 def _link_stream(batches, forests):
-    held = [np.empty(0, np.int64)] * 3
-
-    def out(a, b):
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-        held = [np.concatenate(x) for x in zip(held, cols)]
-        n = len(held[0])
-        if n >= CHUNK:
-            changes = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))
-            if len(changes):  # the last bucket may go on in the next batch
-                cut = changes[-1] + 1
-                yield out(*link_buckets(*(x[:cut] for x in held), forests))
-                held = [x[cut:] for x in held]
-    yield out(*link_buckets(*held, forests))
+    for key, info in _whole(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in link_buckets(key, info, forests)], names=["a", "b"])
 
 
 def near_links(fps: DataFrame, forests: int = 1) -> DataFrame:
     """fps: distinct longs `fp`. Links a, b within RADIUS bits whose components are those of all such pairs."""
-    keep = (1 << WIDTH) - 1
-    rows = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS * BALL - 1))).alias("i")).selectExpr("fp", f"cast(i div {BALL} as tinyint) as block", f"cast(i % {BALL} as int) as r")
-    rows = rows.selectExpr(
-        "block",
-        f"(fp & ~shiftleft({keep}L, {WIDTH} * block)) ^ (case when r = 0 then 0L else shiftleft(1L, case when r - 1 < {WIDTH} * block then r - 1 else r - 1 + {WIDTH} end) end) as variant",
-        "fp",
+    each = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS * BALL - 1))).alias("i")).selectExpr("fp", f"cast(i div {BALL} as int) * {WIDTH} as at", f"cast(i % {BALL} as int) as r")
+    # a key holds the block's number and, closed up, the bits beside it; info the flipped bit and the block's own value
+    rows = each.selectExpr(
+        f"(shiftleft(cast(at div {WIDTH} as bigint), {REST}) | (fp & (shiftleft(1L, at) - 1)) | shiftleft(shiftrightunsigned(shiftrightunsigned(fp, at), {WIDTH}), at)) ^ (case when r = 0 then 0L else shiftleft(1L, r - 1) end) as key",
+        f"shiftleft(r, {WIDTH}) | cast(shiftrightunsigned(fp, at) & {(1 << WIDTH) - 1}L as int) as info",
     )
-    dealt = rows.repartition("block", "variant").sortWithinPartitions("block", "variant")
-    return dealt.mapInArrow(lambda batches: _link_stream(batches, forests), "a long, b long")
+    return map_arrow(rows.repartition("key").sortWithinPartitions("key"), lambda batches: _link_stream(batches, forests), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", size=3) -> DataFrame:
@@ -249,17 +249,25 @@ def _slices(batches, rows=1024):
 
 def _whole(batches, chunk=CHUNK):
     """Columns of rows sorted by the first one, cut only where it changes."""
-    held = None
+    held, n = [], 0
+
+    def joined():
+        return [np.concatenate(x) for x in zip(*held)]
+
     for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
-        changes = np.flatnonzero(held[0][1:] != held[0][:-1]) if len(held[0]) >= chunk else ()
-        if len(changes):
-            cut = changes[-1] + 1
-            yield [x[:cut] for x in held]
-            held = [x[cut:] for x in held]
-    if held is not None and len(held[0]):
-        yield held
+        if batch.num_rows:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            n += batch.num_rows
+        if n < chunk:
+            continue
+        cols = joined()
+        changes = np.flatnonzero(cols[0][1:] != cols[0][:-1])
+        cut = changes[-1] + 1 if len(changes) else 0  # the last bucket may go on in the next batch
+        if cut:
+            yield [x[:cut] for x in cols]
+        held, n = [[x[cut:] for x in cols]], n - cut
+    if n:
+        yield joined()
 
 
 def _runs(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
