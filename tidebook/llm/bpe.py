@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_arrow, table
 
 #: Texts above so many characters are encoded in pieces of about that length.
 PIECE = 1 << 16
@@ -69,7 +69,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col="doc_id", text_
             ids = pa.array([encode_text(t, rank_file, pattern) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), ids], names=["id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, ids array<int>")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, ids array<int>")
 
 
 def decode(rows: DataFrame, rank_file: str, pattern: str, id_col="id", ids_col="ids") -> DataFrame:
@@ -106,7 +106,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col="doc_id", t
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(raw_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_arrow, table
 
 TIERS = (256, 512, 1024, 2048)
 #: Tokens that a task packs at a time.
@@ -38,7 +38,7 @@ BUFFER = 1 << 21
 STEP_SIZE = 64
 END_ID = 1
 #: Words and pieces that a worker keeps at hand, for each of its tables.
-CACHE = 400_000
+CACHE = 1 << 17
 
 
 class WordTokens:
@@ -240,7 +240,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_c
                     held, size = [x[:4] for x in again], sum(x[4] for x in again)
         yield flush(held, True)[0]
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, schema)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

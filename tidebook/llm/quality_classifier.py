@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import map_arrow, stored, table
 
 BITS = 18
 #: Labelled rows that training reads, at most.
@@ -143,7 +143,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col="doc_id", text_col="text"
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("_text"), *keep)
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(["id long", "score double", *[f"`{c}` {kinds[c]}" for c in keep]]))
+    return map_arrow(rows, run, ", ".join(["id long", "score double", *[f"`{c}` {kinds[c]}" for c in keep]]))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -306,7 +306,7 @@ def crossing(bucket, node, size, group, bits, least: float, pivot: int | None =
     for d in range(1, int(sizes[sizes <= 64].max(initial=1))):
         i = np.flatnonzero(small[:-d] & (run[:-d] == run[d:]))
         yield fit(i, i + d)
-    step = STEP // 4
+    step = 512
     for s, k in zip(begins[sizes > 64], sizes[sizes > 64]):
         for p in range(0, k, step):
             for q in range(p, k, step):
@@ -354,8 +354,10 @@ def similar_documents(docs: DataFrame, id_col="doc_id", text_col="text", size=5,
             cols = np.array([word_fingerprints(t, views) for t in texts], np.int64).reshape(-1, views)
             th = [xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
             grams = [np.unique(shingle_hashes(t, size)) for t in texts]
+            bits = np.array([bitmap(g) for g in grams], np.int64).reshape(-1, LONGS)
             more = [pa.array([bands(g).tobytes() for g in grams], pa.binary()), pa.array([len(g) for g in grams], pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(th, pa.binary()), *[pa.array(np.ascontiguousarray(cols[:, v])) for v in range(views)], *more], names=["id", "h", "th", *fps, "bands", "size"])
+            prints = [pa.array(np.ascontiguousarray(x)) for x in (*cols.T, *bits.T)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(th, pa.binary()), *prints, *more], names=["id", "h", "th", *fps, *longs, "bands", "size"])
 
     def banded(batches):
         for b in _slices(batches):
@@ -366,12 +368,10 @@ def similar_documents(docs: DataFrame, id_col="doc_id", text_col="text", size=5,
 
     def sets(batches):
         for b in _slices(batches):
-            grams = [np.unique(shingle_hashes(t, size)) for t in b.column(1).to_pylist()]
-            bits = np.array([bitmap(g) for g in grams], np.int64).reshape(-1, LONGS)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.tobytes() for g in grams], pa.binary()), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(LONGS)]], names=["n", "grams", *longs])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t, size)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["n", "grams"])
 
     def similar(batches):
-        for b in _slices(batches):
+        for b in _slices(batches, 64):
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -381,29 +381,35 @@ def similar_documents(docs: DataFrame, id_col="doc_id", text_col="text", size=5,
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     hashed = rows.select("id", "text", F.xxhash64("text").alias("h"))
-    printed = stored(hashed.mapInArrow(prints, "id long, h long, th binary, " + ", ".join(f"{f} long" for f in fps) + ", bands binary, size long"), "similar-rows")
+    printed = stored(map_arrow(hashed, prints, "id long, h long, th binary, " + ", ".join(f"{f} long" for f in (*fps, *longs)) + ", bands binary, size long"), "similar-rows")
     # one node for each text
     node = F.conv(F.hex(F.substring("th", 1, 8)), 16, -10).cast("long")
-    texts = stored(printed.filter("id is not null").groupBy("th").agg(F.min("id").alias("low"), *[F.first(f).alias(f) for f in (*fps, "bands", "size")]).withColumn("node", node), "similar-texts")
-    dealt = texts.select("node", "bands", "size").mapInArrow(banded, "bucket long, node long, size long").repartition("bucket").sortWithinPartitions("bucket", "node")
-    buckets = stored(dealt.mapInArrow(_shared, "bucket long, node long, size long, first long"), "similar-buckets")
+    texts = stored(printed.filter("id is not null").groupBy("th").agg(F.min("id").alias("low"), *[F.first(f).alias(f) for f in (*fps, *longs, "bands", "size")]).withColumn("node", node), "similar-texts")
+    dealt = map_arrow(texts.select("node", "bands", "size"), banded, "bucket long, node long, size long").repartition("bucket").sortWithinPartitions("bucket", "node")
+    buckets = stored(map_arrow(dealt, _shared, "bucket long, node long, size long, first long"), "similar-buckets")
     found = buckets.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     for f in fps:
         found = found.unionByName(stored(_candidates(texts, f), "similar-candidates"))
     pairs = stored(found.distinct(), "similar-pairs")
-    # the nodes of all buckets are among the ends of these pairs
+    # sizes and bitmaps, small beside the sets, rule out most pairs that only a band has brought together
+    sketch = texts.select("node", "size", *longs)
+    of_end = lambda e: sketch.select(F.col("node").alias(e), F.col("size").alias(f"size_{e}"), *[F.col(x).alias(f"{x}_{e}") for x in longs])
+    alone = lambda x, y: F.expr(f"size_{x} - (" + " + ".join(f"bit_count({z}_{x} & ~{z}_{y})" for z in longs) + ")")
+    shared = F.least(alone("a", "b"), alone("b", "a"))  # shingles that both can have, at most
+    likely = pairs.join(of_end("a"), "a").join(of_end("b"), "b").filter(shared >= least * (F.col("size_a") + F.col("size_b") - shared) - 1e-9).select("a", "b")
+    # the nodes of all buckets are among the ends of all pairs
     ends = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).distinct()
     wanted = stored(ends.join(texts.select(F.col("node"), "low", F.col("th").alias("want")), F.col("n") == F.col("node")).select("n", "low", "want"), "similar-wanted")
     # ids may repeat: a node's text is the one whose hash made it
     mine = rows.join(wanted, F.col("id") == F.col("low")).mapInArrow(_text_of, "n long, text string")
-    grams = stored(mine.mapInArrow(sets, "n long, grams binary, " + ", ".join(f"{x} long" for x in longs)), "similar-grams")
+    grams = stored(map_arrow(mine, sets, "n long, grams binary"), "similar-grams")
 
     def verified(pairs):
         one = pairs.join(grams.select(F.col("n").alias("a"), F.col("grams").alias("x")), "a")
         two = one.join(grams.select(F.col("n").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
-        return stored(two.mapInArrow(similar, "a long, b long"), "similar-links")
+        return stored(map_arrow(two, similar, "a long, b long"), "similar-links")
 
-    links, pivot = verified(pairs), 0
+    links, pivot = verified(likely), 0
     roots = stored(components(links, "similar-components"), "similar-roots")
     while pivot is not None:
         grouped = stored(buckets.join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("group")), "similar-grouped")
@@ -414,7 +420,8 @@ def similar_documents(docs: DataFrame, id_col="doc_id", text_col="text", size=5,
         # many pairs: a node of each bucket first, which joins most of what belongs together; then all pairs left
         pivot = pivot + 1 if left > FEW * n and pivot < PIVOTS else None
         open_ones = grouped.join(shares.filter("own < n * n").select(F.col("bucket").alias("_b")), F.col("bucket") == F.col("_b"), "left_semi")
-        drawn = open_ones.join(grams.select("n", *longs), F.col("node") == F.col("n")).select("bucket", "node", "size", "group", *longs).repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(lambda batches, pivot=pivot: _crossing_stream(batches, least, pivot), "a long, b long")
+        dealt = open_ones.join(texts.select(F.col("node").alias("n"), *longs), F.col("node") == F.col("n")).select("bucket", "node", "size", "group", *longs).repartition("bucket").sortWithinPartitions("bucket", "node")
+        drawn = map_arrow(dealt, lambda batches, pivot=pivot: _crossing_stream(batches, least, pivot), "a long, b long")
         links = links.unionByName(verified(stored(drawn.distinct(), "similar-pairs")))
         roots = stored(components(links, "similar-components"), "similar-roots")
     named = stored(texts.select("th", "low", "node").join(roots, "node", "left").select("th", "low", F.coalesce("root", "node").alias("root")), "similar-named")
