@@ -38,21 +38,39 @@ def low(v):
     return v - v % step
 
 
-def test_thresholds_are_group_quantiles(spark):
+def threshold(values, mid):
+    """First bucket from the third quartile on above which a valley lies; the valley's end."""
+    lows, w = sorted(map(low, values)), 1000 * 8 // max(mid, 1)
+    for c in lows:
+        if c >= quantile(lows, 3, 4) and 500 * sum(c < x <= 2 * c + w for x in lows) < len(lows):
+            return 2 * c + w
+
+
+def test_thresholds_are_where_a_groups_tail_begins(spark):
     rows = [(i, prose(i, 60 + i % 7) + " ##" * (i % 5), "en", "big" if i % 3 else f"s{i}", 0) for i in range(240)] + [(999, prose(5, 100) + " #" * 90, "en", "big", 0)]
     got = {r.doc_id: r for r in Q.quality_rules(documents(spark, rows)).collect()}
     groups = defaultdict(list)
     for i, t, _, s, _ in rows:
         n, _, sym, _, _ = base(t)
-        groups[s].append(1000 * sym // max(n, 1))
+        groups[s].append((1000 * sym // max(n, 1), n))
     everyone = [v for g in groups.values() for v in g]
     for i, _, _, s, _ in rows:
-        values = groups[s] if len(groups[s]) >= Q.LEAST_GROUP else everyone
-        q50, q75 = low(quantile(values, 1, 2)), low(quantile(values, 3, 4))
-        assert got[i].max_symbols_pm == max(q75 + Q.SPREAD * (q75 - q50), q50 + Q.SLACK["symbols_pm"])
+        values, n = zip(*(groups[s] if len(groups[s]) >= 100 else everyone))
+        assert got[i].max_symbols_pm == threshold(values, quantile(map(low, n), 1, 2))
     assert not got[999].kept and got[3].kept
 
 
+def test_sources_with_other_spreads_get_other_thresholds(spark):
+    """No constant decides: one and the same text is kept in a source where its like are usual and goes where they are not."""
+    text = lambda i, n: prose(i, 90) + " #x" * n
+    rows = [(i, text(i, i % 2), "en", "plain", 0) for i in range(200)] + [(1000 + i, text(i, i % 60), "en", "code", 0) for i in range(400)]
+    rows += [(i, text(7, 50), "en", s, 0) for i, s in ((5000, "plain"), (5001, "code"))]
+    got = {r.doc_id: r for r in Q.quality_rules(documents(spark, rows)).collect()}
+    assert got[5000].max_symbols_pm < 200 < 400 < got[5001].max_symbols_pm
+    assert not got[5000].kept and got[5001].kept and got[5000].symbols_pm == got[5001].symbols_pm
+    assert all(got[i].kept for i in range(200)) and all(got[1000 + i].kept for i in range(400))
+
+
 def test_sketches_merge(spark):
     rows = [(i, prose(i, 50 + i), "en", "s", 0) for i in range(40)]
     key = lambda df: {(r.measure, r.low): r.n for r in df.collect()}

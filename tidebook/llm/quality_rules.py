@@ -9,6 +9,13 @@ two, so a quantile is off by 1/16 of its value at most). It is a plain table of
 counts: merging is adding, which makes it exact under any order, partitioning
 or retry, and lets small groups borrow the merged sketch of their language, or
 of the whole table, without reading a document again.
+
+The threshold is where the tail of a group's own distribution begins: going up
+from the third quartile, the first value c with a valley above it, a stretch
+from c to 2c + w that holds fewer than one document in TAIL; documents beyond
+the valley go. w is what EVENTS more signs make in the group's median document,
+so the rule follows the length of a source's texts as well as their spread, and
+a group whose values thin out evenly loses the last of them only.
 """
 
 from __future__ import annotations
@@ -18,13 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import get_field, stored, table, words_of
 
-#: Measures under thresholds, as whole numbers per thousand words, lines or letters.
-MEASURES = ("symbols_pm", "marks_pm", "repeats_pm", "dup_lines_pm", "upper_pm")
-#: Least distance between a measure's median and its threshold: below that a
-#: difference is not told apart from the usual spread of short texts.
-SLACK = {"symbols_pm": 50, "marks_pm": 100, "repeats_pm": 400, "dup_lines_pm": 500, "upper_pm": 200}
-#: Threshold: third quartile plus so many times the distance from the median to it.
-SPREAD = 8
+#: Measures under thresholds, as whole numbers per thousand of what a text has in all.
+MEASURES = {"symbols_pm": "n_words", "marks_pm": "n_words", "repeats_pm": "n_words", "dup_lines_pm": "n_lines", "upper_pm": "word_chars"}
+#: A valley holds fewer than one document in so many, and is wider than so many signs in the median document.
+TAIL, EVENTS = 500, 8
 #: A group with fewer documents takes the sketch of its language, then of all.
 LEAST_GROUP = 100
 #: The thresholds are dealt over so many copies, so that a hot source has as many join keys.
@@ -76,7 +80,7 @@ def measured(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang",
     done = spots.withColumn("n_repeat_words", cover).drop("p")
     per_mille = lambda n, d: F.floor(1000 * F.col(n) / F.greatest(F.col(d), F.lit(1))).cast("long")
     return done.select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "lang", "source", "n_words", "word_chars", "n_lines", "n_symbols", "n_dup_lines", "n_repeat_words",
         per_mille("n_symbols", "n_words").alias("symbols_pm"),
         per_mille("n_marks", "n_words").alias("marks_pm"),
         per_mille("n_repeat_words", "n_words").alias("repeats_pm"),
@@ -95,40 +99,46 @@ def sketches(features: DataFrame) -> DataFrame:
     """The sketch table: lang, source, measure, low (bucket), n. Mergeable by adding n."""
     long = features.select(
         "lang", "source",
-        F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in MEASURES])).alias("m"),
+        F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in (*MEASURES, *sorted(set(MEASURES.values())))])).alias("m"),
     ).select("lang", "source", "m.measure", bucket_low(F.col("m.v")).alias("low"))
     return long.groupBy("lang", "source", "measure", "low").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group of `keys` and measure: documents, median and third quartile (bucket lows)."""
+def cuts(sketch: DataFrame, keys: list[str], tail=TAIL, events=EVENTS) -> DataFrame:
+    """Per group of `keys`: docs, and a column cut_<measure> for each measure."""
     merged = sketch.groupBy(*keys, "measure", "low").agg(F.sum("n").alias("n"))
+    # buckets of a sketch are a few hundred at most
     lists = merged.groupBy(*keys, "measure").agg(F.sort_array(F.collect_list(F.struct("low", "n"))).alias("b"), F.sum("n").alias("docs"))
+    group = lists.groupBy(*keys).agg(F.max("docs").alias("docs"), F.map_from_entries(F.collect_list(F.struct("measure", "b"))).alias("of"))
+
+    def quantile(b, num, den):
+        """Least low whose cumulative count reaches the share num / den."""
+        step = lambda a, x: F.struct((a["c"] + x["n"]).alias("c"), F.when(a["c"] * den < F.col("docs") * num, x["low"]).otherwise(a["low"]).alias("low"))
+        return F.aggregate(b, F.struct(F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("low")), step, lambda a: a["low"])
+
+    parts = group.select(*keys, "docs", "of", F.lit(1000 * events).cast("long").alias("_e"), *[quantile(F.col("of")[m], 3, 4).alias(f"q_{m}") for m in MEASURES], *[quantile(F.col("of")[x], 1, 2).alias(f"mid_{x}") for x in sorted(set(MEASURES.values()))])
+    wide = parts.select("*", *[F.expr(f"_e div greatest(mid_{x}, 1L)").alias(f"w_{m}") for m, x in MEASURES.items()])
 
-    def at(share_num, share_den):
-        # least low whose cumulative count reaches ceil(share * docs); buckets of a sketch are a few hundred at most
-        step = lambda a, x: F.struct((a["c"] + x["n"]).alias("c"), F.when(a["c"] * share_den < F.col("docs") * share_num, x["low"]).otherwise(a["low"]).alias("low"))
-        return F.aggregate("b", F.struct(F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("low")), step, lambda a: a["low"])
+    def cut(m):
+        b, w = F.col("of")[m], F.col(f"w_{m}")
+        held = lambda c: F.aggregate(F.filter(b, lambda y: (y["low"] > c["low"]) & (y["low"] <= 2 * c["low"] + w)), F.lit(0).cast("long"), lambda a, y: a + y["n"])
+        begins = F.filter(b, lambda c: (c["low"] >= F.col(f"q_{m}")) & (held(c) * tail < F.col("docs")))  # not empty: nothing is above the last bucket
+        return 2 * F.get(begins, F.lit(0))["low"] + w
 
-    return lists.select(*keys, "measure", "docs", at(1, 2).alias("q50"), at(3, 4).alias("q75"))
+    return wide.select(*keys, "docs", *[cut(m).alias(f"cut_{m}") for m in MEASURES])
 
 
-def thresholds(features: DataFrame, least_group=LEAST_GROUP, spread=SPREAD, slack=None) -> DataFrame:
+def thresholds(features: DataFrame, least_group=LEAST_GROUP, tail=TAIL, events=EVENTS) -> DataFrame:
     """lang, source and one column max_<measure> for each measure; one row per (lang, source)."""
-    slack = SLACK if slack is None else slack
     sketch = stored(sketches(features), "quality-sketch")
-    own = quantiles(sketch, ["lang", "source"])
-    by_lang = quantiles(sketch, ["lang"]).select("lang", "measure", F.col("docs").alias("l_docs"), F.col("q50").alias("l50"), F.col("q75").alias("l75"))
-    whole = quantiles(sketch, []).select("measure", F.col("q50").alias("a50"), F.col("q75").alias("a75"))
-    joined = own.alias("o").join(by_lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.measure") == F.col("l.measure"))).join(whole.alias("a"), F.col("o.measure") == F.col("a.measure"))
-    pick = lambda a, b, c: F.when(F.col("docs") >= least_group, F.col(a)).when(F.col("l_docs") >= least_group, F.col(b)).otherwise(F.col(c))
-    q50, q75 = pick("q50", "l50", "a50"), pick("q75", "l75", "a75")
-    floor = F.create_map(*[x for m, s in slack.items() for x in (F.lit(m), F.lit(s).cast("long"))])[F.col("o.measure")]
-    cut = joined.select(F.col("o.lang").alias("lang"), F.col("o.source").alias("source"), F.col("o.measure").alias("measure"), F.greatest(q75 + spread * (q75 - q50), q50 + floor).alias("cut"))
-    return cut.groupBy("lang", "source").pivot("measure", list(MEASURES)).agg(F.first("cut")).select("lang", "source", *[F.col(m).alias(f"max_{m}") for m in MEASURES])
-
-
-def quality_rules(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", source_col="source", least_group=LEAST_GROUP, spread=SPREAD, slack=None) -> DataFrame:
+    level = lambda keys, short: cuts(sketch, keys, tail, events).select(*keys, F.col("docs").alias(f"{short}_docs"), *[F.col(f"cut_{m}").alias(f"{short}_{m}") for m in MEASURES])
+    own, by_lang, whole = level(["lang", "source"], "o").withColumn("_k", F.lit(0)), level(["lang"], "l"), level([], "a").withColumn("_k", F.lit(0))
+    joined = own.alias("o").join(by_lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang"))).join(whole.alias("a"), F.col("o._k") == F.col("a._k"))  # one row
+    pick = lambda m: F.when(F.col("o_docs") >= least_group, F.col(f"o_{m}")).when(F.col("l_docs") >= least_group, F.col(f"l_{m}")).otherwise(F.col(f"a_{m}"))
+    return joined.select(F.col("o.lang").alias("lang"), F.col("o.source").alias("source"), *[pick(m).alias(f"max_{m}") for m in MEASURES])
+
+
+def quality_rules(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", source_col="source", least_group=LEAST_GROUP, tail=TAIL, events=EVENTS) -> DataFrame:
     """One row per row of `docs`: doc_id, base measures, base_failed, kept, and the
     measures and thresholds behind the verdict.
 
@@ -136,9 +146,9 @@ def quality_rules(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="l
     their own. Repeated rows: one result each. Empty table: empty result.
     """
     f = stored(measured(docs, id_col, text_col, lang_col, source_col), "quality-features")
-    cuts = thresholds(f, least_group, spread, slack)
+    limits = thresholds(f, least_group, tail, events)
     # The join key is salted: a source with a third of all rows has SALTS keys.
-    salted = cuts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = f.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
     cond = F.col("f.lang").eqNullSafe(F.col("c.lang")) & F.col("f.source").eqNullSafe(F.col("c.source")) & (F.col("f.salt") == F.col("c.salt"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

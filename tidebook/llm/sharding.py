@@ -1,14 +1,16 @@
 """Proportional stratified interleaving (native DataFrame operations only).
 
 Rows are shuffled by a seeded hash and ranked within their source; a row's
-fractional rank is (rank - 1/2) / rows of its source. All rows sorted by that
-rank are cut into shards of equal counts, so every shard (and every stretch of
-a shard) has the mixture of the whole table.
+fractional rank is (rank + phase) / rows of its source, ranks from 0 and a phase
+in [0, 1) for each source, from a seeded hash of its name: sources of one size,
+millions of sources with a single row among them, do not fall on one point. All
+rows sorted by that rank are cut into shards of equal counts, so every shard
+(and every stretch of a shard) has the mixture of the whole table.
 
 No rank is computed in one task: ranks are counts of whole hash buckets, summed
-over a small table, plus a row number inside one bucket. The number of buckets
+in two levels, plus a row number inside one bucket. The number of buckets
 follows the number of rows, so a bucket stays near ROWS_PER_BUCKET rows however
-many rows a source has.
+many rows a source, or sources a table, has.
 """
 
 from __future__ import annotations
@@ -20,29 +22,23 @@ from .common import stored, table
 
 #: Mean rows of the buckets in which rows are numbered.
 ROWS_PER_BUCKET = 512
+#: Buckets whose counts are summed before they are numbered.
+FAN = 256
 SEED = "interleave-1"
 
 
 def _number(rows: DataFrame, keys: list[str], bucket: str, order: list, name: str) -> DataFrame:
     """`rows` with a long column `name`: 0-based position within `keys` by (bucket, order).
 
-    The counts by bucket are numbered over `keys`; without keys, buckets are
-    grouped once more, so that no window sees more than about the square root
-    of the buckets.
+    The counts by bucket are numbered within groups of FAN buckets, and these groups over
+    `keys`, so that no window sees more than one bucket in FAN of a key.
     """
-    counts = rows.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_n"))
-    if not keys:
-        counts = counts.withColumn("_top", F.expr(f"{bucket} div 256"))
-        tops = counts.groupBy("_top").agg(F.sum("_n").alias("_tn"))
-        tops = tops.withColumn("_before_top", F.sum("_tn").over(Window.orderBy("_top").rowsBetween(Window.unboundedPreceding, -1)))
-        inner = Window.partitionBy("_top").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-        counts = counts.join(tops.select("_top", "_before_top"), "_top").select(bucket, (F.coalesce(F.sum("_n").over(inner), F.lit(0)) + F.coalesce("_before_top", F.lit(0))).alias("_before"))
-        within = Window.partitionBy(bucket).orderBy(*order)
-    else:
-        before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-        counts = counts.select(*keys, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-        within = Window.partitionBy(*keys, bucket).orderBy(*order)
-    numbered = rows.withColumn("_in", F.row_number().over(within))
+    counts = rows.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_n")).withColumn("_top", F.expr(f"{bucket} div {FAN}"))
+    before = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    over = Window.partitionBy(*keys) if keys else Window
+    tops = counts.groupBy(*keys, "_top").agg(F.sum("_n").alias("_tn")).withColumn("_before_top", before(over.orderBy("_top"), "_tn")).drop("_tn")
+    counts = counts.join(tops, [*keys, "_top"]).select(*keys, bucket, (before(Window.partitionBy(*keys, "_top").orderBy(bucket), "_n") + F.col("_before_top")).alias("_before"))
+    numbered = rows.withColumn("_in", F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order)))
     return numbered.join(counts, [*keys, bucket]).withColumn(name, (F.col("_before") + F.col("_in") - 1).cast("long")).drop("_in", "_before")
 
 
@@ -51,7 +47,8 @@ def interleave(rows: DataFrame, n_shards: int, id_col: str, stratum_col: str, pa
 
     Shard sizes differ by one row at most. Null strata form a stratum of their
     own; rows with equal ids are ordered by their payload, identical rows
-    arbitrarily (their results are the same set). Empty table: empty result.
+    arbitrarily (their results are the same set). A text takes no part but in the
+    payload columns, however long it is. Empty table: empty result.
     """
     base = rows.select(
         F.col(id_col).alias("_id"),
@@ -66,7 +63,8 @@ def interleave(rows: DataFrame, n_shards: int, id_col: str, stratum_col: str, pa
     sizes = base.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_size"))
     ranked = _number(by_hash, ["_stratum"], "_b", order, "_rank").drop("_b")
     ranked = ranked.join(sizes, "_stratum")
-    frac = ranked.withColumn("_frac", (2 * F.col("_rank") + 1) / (2 * F.col("_size")).cast("double")).drop("_size")
+    phase = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "/"), F.col("_stratum"))), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+    frac = ranked.withColumn("_frac", (F.col("_rank") + phase) / F.col("_size").cast("double")).drop("_size")
     cut = frac.withColumn("_b", F.least(F.floor(F.col("_frac") * buckets), F.lit(buckets - 1)).cast("long"))
     placed = _number(cut, [], "_b", ["_frac", "_stratum", "_rank"], "_pos")
     n = max(total, 1)
