@@ -44,6 +44,24 @@ def test_windows_cover_each_turn_once_within_budget():
         assert seen == turns and said == "".join(t for role, t in turns if role == "assistant")
 
 
+def test_leading_system_turns_are_retained_within_their_limit():
+    words = lambda s: len(s.split())
+    turns = [("system", f"rule {i} " + "w " * 20) for i in range(6)] + [("user", "q " * 30), ("assistant", "a " * 30)] * 8
+    got = list(chat_format.windows(iter(turns), words, 120, 30, 60))
+    seen = []
+    for first, new, repeated, tokens, text, _ in got:
+        blocks = chat_format.parse(text)
+        assert first == len(seen) and len(blocks) == new + repeated and (tokens <= 120 or new == 1) and tokens == sum(words(chat_format.render(*b)[0]) for b in blocks)
+        before = turns[:first]
+        assert all(b in before for b in blocks[:repeated])
+        assert len({b for b in blocks if b[0] == "system"}) == sum(b[0] == "system" for b in blocks)  # none twice
+        assert not first or blocks[0] == turns[0]
+        seen += blocks[repeated:]
+    assert seen == turns and len(got) > 4
+    many = [("system", "w " * 8)] * 3000 + [("user", "x")]  # output stays in proportion to the input
+    assert sum(len(w[4]) for w in chat_format.windows(iter(many), words, 120, 30, 60)) < 4 * sum(len(chat_format.render(*t)[0]) for t in many)
+
+
 def test_conversations_round_trip(spark):
     r = random.Random(5)
     rows = [(c if c else None, t if t % 9 else None, r.choice(["user", "assistant", "system", None, "to\nol"]), r.choice([None, "", "<|im_end|>", prose(t, 40), "é\U0001f600" * 9]), 1) for c in range(8) for t in range(r.randrange(1, 25))]
@@ -54,6 +72,11 @@ def test_conversations_round_trip(spark):
     for c, t, role, text, _ in rows:
         by[c].append((-1 if t is None else t, role is not None, role or "", text is not None, text or ""))
     assert set(got) == set(by)
+    texts = defaultdict(int)
+    for x in chat_format.format_conversations(df, RANKS, P.PATTERN).collect():
+        texts[x.conv_id] += len(x.text)
+    assert {c: x.formatted_chars for c, x in got.items()} == texts
+    assert chat_format.read_back(chat_format.format_conversations(df.limit(0), RANKS, P.PATTERN)).count() == 0
     for c, v in by.items():
         v.sort(key=lambda x: (x[0], x[1], x[2].encode(), x[3], x[4].encode()))
         assert (got[c].n_turns, got[c].turns_sha256) == (len(v), sha("".join(f"{x[2]}\n{x[4]}\n" for x in v)))
@@ -84,6 +107,15 @@ def test_word_tokens_are_the_library(spark):
         assert np.frombuffer(tok.ids(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_other_vocabularies_take_whole_texts():
+    path = P.path("byte_bpe_50k.json")
+    tok, whole = packing.WordTokens(path), Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    assert not tok.by_word and packing.WordTokens(WORDS).by_word
+    for t in ["Two  words\n\nÉ <|endoftext|>", "", None]:
+        assert np.frombuffer(tok.ids(t), "<u4").tolist() == whole.encode(t or "", add_special_tokens=False).ids
+
+
 def test_pack_places_each_token_once():
     r = random.Random(1)
     for _ in range(30):
@@ -102,10 +134,39 @@ def test_pack_places_each_token_once():
                 assert a == at and k > 0
                 at += k
             assert at == n
-        groups = Counter(packing.step_groups([len(s) for s in seqs]))
+        groups = Counter(packing.step_groups([(sum(p[2] for p in s), len(s)) for s in seqs], 8192))
         assert not groups or max(groups.values()) - min(groups.values()) <= 1
 
 
+def test_every_tier_is_packed_and_gaps_take_shorter_ones():
+    r = random.Random(2)
+    lengths = [r.choice([r.randrange(1, 300), r.randrange(1, 1500), r.randrange(1, 5000)]) for _ in range(2000)]
+    seqs, _ = packing.pack(lengths)
+    windows = Counter(sum(p[2] for p in s) for s in seqs)
+    assert all(windows[t] > 50 for t in packing.TIERS) and sum(v for t, v in windows.items() if t not in packing.TIERS) <= 8
+    routed = lambda n: next(t for t in packing.TIERS if t >= n)
+    whole = {d: n for d, n in enumerate(lengths) if n <= 2048}
+    filled = 0
+    for s in seqs:
+        size = sum(p[2] for p in s)
+        if size in packing.TIERS:
+            assert routed(s[0][2]) == size  # opened by a piece of its own tier
+            filled += any(routed(p[2]) < size for p in s[1:])
+    own = sum(routed(n) == sum(p[2] for p in s) for s in seqs for d, a, n in s if whole.get(d) == n and n > 256)
+    assert filled > 200 and own > 0.5 * sum(n > 256 for n in whole.values())
+    costs = [(sum(p[2] for p in s), sum(p[2] ** 2 for p in s)) for s in seqs]
+    groups = packing.step_groups(costs, 32 * 2048)
+    by = defaultdict(list)
+    for g, c in zip(groups, costs):
+        by[g].append(c)
+    assert len(by) == -(-sum(lengths) // (32 * 2048))
+    for t in packing.TIERS:
+        n = [sum(c[0] == t for c in v) for v in by.values()]
+        assert max(n) - min(n) <= 2 and max(n) > 0
+    cost = [sum(c[1] for c in v) for v in by.values()]
+    assert max(cost) < 1.1 * min(cost)
+
+
 def test_packed_documents(spark, monkeypatch):
     monkeypatch.setattr(packing, "BUFFER", 5000)
     rows = awkward()

@@ -6,7 +6,8 @@ so a rendered text never holds a control string that isn't the template's.
 
 A conversation that exceeds the token budget becomes several windows. Prefix sums of
 the turns' tokens choose where they end, always between turns. Each later window
-repeats the leading system turns and, within a limit, the last turns before it.
+repeats the leading system turns before it, as many as SYSTEM tokens hold, and, within
+a limit, the last turns before it.
 Loss spans cover each assistant text once: repeated turns are masked.
 
 Rows are dealt by conversation and sorted by turn once; windows are then made in a
@@ -25,12 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encode_text
-from .common import table
+from .common import map_arrow, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 BUDGET = 2048
 #: Tokens of earlier turns that a later window repeats, at most.
 HISTORY = 512
+#: Tokens of the leading system turns that a later window repeats, at most: whole turns from the
+#: first on; what goes beyond is in its own place only.
+SYSTEM = 1024
 LOSS_ROLE, SYSTEM_ROLE = "assistant", "system"
 WINDOWS = "conv_id long, window long, first_turn long, n_new long, n_repeated long, n_tokens long, over_budget boolean, text string, loss array<struct<start:bigint,end:bigint>>"
 
@@ -59,46 +63,47 @@ def parse(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def windows(turns, count, budget=BUDGET, history=HISTORY):
+def windows(turns, count, budget=BUDGET, history=HISTORY, system=SYSTEM):
     """turns: (role, text) in order. Yields (first turn, new turns, repeated turns, tokens,
     text, loss spans). `count` gives the tokens of a rendered turn."""
-    system: list[tuple[int, str]] = []
-    recent: deque = deque()  # (tokens, rendered), the last turns within the limit
+    leading: list[tuple[int, str]] = []  # (tokens, rendered) of retained system turns: the turns 0, 1, ...
+    recent: deque = deque()  # the last turns within the limit
     new: list = []
-    kept: list = []  # what the window repeats of them
-    leading, at, first, before, upto = True, 0, 0, 0, 0  # before, upto: prefix sums at the window's start and end
+    repeated: list = []  # what the window repeats
+    still, at, first, room = True, 0, 0, budget  # room: tokens left in the window
+    held_leading = held_recent = 0
 
     def close():
-        lead = system if first else []
-        rows = [x[1] for x in lead] + [x[1] for x in kept]
+        rows = [x[1] for x in repeated]
         where, spans = sum(map(len, rows)), []
         for _, text, role, a, b in new:
             if role == LOSS_ROLE:
                 spans.append((where + a, where + b))
             rows.append(text)
             where += len(text)
-        return first, len(new), len(lead) + len(kept), upto - before + sum(x[0] for x in lead) + sum(x[0] for x in kept), "".join(rows), spans
+        return first, len(new), len(repeated), budget - room, "".join(rows), spans
 
     for role, text in turns:
         role, text = role or "", text or ""
         rendered, a, b = render(role, text)
         n = count(rendered)
-        room = budget - sum(x[0] for x in kept) - (sum(x[0] for x in system) if first else 0)
-        if new and upto + n - before > room:
+        if new and n > room:
             yield close()
-            new, first, before = [], at, upto
-            kept = list(recent)
-            while kept and sum(x[0] for x in system) + sum(x[0] for x in kept) + n > budget:
-                kept.pop(0)
-        leading = leading and role == SYSTEM_ROLE
+            new, first, kept, held = [], at, list(recent), held_leading + held_recent
+            while kept and held + n > budget:
+                held -= kept.pop(0)[0]
+            repeated, room = leading + kept, budget - held
+        still = still and role == SYSTEM_ROLE and held_leading + n <= min(system, budget)
         new.append((n, rendered, role, a, b))
-        if leading:
-            system.append((n, rendered))
+        if still:
+            leading.append((n, rendered))
+            held_leading += n
         else:
             recent.append((n, rendered))
-            while sum(x[0] for x in recent) > history:
-                recent.popleft()
-        upto += n
+            held_recent += n
+            while held_recent > history:
+                held_recent -= recent.popleft()[0]
+        room -= n
         at += 1
     if new:
         yield close()
@@ -112,12 +117,13 @@ def _grouped(batches):
     return groupby(rows, lambda r: r[0])
 
 
-def format_conversations(turns: DataFrame, rank_file: str, pattern: str, budget=BUDGET, history=HISTORY, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text") -> DataFrame:
+def format_conversations(turns: DataFrame, rank_file: str, pattern: str, budget=BUDGET, history=HISTORY, system=SYSTEM, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text") -> DataFrame:
     """One row per window (WINDOWS), sorted by conversation and window within partitions.
 
     Rows with equal turn numbers are ordered by role and text, null numbers come first.
     Null roles and texts are empty, null ids form one conversation. A turn larger than the
-    budget is a window of its own, whole and marked over_budget.
+    budget is a window of its own, whole and marked over_budget (as is one that leaves no room
+    beside the system turns that it repeats). Empty table: empty result.
     """
     fields = [x.split()[0] for x in WINDOWS.split(", ")]
     types = [*[pa.int64()] * 6, pa.bool_(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
@@ -129,7 +135,7 @@ def format_conversations(turns: DataFrame, rank_file: str, pattern: str, budget=
         count = lambda s: len(encode_text(s, rank_file, pattern))
         out, size = [], 0
         for conv, rows in _grouped(batches):
-            for k, (first, n, repeated, tokens, text, spans) in enumerate(windows(((r[2], r[3]) for r in rows), count, budget, history)):
+            for k, (first, n, repeated, tokens, text, spans) in enumerate(windows(((r[2], r[3]) for r in rows), count, budget, history, system)):
                 out.append((conv, k, first, n, repeated, tokens, tokens > budget, text, [{"start": a, "end": b} for a, b in spans]))
                 size += len(text)
                 if size > 1 << 22:
@@ -138,7 +144,7 @@ def format_conversations(turns: DataFrame, rank_file: str, pattern: str, budget=
         yield batch(out)
 
     rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, WINDOWS)
+    return map_arrow(rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text"), run, WINDOWS)
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long, most_tokens long"
@@ -167,7 +173,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 8, types)], names=[x.split()[0] for x in DIGESTS.split(", ")])
 
-    return formatted.mapInArrow(run, DIGESTS)
+    return map_arrow(formatted, run, DIGESTS)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -1,24 +1,27 @@
 """Hierarchical multi-length packing of tokenised documents into training sequences.
 
 Documents become token ids and an end id. Each is routed by its length: whole
-windows of a long document are sequences of their own; what is left of it, or a
-shorter document, goes to the smallest tier (2048, 1024, 512, 256) that holds
-it. From the longest tier to the shortest, a window is opened with the longest
-waiting piece and its gap is filled with the longest pieces that fit, taken
-from the tier of the gap and the shorter ones. A gap that no whole piece fits is
-closed by cutting one. What is left when the rows end is cut to powers of two,
-the lengths that need no padding.
+windows of the longest tier are cut off a longer document as sequences of their
+own; what is left of it, or a shorter document, goes to the smallest tier (256,
+512, 1024, 2048) that holds it. Every tier is packed in windows of its own size,
+the longest tier first: a window is opened with the tier's longest piece, and its
+gap is filled with the longest pieces that fit, from the tier of the gap and the
+shorter ones. A gap that no whole piece fits is closed by cutting one. So a
+document is trained on at the smallest context that holds it, short ones also in
+the gaps of longer windows, and all sequences are full windows of a tier: powers
+of two, without padding. What is left when the rows end is cut to powers of two.
 
 Packing runs inside each task over a bounded buffer of tokens: no shuffle, no
 token crosses the network, memory does not follow the table or a document's
 length beyond its own ids, and a lost task packs its own split again to the
 same result. Sequences of each buffer are dealt to step groups so that groups
-have equal counts and nearly equal attention cost.
+have nearly equal tokens, tiers and attention cost.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import struct
 import zlib
@@ -34,7 +37,7 @@ from .common import map_arrow, table
 TIERS = (256, 512, 1024, 2048)
 #: Tokens that a task packs at a time.
 BUFFER = 1 << 21
-#: Sequences of a step group.
+#: Windows of the longest tier whose tokens make a step group; shorter windows count by their share.
 STEP_SIZE = 64
 END_ID = 1
 #: Words and pieces that a worker keeps at hand, for each of its tables.
@@ -42,10 +45,21 @@ CACHE = 1 << 17
 
 
 class WordTokens:
-    """Ids of texts under a `tokenizers` file whose pre-tokenizer drops white space
-    and never crosses it: the ids of a text are those of its words in turn, so each
-    distinct word is encoded once. A word of Latin letters takes its pieces straight
-    to the model; any other goes through the whole tokenizer."""
+    """Ids of texts under a `tokenizers` file. If its normalizer and pre-tokenizer are those
+    stated here, which drop white space and never cross it, the ids of a text are those of
+    its words in turn, so each distinct word is encoded once: a word of Latin letters takes
+    its pieces straight to the model, any other goes through the whole tokenizer. Texts under
+    any other file go through the whole tokenizer as they are."""
+
+    # Fixed values of the vocabulary whose words are encoded one by one.
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    PRE_TOKENIZER = {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    }
 
     #: The pre-tokenizer's pattern on lower-case text whose letters are Latin-1 (a fixed value of the vocabulary).
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
@@ -57,6 +71,8 @@ class WordTokens:
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
+        spec = json.loads(self.whole.to_str())
+        self.by_word = (spec["normalizer"], spec["pre_tokenizer"], spec["model"]["type"], all(t["special"] for t in spec["added_tokens"])) == (self.NORMALIZER, self.PRE_TOKENIZER, "BPE", True)
         self.model = self.whole.model
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in printable]
@@ -93,6 +109,8 @@ class WordTokens:
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if not self.by_word:
+            return np.array(self.whole.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
         out = []
         for raw in re.split(b"[ \n]+", (text or "").encode("utf-8", "replace")):
             if raw:
@@ -136,9 +154,9 @@ class _Waiting:
 def pack(lengths: list[int], tiers=TIERS, last=True):
     """Sequences, each a list of pieces (document index, start, length).
 
-    Every document is covered once. Sequences are full windows of the longest tier,
-    except that with `last` the remainder is cut to powers of two. Without it, the
-    pieces that did not fill a window are returned as the second value.
+    Every document is covered once. Sequences are full windows of a tier, except that
+    with `last` the remainder is cut to powers of two. Without it, the pieces that did
+    not fill a window are returned as the second value.
     """
     window = tiers[-1]
     full, rest = [], []
@@ -164,9 +182,10 @@ def pack(lengths: list[int], tiers=TIERS, last=True):
             room -= p[2]
         return seq
 
-    while total >= window:
-        full.append(fill(window))
-        total -= window
+    for k in range(len(tiers) - 1, -1, -1):  # what stands above is packed, so the longest piece that fits is this tier's
+        while waiting.lists[k] and total >= tiers[k]:
+            full.append(fill(tiers[k]))
+            total -= tiers[k]
     if not last:
         return full, [p for x in waiting.lists for p in x]
     while total:
@@ -176,13 +195,18 @@ def pack(lengths: list[int], tiers=TIERS, last=True):
     return full, []
 
 
-def step_groups(costs: list[int], size: int = STEP_SIZE) -> list[int]:
-    """Group of each sequence: groups differ by one sequence at most, and their costs
-    are levelled by dealing sequences from the costliest in alternating direction."""
-    n = max(1, -(-len(costs) // size))
-    out = [0] * len(costs)
-    for i, j in enumerate(sorted(range(len(costs)), key=lambda j: (-costs[j], j))):
-        out[j] = i % n if i // n % 2 == 0 else n - 1 - i % n
+def step_groups(sequences: list[tuple[int, int]], step_tokens: int = STEP_SIZE * TIERS[-1]) -> list[int]:
+    """Group of each sequence (tokens, cost). Sequences are dealt in rounds from the longest, one to
+    each group, in a round the costliest to the group with the least cost so far: groups differ
+    by one sequence at most, by two of a tier, and their costs are levelled."""
+    n = max(1, -(-sum(t for t, _ in sequences) // step_tokens))
+    cost_so_far, out = [0] * n, [0] * len(sequences)
+    order = sorted(range(len(sequences)), key=lambda j: (-sequences[j][0], -sequences[j][1], j))
+    for at in range(0, len(order), n):
+        least = sorted(range(n), key=lambda g: (cost_so_far[g], g))
+        for j, g in zip(sorted(order[at : at + n], key=lambda j: (-sequences[j][1], j)), least):
+            out[j] = g
+            cost_so_far[g] += sequences[j][1]
     return out
 
 
@@ -209,7 +233,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_c
 
         def flush(held, last):
             sequences, left = pack([len(x[1]) // 4 for x in held], tiers, last)
-            groups = step_groups([sum(p[2] ** 2 for p in seq) for seq in sequences])
+            groups = step_groups([(sum(p[2] for p in seq), sum(p[2] ** 2 for p in seq)) for seq in sequences], STEP_SIZE * tiers[-1])
             rows = []
             for seq, g in zip(sequences, groups):
                 at, size = 0, sum(p[2] for p in seq)
