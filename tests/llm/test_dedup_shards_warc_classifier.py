@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -141,6 +143,25 @@ def test_vectors_match_brute_force(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_recall_over_a_thousand_lists(spark):
+    """Pairs close to the least cosine, dealt over 1024 lists: at least 0.99 of them are found."""
+    g = np.random.default_rng(8)
+    x = g.normal(size=(9000, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = g.normal(size=x[:3000].shape)
+    u -= (u * x[:3000]).sum(1, keepdims=True) * x[:3000]
+    cos = g.uniform(0.901, 0.93, (3000, 1))
+    y = (cos * x[:3000] + np.sqrt(1 - cos**2) * u / np.linalg.norm(u, axis=1, keepdims=True)).astype(np.float32)
+    both = np.concatenate([x, y])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(df, lists=1024).collect()}
+    z = both.astype(np.float64)
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    want = np.concatenate([(z[i : i + 2000] @ z.T >= 0.9).sum(1) - 1 for i in range(0, len(z), 2000)])
+    have = np.array([got[i] for i in range(len(z))])
+    assert (have <= want).all() and want.sum() >= 6000 and have.sum() >= 0.99 * want.sum()
+
+
 def test_shards_are_even_and_match_the_mixture(spark):
     rows = [(i, prose(i % 50, 5), "en", ["hot", "a", "b", None][min(3, i % 10 // 5 + (i % 17 == 0) + (i % 31 == 0))], 0) for i in range(3000)] + [(5, "x", "en", "a", 0)] * 3 + [(None, None, None, None, None)]
     size = {"size": (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")}
@@ -160,6 +181,25 @@ def test_shards_are_even_and_match_the_mixture(spark):
     assert sharding.interleave(documents(spark, []), 8, "doc_id", "source", size).count() == 0
 
 
+def test_sources_of_one_row_spread_over_the_table(spark, monkeypatch):
+    """Single-row sources have no common fractional rank: no bucket, and no window, holds many of them."""
+    monkeypatch.setattr(sharding, "ROWS_PER_BUCKET", 32)
+    rows = [(i, "t" * (50_000 if i == 9 else 1), "en", f"host{i}", 0) for i in range(6000)] + [(10_000 + i, "u", "en", "hot", 0) for i in range(3000)]
+    seen, number = [], sharding._number
+
+    def watched(df, keys, bucket, order, name):
+        seen.append(df.groupBy(*keys, bucket).count().agg(F.max("count")).first()[0])
+        return number(df, keys, bucket, order, name)
+
+    monkeypatch.setattr(sharding, "_number", watched)
+    df = documents(spark, rows).withColumn("_b", F.lit(1)).withColumn("_stratum", F.lit("x")).withColumn("_rank", F.lit(2))
+    out = sharding.interleave(df, 8, "doc_id", "source", {"size": F.length("text")}).collect()
+    assert max(seen) < 100
+    per = Counter((r.shard, r.doc_id < 10_000) for r in out)
+    assert all(abs(per[k, True] - 750) < 120 and abs(per[k, True] + per[k, False] - 1125) <= 1 for k in range(8))
+    assert sorted(r.slot for r in out if r.shard == 3) == list(range(1125))
+
+
 @pytest.mark.parametrize("url,key", [("http://www.Example.com:80/a?b=1#f", "com,example,www)/a?b=1"), ("https://u:p@x.org", "org,x)/"), (None, ")/"), ("", ")/"), ("x.org?q", "org,x)?q")])
 def test_reversed_host_key(url, key):
     assert warc.reversed_host_key(url) == key
@@ -200,6 +240,71 @@ def test_lookup_reads_payloads_and_misses(spark):
     assert [(r.page_id, bytes(r.payload).decode()) for r in got] == [(3, rows[3][2])]
 
 
+def test_many_askers_of_one_block_and_stretches_of_one_archive(spark, monkeypatch):
+    """A block goes once to the task of its askers; one archive is read by several tasks."""
+    rows = [(i, f"http://one.host.org/{i % 97}", prose(i, 12)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    folder = warc.new_path(spark, "t")
+    lines = warc.stored(warc.write_archives(warc.captures(df), folder), "t")
+    blocks, directory = warc.build_index(lines, 1500)
+    assert lines.select("file").distinct().count() == 1 and blocks.count() <= 4
+    asked = df.select("page_id", "url")
+    got = warc.lookup(asked, blocks, directory, folder, True, 6, 4096)
+    assert {(r.page_id, bytes(r.payload).decode()) for r in got.collect()} == {(i, h) for i, _, h in rows}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and sum(n > 0 for n in got.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()) > 3
+
+
+def plain_score(text, w):
+    """Sparse dot product feature by feature, with Python's own integers."""
+    m, words = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), []
+    for t in re.findall(r"\w+|[^\w\s]+", text or ""):
+        if t[0].isalpha():
+            shape = (1 if t.islower() else 2 if len(t) > 1 and t.isupper() else 3) if t.isalpha() else 4
+        else:
+            shape = 5 if t.isdigit() else 6 if len(t) == 1 else 7
+        words.append((zlib.crc32(t.lower().encode()), shape))
+    place = lambda g: ((g * m[2]) % 2**64) >> (64 - 18)
+    x, n = defaultdict(float, {0: 0.3}), len(words)
+    for a, _ in words:
+        x[place((a + 1) * m[0] % 2**64)] += 1 / n
+    for (a, _), (b, _) in zip(words, words[1:]):
+        x[place((a * m[0] % 2**64) ^ ((b + 7) * m[1] % 2**64))] += 1 / (n - 1)
+        x[2] += (a == b) / (n - 1)
+    triples = list(zip(words, words[1:], words[2:]))
+    for a, b, c in triples:
+        x[place((a[1] * 64 + b[1] * 8 + c[1] + (1 << 40)) * m[1] % 2**64)] += 1 / len(triples)
+    if triples:
+        x[1] += 1 - len({tuple(y[0] for y in t) for t in triples}) / len(triples)
+    return x, 1 / (1 + math.exp(-sum(w.get(k, 0.0) * v for k, v in x.items())))
+
+
+def test_classifier_matches_a_plain_one(spark):
+    """FTRL over a dict, in the operator's order of rows, and scores as plain sparse dot products."""
+    docs = [(i, prose(i, 40) if i % 3 else prose(i, 20).upper() + " !! 12", "en", "s", 0) for i in range(60)] + [(4, "a repeated id", "en", "s", 0), (61, prose(3, 4000), "en", "s", 0)]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(62)]
+    df = documents(spark, docs)
+    w = quality_classifier.train(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    least = {}
+    for i, t, *_ in docs:
+        least[i] = min(t, least.get(i, t))
+    ids = [i for i, _, _ in labels if i in least and zlib.crc32(str(i).encode()) % 5]
+    order = [r.id for r in spark.createDataFrame([(i,) for i in ids], "id long").orderBy(F.xxhash64("id"), "id").collect()]
+    z, n, weights = defaultdict(float), defaultdict(float), {}
+    for _ in range(quality_classifier.EPOCHS):
+        for i in order:
+            x, p = plain_score(least[i], weights)
+            for k, v in x.items():
+                g = (p - int(i % 3 > 0)) * v
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / quality_classifier.ALPHA * weights.get(k, 0.0)
+                n[k] += g * g
+                l1 = quality_classifier.L1
+                weights[k] = 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((quality_classifier.BETA + math.sqrt(n[k])) / quality_classifier.ALPHA + quality_classifier.L2)
+    for r in quality_classifier.score(df, w).collect():
+        texts = [t for i, t, *_ in docs if i == r.id]
+        assert min(abs(r.score - plain_score(t, weights)[1]) for t in texts) < 1e-4
+
+
 def test_classifier_learns_held_out_and_ignores_other_columns(spark):
     docs = [(i, prose(i, 60) if i % 3 else prose(i, 30).upper().replace(" ", "!! "), "en", "s", 0) for i in range(400)] + [(900, None, "en", "s", 0), (901, "", "en", "s", 0), (None, prose(1, 50), "en", "s", 0)]
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(400)] + [(5000, 1, 0), (None, 1, 0), (7, None, 0), (8, 9, 0)], "doc_id long, quality int, toxic int")

@@ -1,40 +1,49 @@
 """Embedding near-duplicates by product quantisation.
 
 Equal vectors are one class first. A coarse quantiser deals class vectors to inverted
-lists; residuals are coded by sub-space. Every class vector probes its PROBES nearest
-lists: asymmetric table look-ups give its distance to each code there, and since each
-code keeps its quantisation error, the triangle inequality drops only vectors that
-cannot link. What is left is reranked by exact cosine in double precision.
+lists; residuals are coded by sub-space. Every class vector probes its nearest lists:
+asymmetric table look-ups give its distance to each code there, and since each code keeps
+its quantisation error, the triangle inequality drops only vectors that cannot link, and
+takes those that must. What lies between is reranked by exact cosine in double precision.
 
-Lists are cut to blocks of at most about BLOCK vectors, so a list with a large share of
-all vectors is many tasks. Pairs are never emitted: a block sends a count for each
-vector and a spanning set of its links. A link that only one side can find (the other
-did not probe its list) is counted for both where it is found.
+Probes are sufficient by measurement: for sample vectors and partners drawn at exactly the
+least cosine, the farthest that can link, enough lists are probed that SURE of the pairs meet
+from one side or the other. A probe is left out where the plane between two centroids
+is farther off than a link can be.
+
+Lists are cut to blocks of vectors, so a list with a large share of all vectors is many
+tasks. Pairs are never emitted: a block sends a count for each vector and a spanning set of
+its links. A link that only one side can find (the other did not probe its list) is counted
+for both where it is found.
 
 Lists nearer than SEPARATION are merged, so near copies of one vector share a list
-however many there are. Quantisers are trained on a bounded sample (MAX_SAMPLE
+however many there are. Quantisers are trained in one task on a bounded sample (MAX_SAMPLE
 vectors, by hash); all vectors are indexed. Recall is measured in the tests.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from .common import stored, table
+from .common import map_arrow, stored, table
 from .components import components, local_roots
 
 LEAST_COSINE = 0.9
-PROBES = 12
+#: Share of the hardest pairs that probes must bring together, pairs drawn to measure it, and probes at most.
+SURE, DRAWN, MAX_PROBES = 0.999, 4096, 64
 #: Vectors that train the quantisers, and inverted lists, at most.
 MAX_SAMPLE, MAX_LISTS = 65536, 16384
 SUBSPACES, CODES = 8, 256
-BLOCK = 2048
-QUERIES = 256
+#: Vectors of a block, and of one in the largest tables.
+BLOCK, MAX_BLOCK = 2048, 16384
+QUERIES = 128
 #: Coarse centroids of unit vectors are at least so far apart.
 SEPARATION = 0.45
 ROUNDS = 6
@@ -75,20 +84,43 @@ def apart(c: np.ndarray, least: float) -> np.ndarray:
 
 
 class Quantiser:
-    def __init__(self, sample: np.ndarray, lists: int, separation=SEPARATION):
+    """coarse: centroids of the lists; books: centroids of the residuals' sub-spaces; probes: lists to probe."""
+
+    def __init__(self, sample: np.ndarray, lists: int, separation=SEPARATION, least=LEAST_COSINE):
         self.coarse = apart(kmeans(sample, lists), separation)
         cuts = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int)
         self.parts = [slice(a, b) for a, b in zip(cuts, cuts[1:])]
         rest = sample - self.coarse[_nearest(sample, self.coarse)[:, 0]]
         self.books = [kmeans(rest[:, p], CODES) for p in self.parts]
-
-    def encode(self, x: np.ndarray, probes: int):
-        """Probed lists (own first), codes, and distances from the decoded vectors."""
-        near = _nearest(x, self.coarse, min(probes, len(self.coarse)))
-        rest = x - self.coarse[near[:, 0]]
+        self.far = float(np.sqrt(2 - 2 * least) + 1e-9)
+        self.probes = self.sufficient(sample, least)
+
+    def sufficient(self, sample: np.ndarray, least: float) -> int:
+        """Probes that bring together SURE of the pairs of sample vectors and partners at the least cosine."""
+        g = np.random.default_rng(1)
+        x = sample[np.linspace(0, len(sample) - 1, min(DRAWN, len(sample))).astype(int)]
+        u = g.normal(size=x.shape)
+        u -= (u * x).sum(1, keepdims=True) * x
+        y = least * x + np.sqrt(1 - least * least) * u / np.maximum(np.sqrt((u * u).sum(1, keepdims=True)), 1e-300)
+        half, ranks = (self.coarse * self.coarse).sum(1) / 2, []
+        for i in range(0, len(x), 512):
+            sx, sy = half - x[i : i + 512] @ self.coarse.T, half - y[i : i + 512] @ self.coarse.T
+            at = np.arange(len(sx))
+            ranks.append(np.minimum((sx < sx[at, sy.argmin(1)][:, None]).sum(1), (sy < sy[at, sx.argmin(1)][:, None]).sum(1)))
+        return int(min(MAX_PROBES, 1 + np.quantile(np.concatenate(ranks), SURE, method="higher")))
+
+    def encode(self, x: np.ndarray, probes: int | None = None):
+        """Probed lists (own first, -1 where a probe can find nothing), codes, and distances from the decoded vectors."""
+        near = _nearest(x, self.coarse, min(probes or self.probes, len(self.coarse)))
+        own = self.coarse[near[:, :1]]
+        # distance of x from the plane between its own centroid and another: what lies beyond is no nearer
+        away = np.sqrt(((self.coarse[near] - own) ** 2).sum(2))
+        gap = (((x[:, None] - self.coarse[near]) ** 2).sum(2) - ((x - own[:, 0]) ** 2).sum(1)[:, None]) / 2
+        probed = np.where(gap <= self.far * away + 1e-9, near, -1)
+        rest = x - own[:, 0]
         codes = np.stack([_nearest(rest[:, p], b)[:, 0] for p, b in zip(self.parts, self.books)], 1).astype(np.uint8)
         decoded = np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], 1)
-        return near, codes, np.sqrt(((rest - decoded) ** 2).sum(1))
+        return probed, codes, np.sqrt(((rest - decoded) ** 2).sum(1))
 
     def distances(self, x: np.ndarray, own: int, codes: np.ndarray) -> np.ndarray:
         """Distances of rows of x from vectors coded in list `own`, by table look-up."""
@@ -100,19 +132,24 @@ class Quantiser:
 
 
 def _unit(raw: list[bytes], size: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(-1, size)
+    """Unit vectors in double precision; components are stored as floats or as doubles."""
+    data = b"".join(raw)
+    x = np.frombuffer(data, "<f4" if len(data) == 4 * size * len(raw) else "<f8").astype(np.float64).reshape(-1, size)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def vectors(rows: DataFrame, id_col="vec_id", vec_col="embedding") -> DataFrame:
-    """id, size (null: links with nothing), key (digest of the components), raw (their doubles)."""
+    """id, size (null: links with nothing), key (digest of the components), raw (floats of a float column, else doubles)."""
+    kind = rows.schema[vec_col].dataType
+    item = "float" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "double"
+    number = np.dtype("<f4" if item == "float" else "<f8")
 
     def run(batches):
         for b in batches:
             size, key, raw = [], [], []
             for i, v in zip(b.column(0).to_pylist(), b.column(1)):
-                v = None if i is None or not v.is_valid or v.values.null_count else v.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
+                v = None if i is None or not v.is_valid or v.values.null_count else v.values.to_numpy(zero_copy_only=False).astype(number) + number.type(0)
                 ok = v is not None and len(v) > 0 and np.isfinite(v).all() and v.any()
                 data = v.tobytes() if ok else None
                 size.append(len(v) if ok else None)
@@ -120,37 +157,52 @@ def vectors(rows: DataFrame, id_col="vec_id", vec_col="embedding") -> DataFrame:
                 raw.append(data)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.array(key, pa.binary()), pa.array(raw, pa.binary())], names=["id", "size", "key", "raw"])
 
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(run, "id long, size int, key binary, raw binary")
+    return map_arrow(rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(f"array<{item}>").alias("v")), run, "id long, size int, key binary, raw binary")
 
 
 FOUND = "edge boolean, a long, b long"
 
 
-def _search(classes: DataFrame, size: int, least: float, probes: int) -> DataFrame:
+def _trained(classes: DataFrame, total: int, size: int, lists: int, least: float) -> Quantiser:
+    """Learned in one task from a sample by hash; only the centroids come to the driver."""
+    most = min(MAX_SAMPLE, max(8192, 32 * lists))
+    h = F.pmod(F.xxhash64("key"), F.lit(1 << 40))
+    taken = classes.select("key", "raw", h.alias("h")).filter(F.col("h") <= int(min(1.0, 1.1 * most / total + 0.01) * (1 << 40)))
+
+    def run(batches):
+        raw = [x for b in batches for x in b.column(0).to_pylist()]
+        if raw:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Quantiser(_unit(raw, size), lists, least=least))], pa.binary())], names=["q"])
+
+    sample = taken.repartition(1).sortWithinPartitions("h", "key").limit(most).select("raw")
+    return pickle.loads(map_arrow(sample, run, "q binary").first()["q"])
+
+
+def _search(classes: DataFrame, size: int, least: float, lists: int | None = None) -> DataFrame:
     """FOUND rows for class vectors of one size: counts (a linked with b more vectors), edges."""
     spark = classes.sparkSession
     total = classes.count()
-    lists = int(min(MAX_LISTS, max(1, 2 ** round(np.log2(max(total, 1)) / 2))))
-    sample = classes.select("raw").orderBy(F.xxhash64("key"), "key").limit(min(MAX_SAMPLE, max(8192, 32 * lists))).collect()
-    sent = spark.sparkContext.broadcast(Quantiser(_unit([bytes(r["raw"]) for r in sample], size), lists))
+    lists = lists or int(min(MAX_LISTS, max(1, 2 ** round(np.log2(max(total, 1)) / 2))))
+    block = int(min(MAX_BLOCK, max(BLOCK, total >> 16)))
+    sent = spark.sparkContext.broadcast(_trained(classes, total, size, lists, least))  # MAX_LISTS centroids at most
 
     def index(batches):
         for b in batches:
             if b.num_rows:
-                near, codes, err = sent.value.encode(_unit(b.column(2).to_pylist(), size), probes)
+                near, codes, err = sent.value.encode(_unit(b.column(2).to_pylist(), size))
+                lists_of = pa.array([x[x >= 0] for x in near.astype(np.int32)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(near[:, 0].astype(np.int32)), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err), b.column(2)],
+                    [b.column(0), b.column(1), pa.array(near[:, 0].astype(np.int32)), lists_of, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err), b.column(2)],
                     names=["rep", "n", "own", "near", "codes", "err", "raw"],
                 )
 
-    coded = stored(classes.select("rep", "n", "raw").mapInArrow(index, "rep long, n long, own int, near array<int>, codes binary, err double, raw binary"), "pq-codes")
-    blocks = {r["own"]: -(-r["count"] // BLOCK) for r in coded.groupBy("own").count().collect()}  # MAX_LISTS rows at most
+    coded = stored(map_arrow(classes.select("rep", "n", "raw"), index, "rep long, n long, own int, near array<int>, codes binary, err double, raw binary"), "pq-codes")
+    blocks = {r["own"]: -(-r["count"] // block) for r in coded.groupBy("own").count().collect()}  # MAX_LISTS rows at most
     n_blocks = stored(spark.createDataFrame([(k, v) for k, v in blocks.items()], "l int, n_blocks int"), "pq-blocks") if blocks else spark.createDataFrame([], "l int, n_blocks int")
     held = coded.join(F.broadcast(n_blocks), F.col("own") == F.col("l")).select("own", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "rep", "n", F.col("own").alias("home"), "near", "codes", "err", "raw")
     asking = coded.withColumn("to", F.explode("near")).join(F.broadcast(n_blocks), F.col("to") == F.col("l")).withColumn("block", F.explode(F.expr("sequence(0, n_blocks - 1)")))
     none = F.lit(None)
     asking = asking.select(F.col("to").alias("own"), "block", F.lit(1).alias("asks"), "rep", "n", F.col("own").alias("home"), none.cast("array<int>").alias("near"), none.cast("binary").alias("codes"), none.cast("double").alias("err"), "raw")
-    far = np.sqrt(2 - 2 * least) + 1e-9
 
     def links(batches):
         q = sent.value
@@ -159,13 +211,18 @@ def _search(classes: DataFrame, size: int, least: float, probes: int) -> DataFra
         def answer(s, asks):
             rep, n, home, x = asks
             y_rep, y_n, near, codes, err, y = s["index"]
-            cand = q.distances(x, s["key"][0], codes) <= far + err
-            i, j = np.nonzero(cand & (rep[:, None] != y_rep[None, :]))
-            keep = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65536]], y[j[k : k + 65536]]) >= least for k in range(0, len(i), 65536)] or [np.empty(0, bool)])
-            i, j = i[keep], j[keep]
+            dist = q.distances(x, s["key"][0], codes)
+            link = (dist + err <= q.far - 1e-6) & (rep[:, None] != y_rep[None, :])  # must link
+            i, j = np.nonzero((dist <= q.far + err) & ~link & (rep[:, None] != y_rep[None, :]))
+            for k in range(0, len(i), 32768):
+                a, b = i[k : k + 32768], j[k : k + 32768]
+                link[a, b] = np.einsum("ij,ij->i", x[a], y[b]) >= least
+            i, j = np.nonzero(link)
             if not len(i):
                 return None
-            alone = ~(near[j] == home[i][:, None]).any(1)  # these askers' lists are not probed by what they found
+            homes, at_home = np.unique(home, return_inverse=True)
+            probed = np.stack([(near == h).any(1) for h in homes])
+            alone = ~probed[at_home[i], j]  # these askers' lists are not probed by what they found
             ids = np.concatenate([rep, y_rep])
             values, at = np.unique(ids, return_inverse=True)
             a, b = at[: len(rep)], at[len(rep) :]
@@ -185,7 +242,10 @@ def _search(classes: DataFrame, size: int, least: float, probes: int) -> DataFra
         def finish():
             """Index rows of the block are complete: turn them into arrays."""
             t = pa.Table.from_batches(pending)
-            near = np.array(t.column("near").to_pylist(), np.int32).reshape(t.num_rows, -1)
+            lists_of = t.column("near").to_pylist()
+            near = np.full((len(lists_of), max(map(len, lists_of))), -1, np.int32)
+            for row, x in zip(near, lists_of):
+                row[: len(x)] = x
             codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.uint8).reshape(t.num_rows, -1)
             state["index"] = (*rows_of(t), near, codes, t.column("err").to_numpy(), _unit(t.column("raw").to_pylist(), size))
             pending.clear()
@@ -213,21 +273,22 @@ def _search(classes: DataFrame, size: int, least: float, probes: int) -> DataFra
                         yield out
 
     dealt = held.unionByName(asking).repartition("own", "block").sortWithinPartitions("own", "block", "asks", "rep")
-    return dealt.mapInArrow(links, FOUND)
+    return map_arrow(dealt, links, FOUND)
 
 
-def near_vectors(rows: DataFrame, id_col="vec_id", vec_col="embedding", least=LEAST_COSINE, probes=PROBES) -> DataFrame:
+def near_vectors(rows: DataFrame, id_col="vec_id", vec_col="embedding", least=LEAST_COSINE, lists: int | None = None) -> DataFrame:
     """One row per row: vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows
     without id, link with nothing: n_links 0, a component of their own (null without id).
     Vectors of different lengths never link. Rows with equal vectors link with each other.
+    `lists` sets the number of inverted lists (none: about the square root of the vectors).
     """
     all_rows = stored(vectors(rows, id_col, vec_col), "pq-vectors")
     classes = stored(all_rows.filter("size is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("raw").alias("raw")), "pq-classes")
     found = None
     for r in classes.select("size").distinct().orderBy("size").collect():
-        part = _search(classes.filter(F.col("size") == r["size"]), r["size"], least, probes)
+        part = _search(classes.filter(F.col("size") == r["size"]), r["size"], least, lists)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = rows.sparkSession.createDataFrame([], FOUND)

@@ -109,10 +109,12 @@ def crc_fold(id_col):
 
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", max_train=MAX_TRAIN, epochs=EPOCHS) -> np.ndarray:
     """Weights (float32) learned from labelled rows whose fold is not 0. Labels other than
-    0 and 1, and null ids, teach nothing; no labels at all give weights of zero."""
+    0 and 1, and null ids, teach nothing; of rows that repeat an id the least text does. No
+    labels at all give weights of zero."""
     known = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and i is not null").filter(crc_fold(F.col("i")) != 0)
     known = known.groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(max_train)
     sample = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "i")  # max_train rows of two numbers
+    sample = sample.groupBy("i", "y").agg(F.min("text").alias("text"))  # an id that repeats teaches once
     sample = stored(sample.select("y", F.xxhash64("i").alias("h"), "i", "text"), "classifier-sample")
     turns = sample.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, stored, table
+from .common import map_arrow, new_path, stored, table
 
 #: Capture lines of an index block, at least.
 BLOCK_LINES = 1024
@@ -35,6 +35,8 @@ BLOCK_LINES = 1024
 MAX_BLOCKS = 1 << 15
 #: Payloads of an archive file before it is closed, about.
 ARCHIVE_BYTES = 64 << 20
+#: Bytes of archives that a task reads, about, and of a stretch of an archive that one task reads, at most.
+READ_BYTES, STRETCH = 16 << 20, 4 << 20
 LEVEL = 1
 NO_ID = "-"
 
@@ -141,7 +143,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             yield close()
 
-    return rows.select("page_id", "url", "payload", "sha", "payload_bytes", "record_type", "refers_to").mapInArrow(run, INDEX)
+    return map_arrow(rows.select("page_id", "url", "payload", "sha", "payload_bytes", "record_type", "refers_to"), run, INDEX)
 
 
 def build_index(lines: DataFrame, total: int) -> tuple[DataFrame, list[tuple[str, int]]]:
@@ -168,7 +170,7 @@ def build_index(lines: DataFrame, total: int) -> tuple[DataFrame, list[tuple[str
 
     parts = max(1, min(lines.sparkSession.sparkContext.defaultParallelism * 4, total // per_block + 1, MAX_BLOCKS // 2))
     dealt = lines.repartitionByRange(parts, "key", "file", "at").sortWithinPartitions("key", "file", "at")
-    blocks = stored(dealt.mapInArrow(run, "block long, first string, lines binary"), "warc-blocks")
+    blocks = stored(map_arrow(dealt, run, "block long, first string, lines binary"), "warc-blocks")
     directory = sorted((r["first"], r["block"]) for r in blocks.select("first", "block").collect())  # MAX_BLOCKS entries at most
     return blocks.select("block", "lines"), directory
 
@@ -176,10 +178,11 @@ def build_index(lines: DataFrame, total: int) -> tuple[DataFrame, list[tuple[str
 READ = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
-def lookup(wanted: DataFrame, blocks: DataFrame, directory: list[tuple[str, int]], folder: str, with_payload=True) -> DataFrame:
-    """wanted: page_id, url. The records of these captures, read by ranges from the archives (READ).
+def lookup(wanted: DataFrame, blocks: DataFrame, directory: list[tuple[str, int]], folder: str, with_payload=True, parts: int | None = None, stretch=STRETCH) -> DataFrame:
+    """wanted: page_id, url. The records of these captures, read by ranges from the archives (READ)
+    in `parts` tasks (none: four for each core), each stretch of an archive by one of them.
 
-    A capture that the index doesn't have gives no row; one that was asked for twice, or
+    A block of the index is sent once, to the task of its askers. A capture that the index doesn't have gives no row; one that was asked for twice, or
     written twice, comes once for each pair of asking and archived row."""
     firsts, numbers = [k for k, _ in directory], [n for _, n in directory]
 
@@ -195,13 +198,14 @@ def lookup(wanted: DataFrame, blocks: DataFrame, directory: list[tuple[str, int]
             yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int64()), pa.array(out_k, pa.string())], names=["b", "k"])
 
     def find(batches):
-        opened, keys, lines = None, [], []
+        keys, lines = [], []
         for b in batches:
             found = []
-            for n, k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                if n != opened:
-                    lines = zlib.decompress(raw.as_py()).decode().split("\n")
-                    keys, opened = [x.split("\t", 1)[0] for x in lines], n
+            for raw, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if raw is not None:  # the block, before its askers
+                    lines = zlib.decompress(raw).decode().split("\n")
+                    keys = [x.split("\t", 1)[0] for x in lines]
+                    continue
                 i = bisect.bisect_left(keys, k)
                 while i < len(keys) and keys[i] == k:
                     found.append(lines[i].split("\t")[1:])
@@ -232,10 +236,12 @@ def lookup(wanted: DataFrame, blocks: DataFrame, directory: list[tuple[str, int]
         if source is not None:
             source.close()
 
-    asked = wanted.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(route, "b long, k string")
-    # blocks have a bounded number of lines, so no block has more askers than copies of its lines
-    places = asked.join(blocks, asked["b"] == blocks["block"]).select("b", "k", "lines").sortWithinPartitions("b").mapInArrow(find, "file string, at long, length long")
-    return places.repartition("file").sortWithinPartitions("file", "at").mapInArrow(read, READ)
+    parts = parts or 4 * wanted.sparkSession.sparkContext.defaultParallelism
+    asked = map_arrow(wanted.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")), route, "b long, k string")
+    rows = blocks.select(F.col("block").alias("b"), "lines", F.lit(None).cast("string").alias("k")).unionByName(asked.select("b", F.lit(None).cast("binary").alias("lines"), "k"))
+    places = map_arrow(rows.repartition(parts, "b").sortWithinPartitions("b", F.col("lines").isNull(), "k"), find, "file string, at long, length long")
+    dealt = places.repartition(parts, F.col("file"), F.expr(f"at div {stretch}")).sortWithinPartitions("file", "at")
+    return map_arrow(dealt, read, READ)
 
 
 def archive_and_read(pages: DataFrame, least_bytes=0, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
@@ -247,11 +253,13 @@ def archive_and_read(pages: DataFrame, least_bytes=0, id_col="page_id", url_col=
     folder = new_path(spark, "warc-archives")
     rows = captures(pages, least_bytes, id_col, url_col, html_col)
     lines = stored(write_archives(rows, folder), "warc-lines")
-    total = lines.count()
+    total, size = lines.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
     blocks, directory = build_index(lines, total)
     # each archived capture is asked for once
     asked = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url")).distinct()
-    return lookup(asked, blocks, directory, folder, False).drop("payload")
+    # small archives are still read by all cores, in as short stretches as that takes
+    parts = max(1, min(2 * spark.sparkContext.defaultParallelism, total // 256), -(-size // READ_BYTES))
+    return lookup(asked, blocks, directory, folder, False, parts, max(1 << 16, min(STRETCH, size // (8 * parts)))).drop("payload")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
