@@ -186,8 +186,9 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", size=3) -
     return rows.join(by_fp, "fp").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of a text in similar_documents(), and odd multipliers that make its word hashes independent.
-VIEWS = 2
+#: Fingerprints of a text in similar_documents(): one, as MinHash bands find what it misses (a second
+#: one changed no group of any table it was tried on). Odd multipliers make their word hashes independent.
+VIEWS = 1
 #: Spanning forests of candidate links that a task sends on to be verified.
 FORESTS = 1
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -201,7 +202,9 @@ _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS,
 #: Pivot rounds at most, and pairs left per bucket row up to which all are verified at once.
 PIVOTS, FEW = 2, 4
 #: Longs of a set's bitmap, by which pairs that can't be similar are told without their sets.
-LONGS = 8
+LONGS = 16
+#: Bits of the bitmap of ids whose texts are read again.
+SLOTS = 1 << 22
 
 
 def word_fingerprints(text: str | None, views: int = VIEWS) -> list[int]:
@@ -397,19 +400,26 @@ def similar_documents(docs: DataFrame, id_col="doc_id", text_col="text", size=5,
     alone = lambda x, y: F.expr(f"size_{x} - (" + " + ".join(f"bit_count({z}_{x} & ~{z}_{y})" for z in longs) + ")")
     shared = F.least(alone("a", "b"), alone("b", "a"))  # shingles that both can have, at most
     likely = pairs.join(of_end("a"), "a").join(of_end("b"), "b").filter(shared >= least * (F.col("size_a") + F.col("size_b") - shared) - 1e-9).select("a", "b")
-    # the nodes of all buckets are among the ends of all pairs
-    ends = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).distinct()
-    wanted = stored(ends.join(texts.select(F.col("node"), "low", F.col("th").alias("want")), F.col("n") == F.col("node")).select("n", "low", "want"), "similar-wanted")
-    # ids may repeat: a node's text is the one whose hash made it
-    mine = rows.join(wanted, F.col("id") == F.col("low")).mapInArrow(_text_of, "n long, text string")
-    grams = stored(map_arrow(mine, sets, "n long, grams binary"), "similar-grams")
+
+    def fetched(pairs):
+        """n, grams: the sets of the pairs' ends, from texts that are read again. A bitmap of the
+        asked ids keeps nearly all other texts out of the shuffle."""
+        ends = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).distinct()
+        wanted = stored(ends.join(texts.select("node", "low", F.col("th").alias("want")), F.col("n") == F.col("node")).select("n", "low", "want"), "similar-wanted")
+        slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+        asked = wanted.select(slot("low").alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("m"))  # SLOTS / 64 rows at most
+        few = rows.withColumn("s", slot("id")).join(F.broadcast(asked), F.expr("s div 64") == F.col("w")).filter(F.expr("(m & shiftleft(1L, cast(s % 64 as int))) <> 0")).select("id", "text")
+        # ids may repeat: a node's text is the one whose hash made it
+        mine = few.join(wanted, F.col("id") == F.col("low")).mapInArrow(_text_of, "n long, text string")
+        return stored(map_arrow(mine, sets, "n long, grams binary"), "similar-grams")
 
     def verified(pairs):
+        grams = fetched(pairs)
         one = pairs.join(grams.select(F.col("n").alias("a"), F.col("grams").alias("x")), "a")
         two = one.join(grams.select(F.col("n").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
         return stored(map_arrow(two, similar, "a long, b long"), "similar-links")
 
-    links, pivot = verified(likely), 0
+    links, pivot = verified(stored(likely, "similar-pairs")), 0
     roots = stored(components(links, "similar-components"), "similar-roots")
     while pivot is not None:
         grouped = stored(buckets.join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("group")), "similar-grouped")
