@@ -41,7 +41,7 @@ BUFFER = 1 << 21
 STEP_SIZE = 64
 END_ID = 1
 #: Words and pieces that a worker keeps at hand, for each of its tables.
-CACHE = 1 << 17
+CACHE = 1 << 18
 
 
 class WordTokens:
