@@ -37,6 +37,17 @@ def mul64(x: Column, c: int) -> Column:
     return F.shiftleft(high.bitwiseAND(F.lit(M32)), 32).bitwiseOR(low.bitwiseAND(F.lit(M32)))
 
 
+def add64(a: Column, b: Column) -> Column:
+    """a + b mod 2^64."""
+    low = a.bitwiseAND(F.lit(M32)) + b.bitwiseAND(F.lit(M32))
+    high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(low, 32)
+    return F.shiftleft(high.bitwiseAND(F.lit(M32)), 32).bitwiseOR(low.bitwiseAND(F.lit(M32)))
+
+
+def rotate_left(x: Column, n: int) -> Column:
+    return F.shiftleft(x, n).bitwiseOR(F.shiftrightunsigned(x, 64 - n))
+
+
 def unsigned_mod(x: Column, n: int) -> Column:
     """x mod n with x as unsigned 64 bits; n at most 2^31."""
     return ((F.shiftrightunsigned(x, 32) % n) * ((1 << 32) % n) + x.bitwiseAND(F.lit(M32))) % n

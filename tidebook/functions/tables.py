@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where that is unset (tests on one machine) a folder of its own."""
+    """spark.checkpoint.dir of the session; where that is unset and there is one machine only (tests), a folder of its own."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (known or os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
+    if not known:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        known = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return known.rstrip("/")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

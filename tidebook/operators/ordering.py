@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import number
+from ..functions.routing import group_of
+from .fold import fold
+
 
 def echo(commands: DataFrame) -> DataFrame:
     """The core that validates nothing: one event per command, dense per symbol."""
@@ -41,6 +45,64 @@ def duplicate_iseqs(merged: DataFrame) -> DataFrame:
     return merged.groupBy("iseq").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def sequence(commands: DataFrame, order: list[str], first: int = 1) -> DataFrame:
+    """`commands` with `iseq`: numbered from `first` along their order of arrival (which must be total)."""
+    return number(commands, [], order, "_n").withColumn("iseq", F.col("_n") + (first - 1)).drop("_n")
+
+
+def split(commands: DataFrame, groups: int) -> DataFrame:
+    """Adds `group_id` and `place`: a batch's commands by owning group, each symbol's in their order."""
+    return number(commands.withColumn("group_id", group_of(F.col("symbol"), groups)), ["group_id"], ["iseq"], "place")
+
+
+def listing(events: DataFrame) -> DataFrame:
+    """Adds `place`: an event's line number in the listing of its partition, from 1. The listing of
+    all partitions is sorted by partition and place."""
+    return number(events, ["partition"], ["iseq", "ordinal"], "place")
+
+
+def merge_events(streams: list[DataFrame]) -> DataFrame:
+    """One stream from several that may overlap: (symbol, seq) names an event."""
+    out = streams[0]
+    for s in streams[1:]:
+        out = out.unionByName(s)
+    return out.dropDuplicates(["symbol", "seq"])
+
+
+SESSIONS = "node long, idx long, client long, seq long, reply string, result long"
+#: Sessions that a node keeps (fixed value); the one created first goes when there are more.
+MAX_SESSIONS = 65536
+
+
+def sessions(requests: DataFrame, limit: int = MAX_SESSIONS) -> DataFrame:
+    """What each request (node, idx, client, seq, result) is answered, in the order of idx: `applied`
+    with its result if its seq is above the client's last, `repeat` with the stored result of an equal
+    one, `stale` below. Of more than `limit` clients the one that has been known longest is forgotten.
+
+    Memory: `limit` sessions a node."""
+
+    def step(node, rows):
+        known: dict = {}  # by creation
+        for r in rows:
+            last = known.get(r["client"])
+            if last is not None and r["seq"] <= last[0]:
+                same = r["seq"] == last[0]
+                yield node, r["idx"], r["client"], r["seq"], "repeat" if same else "stale", last[1] if same else None
+                continue
+            known[r["client"]] = (r["seq"], r["result"])
+            if len(known) > limit:
+                del known[next(iter(known))]
+            yield node, r["idx"], r["client"], r["seq"], "applied", r["result"]
+
+    return fold(requests, "node", ["idx"], step, SESSIONS, ["node", "idx", "client", "seq", "result"])
+
+
+def replay_problems(replayed: DataFrame, ring: DataFrame) -> DataFrame:
+    """source, idx of events that came again unlike those kept under the same index. Both: source, idx, event."""
+    kept = ring.select("source", "idx", F.col("event").alias("_kept"))
+    return replayed.join(kept, ["source", "idx"]).filter(~F.col("event").eqNullSafe(F.col("_kept"))).select("source", "idx")
+
+
 def session_accepted(rows: DataFrame, client: str = "client", seq: str = "seq", index: str = "idx") -> DataFrame:
     """Adds `applied`: whether a request's seq is above all earlier ones of its client."""
     before = Window.partitionBy(client).orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
@@ -60,7 +122,7 @@ def intake_without_gaps(arrivals: DataFrame, key: str = "shard", idx: str = "idx
 
 def archive_index(events: DataFrame, retain: int, source: str = "source", order: tuple = ("iseq", "ordinal")) -> DataFrame:
     """Adds `idx`, contiguous from 1 per source, and `retained`: whether it is in the last `retain`."""
-    numbered = events.withColumn("idx", F.row_number().over(Window.partitionBy(source).orderBy(*order)).cast("long"))
+    numbered = number(events, [source], list(order), "idx")
     last = numbered.groupBy(source).agg(F.max("idx").alias("_last"))
     return numbered.join(last, source).withColumn("retained", F.col("idx") > F.col("_last") - retain).drop("_last")
 
@@ -80,6 +142,31 @@ def read_stream(archive: DataFrame, source: int, start: int, limit: int) -> Data
     return good.unionByName(bad)
 
 
+#: Order ids hold their shard above this bit (fixed value).
+SHARD_BITS = 48
+
+
+def concerned_shards(shards: int):
+    """Column: the ledger shards that a settlement event concerns: of both orders of a trade, of a closed
+    order, of the account of a slice event (account modulo shards); slice fees are booked on shard 0."""
+    of = lambda c: F.shiftrightunsigned(F.col(c), SHARD_BITS)
+    return (
+        F.when(F.col("kind") == "trade", F.array_distinct(F.array(of("buy"), of("sell"))))
+        .when(F.col("kind") == "closed", F.array(of("order_id")))
+        .when(F.col("kind") == "slice_fee", F.array(F.lit(0).cast("long")))
+        .otherwise(F.array(F.pmod("account", F.lit(shards)).cast("long")))
+    )
+
+
+def settle_routes(events: DataFrame, shards: int) -> DataFrame:
+    """events: source, idx, kind, buy, sell, order_id, account. A row for each of the `shards`
+    that an event concerns, with `prev`, the index before it that went there (0: none); orders of
+    credit slices belong to no ledger shard."""
+    routed = events.withColumn("shard", F.explode(concerned_shards(shards))).filter((F.col("shard") >= 0) & (F.col("shard") < shards))
+    prev = F.lag("idx").over(Window.partitionBy("source", "shard").orderBy("idx"))
+    return routed.withColumn("prev", F.coalesce(prev, F.lit(0)))
+
+
 def settle_chain(events: DataFrame, shards: int) -> DataFrame:
     """events: source, idx, buy, sell (order ids). One row for each shard that an event concerns,
     with `prev`, the index before it that went to the same shard (0: none)."""
@@ -103,18 +190,26 @@ def due_cancels(orders: DataFrame, now: int, max_age: int, retry: int, limit: in
     return picked.withColumn("place", F.row_number().over(Window.orderBy("p", "t", "order_id")).cast("long")).select("order_id", "place")
 
 
-def percentiles(samples: DataFrame, value: str, shares: list[str], rule: str = "nearest", by: str | None = None) -> DataFrame:
-    """Exact percentiles over all samples. Rule `nearest`: rank ceil(p * n); `index`: 0-based
-    place ceil((n - 1) * p). Samples are counted by value first, so the ordered window runs over
-    distinct values; by..., share, value."""
+def percentiles(samples: DataFrame, value: str, shares: list[str], rule: str = "nearest", by: str | None = None, cells: int = 4096) -> DataFrame:
+    """Exact percentiles over all samples of a whole-number `value`. Rule `nearest`: rank ceil(p * n);
+    `index`: 0-based place ceil((n - 1) * p). by..., share, value.
+
+    Values are counted in `cells` stretches between least and greatest first; only those in the
+    stretches where an asked rank lies are counted one by one, so no task orders all values."""
     keys = [by] if by else []
-    c = samples.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(value)
-    n = F.sum("c").over(Window.partitionBy(*keys))
-    c = c.withColumn("hi", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("n", n)
-    asked = c.withColumn("share", F.explode(F.array(*[F.lit(s) for s in shares])))
+    ends = samples.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")).filter("_lo is not null").withColumn("_step", F.expr(f"(_hi - _lo) div {cells} + 1"))
+    placed = (samples.join(ends, keys) if keys else samples.join(F.broadcast(ends), F.col(value) >= F.col("_lo"))).withColumn("_cell", F.expr(f"({value} - _lo) div _step"))
+    per = placed.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_c"))
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_cell")
+    per = per.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("n", F.sum("_c").over(Window.partitionBy(*keys)))
+    share = F.explode(F.array(*[F.lit(s) for s in shares]))
     per_mille = F.round(F.col("share").cast("double") * 1000).cast("long")
     up = lambda a: F.floor((a + 999) / 1000)
     rank = F.greatest(up(per_mille * F.col("n")), F.lit(1)) if rule == "nearest" else up(per_mille * (F.col("n") - 1)) + 1
-    hit = asked.filter((F.col("hi") >= rank) & (F.col("hi") - F.col("c") < rank))
+    sought = per.withColumn("share", share).withColumn("_rank", rank - (F.col("_upto") - F.col("_c"))).filter((F.col("_rank") >= 1) & (F.col("_rank") <= F.col("_c"))).select(*keys, "_cell", "share", "_rank")
+    cell = placed.join(sought.select(*keys, "_cell").distinct(), [*keys, "_cell"], "left_semi")
+    c = cell.groupBy(*keys, "_cell", value).agg(F.count(F.lit(1)).alias("c"))
+    inner = Window.partitionBy(*keys, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = c.withColumn("hi", F.sum("c").over(inner)).join(sought, [*keys, "_cell"])
+    hit = c.filter((F.col("hi") >= F.col("_rank")) & (F.col("hi") - F.col("c") < F.col("_rank")))
     return hit.select(*keys, "share", F.col(value).alias("value"))

@@ -7,21 +7,27 @@ range join over all pairs nor one task for a symbol's takers is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbering import running_sum
 
-def _stretches(rows: DataFrame, order: list, step: int) -> DataFrame:
-    w = Window.partitionBy("symbol").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = rows.withColumn("hi", F.sum("qty").over(w)).withColumn("lo", F.col("hi") - F.col("qty"))
+
+def _stretches(rows: DataFrame, order: list[str], step: int) -> DataFrame:
+    s = running_sum(rows, ["symbol"], order, "qty", "hi").withColumn("lo", F.col("hi") - F.col("qty"))
     return s.withColumn("b", F.explode(F.expr(f"sequence(lo div {step}, (hi - 1) div {step})")))
 
 
-def sweep_trades(makers: DataFrame, takers: DataFrame, maker_side: str = "ask", step: int = 64) -> DataFrame:
-    """symbol, maker, taker, price, qty. makers: symbol, iseq, order_id, price, qty; takers the same without price."""
+def sweep_trades(makers: DataFrame, takers: DataFrame, maker_side: str = "ask", step: int | None = None) -> DataFrame:
+    """symbol, maker, taker, price, qty. makers: symbol, iseq, order_id, price, qty; takers the same without price.
+    `step` is the width of a bucket of the quantity axis; none: some ten mean quantities, so that
+    rows and buckets stay in proportion whatever the unit."""
+    if step is None:
+        mean = makers.select("qty").unionByName(takers.select("qty")).agg(F.avg("qty")).first()[0]
+        step = max(1, round(10 * (mean or 0)))
     best = F.col("price") if maker_side == "ask" else -F.col("price")
-    m = _stretches(makers.select("symbol", "iseq", "order_id", "price", "qty"), [best, F.col("iseq")], step)
-    t = _stretches(takers.select("symbol", "iseq", "order_id", "qty"), [F.col("iseq")], step)
+    m = _stretches(makers.select("symbol", "iseq", "order_id", "price", "qty").withColumn("best", best), ["best", "iseq"], step)
+    t = _stretches(takers.select("symbol", "iseq", "order_id", "qty"), ["iseq"], step)
     a, b = m.alias("m"), t.alias("t")
     lo, hi = F.greatest("m.lo", "t.lo"), F.least("m.hi", "t.hi")
     pairs = a.join(b, (F.col("m.symbol") == F.col("t.symbol")) & (F.col("m.b") == F.col("t.b"))).filter((lo < hi) & (F.expr(f"greatest(m.lo, t.lo) div {step}") == F.col("m.b")))
