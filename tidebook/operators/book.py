@@ -10,7 +10,16 @@ from __future__ import annotations
 
 import heapq
 
-from ..schemas import BOOK_CONFIG
+from ..schemas import BOOK_CONFIG, CMD_CODES, OTYPE_CODES, SIDE_CODES, TIF_CODES
+
+
+def decodable(c: dict) -> bool:
+    """Whether a command names a known variant and holds that variant's fields."""
+    if c["cmd"] not in CMD_CODES or c["order_id"] is None:
+        return False
+    if c["cmd"] == "new":
+        return c["side"] in SIDE_CODES and c["otype"] in OTYPE_CODES and c["tif"] in TIF_CODES and c["qty"] is not None and (c["otype"] == "market" or c["price"] is not None)
+    return c["cmd"] == "cancel" or (c["price"] is not None and c["qty"] is not None)
 
 
 class Side:
@@ -72,8 +81,11 @@ class Book:
         return price > 0 if self.index == "tree" else self.pmin <= price <= self.pmax
 
     def apply(self, cmd: dict) -> list[tuple]:
+        """Events of one command. A command that can't be decoded (see decodable()) changes
+        nothing and has no events."""
         out: list[tuple] = []
-        getattr(self, f"_{cmd['cmd']}")(cmd, out)
+        if decodable(cmd):
+            self.COMMANDS[cmd["cmd"]](self, cmd, out)
         return out
 
     def _reject(self, out, order_id, reason):
@@ -155,6 +167,8 @@ class Book:
         self.orders[oid] = [side, price, qty, tif, otype]
         self.sides[side].add(oid, price, qty)
 
+    COMMANDS = {"new": _new, "cancel": _cancel, "replace": _replace}
+
     def resting(self):
         """(side, order_id, otype, tif, price, qty) in book order: bids, then asks, best first."""
         for side in ("bid", "ask"):

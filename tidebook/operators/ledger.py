@@ -9,8 +9,10 @@ the identities of violations() go on holding. Ids of a shard carry it in their u
 from __future__ import annotations
 
 from collections import Counter, deque
+from itertools import chain
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .fold import fold
 
@@ -233,7 +235,7 @@ class Ledger:
         if c["idx"] <= mark:
             return "duplicate", {}
         need(c["prev"] == mark and c["idx"] > c["prev"], "gap")
-        ok = getattr(self, f"_on_{c['event']}")(c)
+        ok = self.EVENTS[c["event"]][0](self, c)
         self.marks[c["source"]] = c["idx"]  # also after an anomaly: a replay must not try it again
         return ("settled", {}) if ok else self.anomaly()
 
@@ -326,17 +328,37 @@ class Ledger:
 
     #: Commands that name an account, which must not be the fee pool's.
     USER = {"deposit", "reserve", "reserve_ioc", "withdraw", "adjust", "lend", "recall"}
-    NAMES = USER | {"cancel", "settle", "finalize", "outbox_ack", "clock", "sweep", "fee_withdraw"}
+    #: command -> its method and the fields that it can't do without.
+    COMMANDS = {
+        "deposit": (deposit, "account asset amount external_id"), "reserve": (reserve, "account symbol side price qty"), "reserve_ioc": (reserve_ioc, "account symbol side price qty"),
+        "cancel": (cancel, "account order_id"), "withdraw": (withdraw, "account asset amount external_id"), "fee_withdraw": (fee_withdraw, "asset amount external_id"),
+        "finalize": (finalize, "external_id paid"), "adjust": (adjust, "account asset amount credit external_id"), "outbox_ack": (outbox_ack, "upto"), "clock": (clock_tick, "now_ns"),
+        "sweep": (sweep, "max_age_ns retry_ns max"), "lend": (lend, "grp account asset amount"), "recall": (recall, "grp account asset amount"), "settle": (settle, "source prev idx event"),
+    }
+    #: settled event -> the same.
+    EVENTS = {
+        "trade": (_on_trade, "buy sell price qty taker_is_buy"), "closed": (_on_closed, "order_id"), "slice_in": (_on_slice_in, "grp account asset amount"),
+        "slice_out": (_on_slice_out, "grp account asset amount"), "slice_fee": (_on_slice_fee, "asset amount"), "returned": (_on_returned, "grp account asset amount"),
+    }
+
+    def decodable(self, c: dict) -> bool:
+        """Whether a command is known and holds its fields, and its side and event are known ones."""
+        fields = self.COMMANDS.get(c["cmd"], (None, None))[1]
+        if fields is None or any(c.get(f) is None for f in fields.split()):
+            return False
+        if c["cmd"] == "settle":
+            return c["event"] in self.EVENTS and all(c.get(f) is not None for f in self.EVENTS[c["event"]][1].split())
+        return c.get("side") in ("buy", "sell") if "side" in fields else True
 
     def apply(self, c: dict) -> tuple[str, str | None, dict]:
-        """(outcome, reason of a refusal, other fields). Unknown commands are anomalies."""
-        if c["cmd"] not in self.NAMES:
+        """(outcome, reason of a refusal, other fields). What can't be decoded is an anomaly."""
+        if not self.decodable(c):
             return (*self.anomaly()[:1], None, {})
         try:
             need(c["cmd"] not in self.USER or c["account"] not in (FEE_ACCOUNT, -1), "reserved_account")
             if c.get("ts_ns") is not None:
                 self.clock = max(self.clock, c["ts_ns"])
-            outcome, fields = getattr(self, "clock_tick" if c["cmd"] == "clock" else c["cmd"])(c)
+            outcome, fields = self.COMMANDS[c["cmd"]][0](self, c)
             return outcome, None, fields
         except Refused as e:
             return "rejected", str(e), {}
@@ -345,13 +367,17 @@ class Ledger:
         own = sum(v for (_, a), v in self.free.items() if a == asset) + sum(v for (_, a), v in self.held.items() if a == asset)
         return own + self.fees(asset) + sum(p[2] for p in self.pending.values() if p[1] == asset) + sum(v for (_, a, _), v in self.lent.items() if a == asset)
 
-    def violations(self) -> list[str]:
+    def violations_of_holds(self) -> list[str]:
+        """Orders hold exactly what they need, balances what their orders hold."""
         out, held = [], Counter()
         for i, o in self.orders.items():
             want = (o["price"] if o["side"] == "buy" else self.symbols[o["symbol"]]["lot"]) * o["remaining"]
             out += [f"hold of {i}"] * (o["held"] != want) + [f"empty {i}"] * (o["remaining"] <= 0) + [f"foreign {i}"] * (not self.local(i))
             held[o["account"], self._hold_asset(o)] += o["held"]
-        out += [f"held of {k}" for k in {*held, *self.held} if held[k] != self.held[k]]
+        return out + [f"held of {k}" for k in sorted({*held, *self.held}) if held[k] != self.held[k]]
+
+    def violations(self) -> list[str]:
+        out = self.violations_of_holds()
         f, g = self.flow, self.group_flow
         assets = {k[1] for k in (*self.free, *self.held, *f)} | {k[1] for k in self.lent}
         for a in sorted(assets):
@@ -381,7 +407,39 @@ class Ledger:
             yield {"rec": "mark", "grp": source, "outbox_idx": hw}
         for k, m in enumerate(self.outbox):
             yield {"rec": "outbox", "outbox_idx": self.outbox_base + k, "name": m["kind"], "order_id": m.get("order"), "symbol": m.get("symbol"), "side": m.get("side"), "price": m.get("price"), "qty": m.get("qty"), "grp": m.get("group"), "account": m.get("account"), "asset": m.get("asset"), "amount": m.get("amount")}
-        yield {"rec": "state", "outbox_idx": self.outbox_base, "born": self.clock, "queued": self.anomalies, "qty": len(self.orders)}
+        for name, ids in self.ids.items():
+            yield from ({"rec": "id", "name": name, "order_id": i} for i in ids)
+        for k, (external_id, account, asset, credit, amount, reason) in enumerate(self.adjustments):
+            yield {"rec": "adjustment", "outbox_idx": k, "order_id": external_id, "account": account, "asset": asset, "cancelling": credit, "amount": amount, "queued": reason}
+        yield {"rec": "state", "outbox_idx": self.outbox_base, "born": self.clock, "queued": self.anomalies, "qty": len(self.orders), "order_id": self.next_order}
+
+    def take_in(self, r: dict) -> None:
+        """One row of export() into this ledger; outbox and adjustment rows in order, the state row last."""
+        rec, key = r["rec"], (r["account"], r["asset"])
+        amount = None if r["amount"] is None else int(r["amount"])
+        if rec == "balance":
+            self.free[key], self.held[key] = amount, int(r["held"])
+        elif rec == "order":
+            self.orders[r["order_id"]] = {"account": r["account"], "symbol": r["symbol"], "side": r["side"], "price": r["price"], "remaining": r["qty"], "held": int(r["held"]), "cancelling": r["cancelling"], "born": r["born"], "cancel_at": r["cancel_at"]}
+        elif rec == "flow":
+            self.flow[r["name"], r["asset"]] = amount
+        elif rec == "group_flow":
+            self.group_flow[r["name"], r["asset"], r["grp"]] = amount
+        elif rec == "lent":
+            self.lent[(*key, r["grp"])] = amount
+        elif rec == "pending":
+            self.pending[r["order_id"]] = (FEE_ACCOUNT if r["account"] == -1 else r["account"], r["asset"], amount)
+        elif rec == "mark":
+            self.marks[r["grp"]] = r["outbox_idx"]
+        elif rec == "outbox":
+            message = {"kind": r["name"], "order": r["order_id"], "symbol": r["symbol"], "side": r["side"], "price": r["price"], "qty": r["qty"], "group": r["grp"], "account": r["account"], "asset": r["asset"], "amount": amount}
+            self.outbox.append({k: v for k, v in message.items() if v is not None})
+        elif rec == "id":
+            self.ids[r["name"]].add(r["order_id"])
+        elif rec == "adjustment":
+            self.adjustments.append((r["order_id"], *key, r["cancelling"], amount, r["queued"]))
+        elif rec == "state":
+            self.outbox_base, self.clock, self.anomalies, self.next_order = r["outbox_idx"], r["born"], r["queued"], r["order_id"]
 
 
 def run_ledger(cmds: DataFrame, symbols: dict[int, dict], default_ppm: int = 0, state: bool = True) -> DataFrame:
@@ -391,15 +449,61 @@ def run_ledger(cmds: DataFrame, symbols: dict[int, dict], default_ppm: int = 0,
     A money column is an exact decimal; amounts beyond 38 digits fail the job rather than wrap.
     """
 
+
     def step(shard, rows):
+        _refuse(config_problems(shard, symbols, default_ppm))
         ledger = Ledger(shard, symbols, default_ppm)
-        for r in rows:
-            c = dict(r)
-            c["amount"] = int(c["amount"]) if c["amount"] is not None else None
-            outcome, reason, fields = ledger.apply(c)
-            out = {"shard": shard, "lsn": r["lsn"], "rec": "outcome", "outcome": outcome, "reject": reason} | fields
-            yield tuple(out.get(f) for f in _FIELDS)
-        for out in ledger.export() if state else ():
-            yield tuple(({"shard": shard} | out).get(f) for f in _FIELDS)
+        yield from _applied(ledger, rows)
+        if state:
+            yield from _exported(ledger)
 
     return fold(cmds, "shard", ["lsn"], step, ROWS, [x.split()[0] for x in CMDS.split(", ")])
+
+
+def _refuse(problems: list[str]) -> None:
+    if problems:
+        raise ValueError("refused: " + ", ".join(problems[:5]))
+
+
+def _applied(ledger: Ledger, rows):
+    for r in rows:
+        c = dict(r)
+        c["amount"] = int(c["amount"]) if c["amount"] is not None else None
+        outcome, reason, fields = ledger.apply(c)
+        out = {"shard": ledger.shard, "lsn": r["lsn"], "rec": "outcome", "outcome": outcome, "reject": reason} | fields
+        yield tuple(out.get(f) for f in _FIELDS)
+
+
+def _exported(ledger: Ledger):
+    for out in ledger.export():
+        yield tuple(({"shard": ledger.shard} | out).get(f) for f in _FIELDS)
+
+
+def resume_ledger(state: DataFrame, cmds: DataFrame, symbols: dict[int, dict], default_ppm: int = 0) -> DataFrame:
+    """ROWS of a run that goes on from the exported state of run_ledger(). A state that breaks an
+    identity (its count of anomalies aside), or whose orders are another shard's, is refused: the job fails.
+
+    State rows and commands meet in one stream per shard: the state in an order that rebuilds
+    it, then the commands by lsn."""
+    width = [x.split(" ", 1) for x in CMDS.split(", ")]
+    nil = lambda t: F.lit(None).cast(t)
+    kept = state.filter("rec <> 'outcome'").select("shard", F.lit(0).alias("stage"), F.when(F.col("rec") == "state", 2).when(F.col("rec").isin("outbox", "adjustment"), 1).otherwise(0).alias("turn"), F.col("outbox_idx").alias("place"), F.struct(*[x for x in _FIELDS if x != "shard"]).alias("s"), nil("struct<" + ",".join(f"{n}:{'bigint' if t == 'long' else t}" for n, t in width if n != "shard") + ">").alias("c"))
+    late = cmds.select("shard", F.lit(1).alias("stage"), F.lit(0).alias("turn"), F.col("lsn").alias("place"), nil(kept.schema["s"].dataType).alias("s"), F.struct(*[F.col(n) for n, _ in width if n != "shard"]).cast(kept.schema["c"].dataType).alias("c"))
+
+    def step(shard, rows):
+        ledger = Ledger(shard, symbols, default_ppm)
+        rest = iter(rows)
+        first = None
+        for r in rest:
+            if r["stage"]:
+                first = r
+                break
+            ledger.take_in(r["s"])
+        counted, ledger.anomalies = ledger.anomalies, 0
+        _refuse(config_problems(shard, symbols, default_ppm) + ledger.violations())
+        ledger.anomalies = counted
+        if first is not None:
+            yield from _applied(ledger, (r["c"] for r in chain([first], rest)))
+        yield from _exported(ledger)
+
+    return fold(kept.unionByName(late), "shard", ["stage", "turn", "place"], step, ROWS)

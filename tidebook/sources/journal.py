@@ -237,6 +237,17 @@ def header_line(kind: str, partition: int, partitions: int, config: dict | None
     return json.dumps({"format": f"{prefix}-journal/1", "kind": kind, "partition": partition, "partitions": partitions, "pmin": c["pmin"], "pmax": c["pmax"], "max_orders": c["max_orders"], "index": c["index"]}, separators=(",", ":"))
 
 
+def open_segment(folder: str, kind: str, partition: int, partitions: int, start: int, config: dict | None = None) -> None:
+    """A segment of lines that holds its header only."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + os.path.abspath(folder))
+    name = f"{kind}-{partition}.{start}.journal"
+    with system.open_output_stream(f"{path}/.{name}", compression=None) as f:
+        f.write((header_line(kind, partition, partitions, config) + "\n").encode())
+    system.move(f"{path}/.{name}", f"{path}/{name}")
+
+
 def write(rows: DataFrame, folder: str, kind: str, partitions: int, config: dict | None = None, binary: bool = False, start: int = 0, prefix: str = "stream") -> DataFrame:
     """Writes one file per partition of `rows` (columns partition, line or record fields, and the
     order iseq, ordinal) through pyarrow's file systems; returns file, records when run."""
