@@ -95,22 +95,6 @@ def test_lending_and_slices_keep_their_identity():
     assert led.apply({"cmd": "lend", "grp": 0x8000, "account": 1, "asset": 2, "amount": 1})[:2] == ("rejected", "bad_group")
 
 
-def test_policy_first_use_caps_refill_and_idle():
-    led = Ledger(0, SYM)
-    for a in (1, 2, 3):
-        led.apply(dep(a, 2, 1000, a))
-    cfg = {"group": 1, "chunk": {2: 400}, "low_water_pct": 50, "account_cap": {2: 700}, "group_cap": {2: 1000}, "idle_ns": 10, "max_actions": 5}
-    seen = {}
-    plan = slices.plan_credit(cfg, seen, led, {}, [(1, 2), (1, 2), (2, 2), (3, 2), (1, 9)], 0)
-    assert [(c["account"], c["amount"]) for c in plan] == [(1, 400), (2, 400), (3, 200)]
-    for c in plan:
-        led.apply(c)
-    assert slices.plan_credit(cfg | {"group_cap": {}}, seen, led, {(1, 2): 100, (2, 2): 300}, [(1, 2), (2, 2)], 1) == [{"cmd": "lend", "grp": 1, "account": 1, "asset": 2, "amount": 300}]
-    later = slices.plan_credit(cfg, seen, led, {(1, 2): 100, (2, 2): 300}, [], 11)
-    assert [(c["cmd"], c["account"], c["amount"]) for c in later] == [("recall", 1, 100), ("recall", 2, 300)]
-    assert slices.plan_credit(cfg, seen, led, {(1, 2): 100, (2, 2): 300}, [], 12) == []
-
-
 @pytest.mark.parametrize("seed", range(12))
 def test_identities_hold_after_every_random_command(seed):
     r = random.Random(seed)

@@ -53,7 +53,8 @@ def deposit_balances_native(spark, d):
 
 @register("balance_point", _BALANCE.replace("GROUP BY ALL", "AND account = 7 GROUP BY ALL"))
 def balance_point(spark, d):
-    return deposit_balances(spark, d).filter("account = 7")
+    s = ledger.run_ledger(_deposits(spark, d).filter(f"shard = {7 % 3}"), SYMBOLS, DEFAULT_PPM)
+    return s.filter("rec = 'balance' and account = 7").select("shard", "account", "asset", F.col("amount").cast("long").alias("available"))
 
 
 _TRADES_SYM = f"SELECT t.*, CASE symbol WHEN 0 THEN 10 ELSE 11 END AS sym FROM ({A.TRADES}) t"
@@ -129,27 +130,26 @@ def ledger_state_digest(spark, d):
 
 
 @register("forwarded_commands", """
-  SELECT shard, row_number() OVER (PARTITION BY shard ORDER BY event_id) - 1 AS outbox_idx, side, qty
-  FROM (SELECT user_id % 3 AS shard, event_id, CASE event_type WHEN 'click' THEN 'bid' ELSE 'ask' END AS side, 1 + event_id % 7 AS qty FROM events WHERE event_type IN ('click', 'view'))""")
+  SELECT shard, n - 1 AS outbox_idx, 10::BIGINT AS symbol, 'new' AS cmd, shard * 281474976710656 + n AS order_id, side, 'limit' AS otype, 100::BIGINT AS price, qty, 'gtc' AS tif
+  FROM (SELECT user_id % 3 AS shard, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS n, CASE event_type WHEN 'click' THEN 'bid' ELSE 'ask' END AS side, 1 + event_id % 7 AS qty FROM events WHERE event_type IN ('click', 'view'))""")
 def forwarded(spark, d):
     s = ledger.run_ledger(exchange_cmds(spark, d), SYMBOLS, DEFAULT_PPM)
-    return flow.forwarded_commands(s.filter("rec = 'outbox'")).select("shard", "outbox_idx", "side", "qty")
+    return flow.forwarded_commands(s.filter("rec = 'outbox'"))
 
 
 @register("archive_of_matching", f"""
   WITH f AS ({A.SWEEP}),
   m AS (SELECT *, sum(qty) OVER (PARTITION BY symbol ORDER BY price, iseq) AS hi FROM f WHERE side = 'ask'),
   t AS (SELECT *, sum(qty) OVER (PARTITION BY symbol ORDER BY iseq) AS hi FROM f WHERE side = 'bid'),
-  x AS (SELECT m.symbol, t.order_id AS buy, m.order_id AS sell, least(m.hi, t.hi) - greatest(m.hi - m.qty, t.hi - t.qty) AS qty FROM m JOIN t ON m.symbol = t.symbol AND m.hi > t.hi - t.qty AND t.hi > m.hi - m.qty)
-  SELECT 'trade' AS kind, symbol, count(*) AS n, CAST(sum(qty) AS BIGINT) AS qty FROM x GROUP BY symbol
-  UNION ALL SELECT 'closed', symbol, count(*), NULL FROM (SELECT t.symbol FROM t LEFT JOIN (SELECT buy, sum(qty) AS q FROM x GROUP BY buy) b ON t.order_id = b.buy WHERE coalesce(b.q, 0) < t.qty) GROUP BY symbol""")
+  x AS (SELECT m.symbol, CAST(m.price AS BIGINT) AS price, t.order_id AS buy, m.order_id AS sell, least(m.hi, t.hi) - greatest(m.hi - m.qty, t.hi - t.qty) AS qty FROM m JOIN t ON m.symbol = t.symbol AND m.hi > t.hi - t.qty AND t.hi > m.hi - m.qty)
+  SELECT 'trade' AS kind, symbol, symbol % 4 AS source, buy AS iseq, buy, sell, price, CAST(qty AS BIGINT) AS qty, TRUE AS taker_is_buy, NULL::BIGINT AS order_id FROM x
+  UNION ALL SELECT 'closed', symbol, symbol % 4, order_id, NULL, NULL, NULL, NULL, NULL, order_id FROM (SELECT t.symbol, t.order_id FROM t LEFT JOIN (SELECT buy, sum(qty) AS q FROM x GROUP BY buy) b ON t.order_id = b.buy WHERE coalesce(b.q, 0) < t.qty)""")
 def archive_of_matching(spark, d):
-    """Trades and releases that a ledger would be sent, by symbol."""
+    """Trades and releases that a ledger would be sent."""
     c = A.commands(spark, d, A.SWEEP)
     e = matching.match(c, {"max_orders": 1 << 40}).withColumn("source", F.col("symbol") % 4)
     sent = c.select("symbol", "iseq", "order_id", F.when(F.col("side") == "bid", "buy").otherwise("sell").alias("side"))
-    a = flow.archive_events(e, sent)
-    return a.groupBy("kind", "symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("qty").alias("qty"))
+    return flow.archive_events(e, sent).select("kind", "symbol", "source", "iseq", "buy", "sell", "price", "qty", "taker_is_buy", "order_id")
 
 
 @register("order_audit", """
@@ -166,7 +166,7 @@ def order_audit(spark, d):
     nil = F.lit(None).cast("long")
     fills = spark.read.parquet(f"{d}/lineitem.parquet").select(F.lit("trade").alias("kind"), F.col("l_orderkey").alias("buy"), nil.alias("sell"), nil.alias("order_id"), F.lit(1).cast("long").alias("qty"))
     opened = acked.filter("order_id % 7 = 0").select("order_id")
-    return audit.order_audit(acked, fills, opened).filter("key is not null").groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    return audit.order_audit(acked, fills, opened).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("money_audit", f"SELECT 'acknowledged money' AS rule, 'deposited/' || asset AS key, CAST(CAST(-sum(amount) AS BIGINT) AS VARCHAR) AS detail FROM (SELECT asset, amount FROM ({_D}) WHERE amount > 0 AND nth > 1) GROUP BY asset")
@@ -201,23 +201,23 @@ def slice_deltas(spark, d):
     return slices.slice_deltas(_events(spark, d).selectExpr("event_id as account", "event_id % 3 as asset", "event_id % 11 as total", "event_id % 7 as in_", "0L as out"))
 
 
-_NODES = "SELECT range % 3 AS node, range // 3 AS idx, CASE WHEN range % 31 = 0 THEN 'x' WHEN range % 17 = 0 THEN 'y' ELSE 'd' END AS digest FROM range(300)"
+_NODES = "SELECT event_id % 3 AS node, event_id // 3 AS idx, CASE WHEN event_id % 31 = 0 THEN 'x' WHEN event_id % 17 = 0 THEN event_type ELSE 'd' END AS digest FROM events"
 
 
-def _nodes(spark):
-    return spark.range(300).selectExpr("id % 3 as node", "id div 3 as idx", "case when id % 31 = 0 then 'x' when id % 17 = 0 then 'y' else 'd' end as digest")
+def _nodes(spark, d):
+    return _events(spark, d).selectExpr("event_id % 3 as node", "event_id div 3 as idx", "case when event_id % 31 = 0 then 'x' when event_id % 17 = 0 then event_type else 'd' end as digest")
 
 
 @register("digest_divergence", f"""
   WITH n AS ({_NODES}), v AS (SELECT *, count(*) OVER (PARTITION BY idx, digest) AS votes FROM n), w AS (SELECT *, max(votes) OVER (PARTITION BY idx) AS most, count(*) OVER (PARTITION BY idx) AS reported FROM v)
   SELECT node, idx, CASE WHEN votes >= 2 THEN FALSE WHEN most >= 2 THEN TRUE ELSE reported = 3 END AS halt FROM w""")
 def digest_divergence(spark, d):
-    return audit.divergence(_nodes(spark), 3)
+    return audit.divergence(_nodes(spark, d), 3)
 
 
 @register("digest_audit", f"SELECT 'digests differ' AS rule, CAST(idx AS VARCHAR) AS key, CAST(count(DISTINCT digest) AS VARCHAR) AS detail FROM ({_NODES}) GROUP BY idx HAVING count(DISTINCT digest) > 1")
 def digest_audit(spark, d):
-    return audit.digest_audit(_nodes(spark))
+    return audit.digest_audit(_nodes(spark, d))
 
 
 @register("mark_audit", """
@@ -243,8 +243,9 @@ def trim_points(spark, d):
 
 # --- read endpoints, metrics and replicated-log invariants ---
 
-def _session(spark, d):
-    return ledger.run_ledger(exchange_cmds(spark, d), SYMBOLS, DEFAULT_PPM)
+def _session(spark, d, shard: int):
+    """The session of one shard: a point read folds no other."""
+    return ledger.run_ledger(exchange_cmds(spark, d).filter(F.col("shard") == shard), SYMBOLS, DEFAULT_PPM)
 
 
 _RESERVES = "SELECT user_id % 3 AS shard, event_id, event_type, 1 + event_id % 7 AS qty, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS n FROM events WHERE event_type IN ('click', 'view')"
@@ -252,22 +253,22 @@ _RESERVES = "SELECT user_id % 3 AS shard, event_id, event_type, 1 + event_id % 7
 
 @register("endpoint_state", f"SELECT count(*) + 2 * (SELECT count(DISTINCT user_id) FROM events WHERE event_type IN ('click', 'view') AND user_id % 3 = 1) AS applied, 0::BIGINT AS clock, 0::BIGINT AS outbox_base, count(*) AS outbox_next, count(*) AS open_orders, 0::BIGINT AS anomalies, 0::BIGINT AS mark_0 FROM ({_RESERVES}) WHERE shard = 1")
 def endpoint_state(spark, d):
-    return endpoints.state(_session(spark, d), 1, [0])
+    return endpoints.state(_session(spark, d, 1), 1, [0])
 
 
 @register("endpoint_outbox", f"SELECT n - 1 AS outbox_idx, 'submit' AS name, (CAST(1 AS BIGINT) << 48) + n AS order_id, 10::BIGINT AS symbol, CASE event_type WHEN 'click' THEN 'buy' ELSE 'sell' END AS side, 100::BIGINT AS price, qty FROM ({_RESERVES}) WHERE shard = 1 AND n > 20 ORDER BY n LIMIT 50")
 def endpoint_outbox(spark, d):
-    return endpoints.outbox_page(_session(spark, d), 1, 20, 50)
+    return endpoints.outbox_page(_session(spark, d, 1), 1, 20, 50)
 
 
 @register("endpoint_balance", f"SELECT 1000000000000 - CAST(sum(CASE WHEN event_type = 'click' THEN 100 * qty ELSE 0 END) AS BIGINT) AS available, CAST(sum(CASE WHEN event_type = 'click' THEN 100 * qty ELSE 0 END) AS BIGINT) AS held FROM (SELECT *, 1 + event_id % 7 AS qty FROM events WHERE user_id = 7 AND event_type IN ('click', 'view'))")
 def endpoint_balance(spark, d):
-    return endpoints.balance(_session(spark, d), 7, 2)
+    return endpoints.balance(_session(spark, d, 7 % 3), 7, 2)
 
 
 @register("endpoint_order", f"SELECT TRUE AS found, (SELECT user_id FROM events e WHERE e.event_id = r.event_id) AS account, 10::BIGINT AS symbol, CASE event_type WHEN 'click' THEN 'buy' ELSE 'sell' END AS side, 100::BIGINT AS price, qty, CAST(CASE event_type WHEN 'click' THEN 100 ELSE 1000 END * qty AS BIGINT) AS held, FALSE AS cancelling FROM ({_RESERVES}) r WHERE shard = 1 AND n = 5")
 def endpoint_order(spark, d):
-    return endpoints.order(_session(spark, d), (1 << 48) + 5).withColumn("held", F.col("held").cast("long"))
+    return endpoints.order(_session(spark, d, 1), (1 << 48) + 5).withColumn("held", F.col("held").cast("long"))
 
 
 @register("endpoint_cursors", "SELECT user_id % 5 AS grp, user_id % 3 AS shard, max(event_id) + 1 AS cursor FROM events GROUP BY ALL")
@@ -288,10 +289,12 @@ def metrics_by_partition(spark, d):
     return metrics.by_partition(e)
 
 
-@register("metrics_text", """SELECT 'events' AS name, p AS partition, 'stream_events_total{partition="' || p || '"} ' || n AS line FROM (SELECT user_id % 4 AS p, count(*) AS n FROM events GROUP BY 1)""")
+@register("metrics_text", """
+  SELECT name, p AS partition, 'stream_' || name || '_total{partition="' || p || '"} ' || n AS line FROM (
+    SELECT p, unnest(['events', 'commands', 'trades']) AS name, unnest([e, c, t]) AS n FROM (SELECT user_id % 4 AS p, count(*) AS e, count(DISTINCT event_id // 3) AS c, count(*) FILTER (event_type = 'purchase') AS t FROM events GROUP BY 1))""")
 def metrics_text(spark, d):
-    e = _events(spark, d).selectExpr("user_id % 4 as partition", "event_id as iseq", "'accepted' as ev")
-    return metrics.prometheus(metrics.by_partition(e)).filter("name = 'events'")
+    e = _events(spark, d).selectExpr("user_id % 4 as partition", "event_id div 3 as iseq", "if(event_type = 'purchase', 'trade', 'accepted') as ev")
+    return metrics.prometheus(metrics.by_partition(e))
 
 
 @register("metrics_latency", "SELECT user_id % 4 AS partition, count(*) AS events, count(*) AS commands, 0::BIGINT AS trades, CAST(sum(event_id * 7 % 100) AS BIGINT) AS latency_sum, max(event_id * 7 % 100) AS latency_max FROM events GROUP BY ALL")
@@ -324,15 +327,24 @@ def replication_apply_order(spark, d):
     return replication.applied_in_order(a)
 
 
-@register("replication_log_matching", "WITH l AS (SELECT range % 3 AS node, range // 3 AS idx, CASE WHEN range = 61 THEN 'bad' ELSE 'p' END AS p FROM range(90)) SELECT 'log matching' AS rule, idx || '/1' AS key FROM l WHERE idx >= 20 GROUP BY idx")
+_DIFFERS = "event_id % 1000 = 700"
+
+
+@register("replication_log_matching", f"""
+  WITH l AS (SELECT event_id // 3 AS idx, event_id // 300 AS term, min(CASE WHEN {_DIFFERS} THEN event_id // 3 END) OVER () AS bad FROM events)
+  SELECT 'log matching' AS rule, idx || '/' || term AS key FROM l WHERE idx >= bad GROUP BY idx, term HAVING count(*) > 1""")
 def replication_log_matching(spark, d):
-    logs = spark.range(90).selectExpr("id % 3 as node", "id div 3 as idx", "1L as term", "if(id = 61, 'bad', 'p') as payload")
+    """Three nodes' logs of one entry for three events; some payloads differ, the first at event 700."""
+    logs = _events(spark, d).selectExpr("event_id % 3 as node", "event_id div 3 as idx", "event_id div 300 as term", f"if({_DIFFERS}, 'other', concat('p', event_id div 3)) as payload")
     return replication.log_matching(logs)
 
 
-@register("replication_completeness", "SELECT 'leader completeness' AS rule, '4' AS key")
+@register("replication_completeness", """
+  WITH c AS (SELECT event_id AS idx, 1 + event_id % 3 AS term FROM events), l AS (SELECT range AS led FROM range(2, 6)),
+  h AS (SELECT led, count(*) FILTER (term < led) AS due, count(*) FILTER (NOT (led = 4 AND idx % 11 = 2) AND term < led) AS have FROM c, l GROUP BY led)
+  SELECT 'leader completeness' AS rule, CAST(led AS VARCHAR) AS key FROM h WHERE have < due""")
 def replication_completeness(spark, d):
-    """Leaders of terms 2 to 4 over ten committed entries of terms 1 to 3; the last one lacks an entry."""
-    committed = spark.range(10).selectExpr("id as idx", "1 + id % 3 as term")
-    logs = spark.range(30).selectExpr("2 + id div 10 as led_term", "id % 10 as idx", "1 + id % 10 % 3 as term").filter("not (led_term = 4 and idx = 2)")
+    """Leaders of terms 2 to 5 over committed entries of terms 1 to 3; the one of term 4 lacks some."""
+    committed = _events(spark, d).selectExpr("event_id as idx", "1 + event_id % 3 as term")
+    logs = committed.withColumn("led_term", F.explode(F.array(*[F.lit(t).cast("long") for t in range(2, 6)]))).filter("term < led_term and not (led_term = 4 and idx % 11 = 2)")
     return replication.leader_completeness(committed, logs)
