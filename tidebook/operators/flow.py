@@ -127,3 +127,26 @@ def forwarded_commands(outbox: DataFrame) -> DataFrame:
         F.when(new, F.when(F.col("side") == "buy", "bid").otherwise("ask")).alias("side"), F.when(new, "limit").alias("otype"), F.when(new, price).alias("price"), F.when(new, F.col("qty")).alias("qty"),
         F.when(F.col("name") == "submit", "gtc").when(F.col("name") == "submit_ioc", "ioc").alias("tif"),
     )
+
+
+def trade_sides(trades: DataFrame, orders: DataFrame) -> DataFrame:
+    """A ledger's own sides of each trade: source, idx, side, order_id and `sound`: whether the order
+    is open, on that side, large enough and as good as the price. A side of another shard is left out.
+
+    trades: shard, source, idx, buy, sell, price, qty. orders: the `order` rows of ledger.ROWS."""
+    sides = trades.select("shard", "source", "idx", "price", "qty", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("order_id")) for s in ("buy", "sell")])).alias("s")).select("shard", "source", "idx", F.col("price").alias("at"), F.col("qty").alias("traded"), "s.side", "s.order_id")
+    own = sides.filter(F.shiftrightunsigned("order_id", 48) == F.col("shard"))
+    o = orders.select(F.col("shard").alias("_s"), F.col("order_id").alias("_o"), F.col("side").alias("_side"), "price", F.col("qty").alias("left"))
+    j = own.join(o, (F.col("shard") == F.col("_s")) & (F.col("order_id") == F.col("_o")), "left")
+    good = F.when(F.col("side") == "buy", F.col("at") <= F.col("price")).otherwise(F.col("at") >= F.col("price"))
+    sound = (F.col("side") == F.col("_side")) & (F.col("traded") > 0) & (F.col("traded") <= F.col("left")) & good
+    return j.select("shard", "source", "idx", "side", "order_id", F.coalesce(sound, F.lit(False)).alias("sound"))
+
+
+def tick_commands(shards: DataFrame, now_ns: int, max_age_ns: int, retry_ns: int, most: int) -> DataFrame:
+    """What a tick sends each shard (shard, lsn of its last command): its clock, then a sweep."""
+    rows = F.array(F.struct(F.lit(1).cast("long").alias("k"), F.lit("clock").alias("cmd")), F.struct(F.lit(2).cast("long").alias("k"), F.lit("sweep").alias("cmd")))
+    of = lambda cmd, v: F.when(F.col("t.cmd") == cmd, F.lit(v).cast("long"))
+    return shards.select("shard", "lsn", F.explode(rows).alias("t")).select(
+        "shard", (F.col("lsn") + F.col("t.k")).alias("lsn"), "t.cmd", of("clock", now_ns).alias("now_ns"), of("sweep", max_age_ns).alias("max_age_ns"), of("sweep", retry_ns).alias("retry_ns"), of("sweep", most).cast("int").alias("max"),
+    )

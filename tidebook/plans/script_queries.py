@@ -326,6 +326,109 @@ def ledger_deep_digest(spark, d):
     return digest.deep_digest(ledger.run_ledger(_deposits(spark, d), SYMBOLS, DEFAULT_PPM))
 
 
+@register("script_totals", f"""
+  SELECT f.shard, f.asset, coalesce(b.available, 0) AS available, CAST(0 AS BIGINT) AS held, fees, CAST(0 AS BIGINT) AS pending, CASE WHEN f.asset = 2 THEN 380 * c.n ELSE 0 END AS lent,
+         deposited - withdrawn AS external_net, adjusted_in - adjusted_out AS adjusted_net, settled_in - settled_out AS settled_net, slice_in - slice_out AS slice_net
+  FROM ({S.LEDGER_FLOWS}) f JOIN (SELECT shard, count(*) AS n FROM {S.LEDGER} GROUP BY shard) c ON f.shard = c.shard
+  LEFT JOIN (SELECT shard, asset, CAST(sum(available) AS BIGINT) AS available FROM ({S.LEDGER_BALANCES}) GROUP BY ALL) b ON f.shard = b.shard AND f.asset = b.asset""")
+def script_totals(spark, d):
+    t = audit.totals(stored(_ledger(spark, d).filter("rec <> 'outcome'"), "script-state"))
+    return t.select("shard", "asset", *_long("available", "held", "fees", "pending", "lent", "external_net", "adjusted_net", "settled_net", "slice_net"))
+
+
+@register("full_audit_round", f"""
+  SELECT 'settled flows' AS rule, '2' AS key, CAST(-51 * count(*) AS VARCHAR) AS detail FROM events
+  UNION ALL SELECT 'slice identity', '3/2', '-1'
+  UNION ALL SELECT 'cursor ahead', CAST(shard AS VARCHAR), CAST({S.MESSAGES} * count(*) + 4 AS VARCHAR) FROM {S.LEDGER} GROUP BY shard
+  UNION ALL SELECT 'marks', '1/7', CAST({S.SETTLES} * count(*) AS VARCHAR) FROM {S.LEDGER} WHERE shard = 1 GROUP BY shard
+  UNION ALL SELECT 'digests differ', CAST(event_id // 3 AS VARCHAR), '2' FROM events WHERE event_id % 600 = 0 AND event_id + 1 < (SELECT count(*) FROM events)""")
+def full_audit_round(spark, d):
+    """Every audit at once: a slice short by one, cursors ahead of all messages, a mark not caught up, nodes that disagree."""
+    e, s = _events(spark, d), stored(_ledger(spark, d).filter("rec <> 'outcome'"), "script-state")
+    short = e.agg(F.count(F.lit(1)).alias("n")).selectExpr("3L as grp", "2L as asset", "440 * n - 1 as holdings", "0L as settled_in", "0L as settled_out")
+    cursors = s.filter("rec = 'state'").selectExpr("shard", "0L as grp", f"outbox_idx + {S.MESSAGES} + 4 as cursor")
+    marks = s.filter("rec = 'mark'").selectExpr("shard", "grp as source", "outbox_idx as mark")
+    routed = marks.selectExpr("source", "shard", "if(shard = 1, mark + 1, mark) as idx")
+    nodes = e.selectExpr("event_id % 3 as node", "event_id div 3 as idx", "if(event_id % 600 = 0, 'x', 'd') as digest")
+    return audit.full_round(s, symbols_table(spark).select("symbol", "base", "quote", "lot"), short, cursors, audit.mark_audit(marks, routed, routed.groupBy("source").agg(F.max("idx").alias("end"))), nodes)
+
+
+_TRADED = f"SELECT shard, 7 AS source, CAST(n AS BIGINT) AS idx, shard * {1 << 48} + n AS buy, (shard + CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END) % 3 * {1 << 48} + n + 1 AS sell, 99 + event_id % 3 AS price, event_id % 9 AS qty FROM (SELECT user_id % 3 AS shard, event_id, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS n FROM events WHERE event_type IN ('click', 'view')) AS o"
+
+
+@register("trade_sides", f"""
+  WITH o AS (SELECT user_id % 3 AS shard, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS n, CASE event_type WHEN 'click' THEN 'buy' ELSE 'sell' END AS side, 1 + event_id % 7 AS qty FROM events WHERE event_type IN ('click', 'view')),
+  t AS (SELECT shard, idx, price, qty, 'buy' AS side, buy AS id FROM ({_TRADED}) UNION ALL SELECT shard, idx, price, qty, 'sell', sell FROM ({_TRADED}))
+  SELECT t.shard, 7 AS source, t.idx, t.side, t.id AS order_id, coalesce(o.side = t.side AND t.qty > 0 AND t.qty <= o.qty AND CASE t.side WHEN 'buy' THEN t.price <= 100 ELSE t.price >= 100 END, FALSE) AS sound
+  FROM t LEFT JOIN o ON o.shard = t.shard AND o.n = t.id % 281474976710656 WHERE t.id >> 48 = t.shard""")
+def trade_sides(spark, d):
+    """Trades of neighbouring open orders, some across shards, against the ledger's own orders."""
+    from ..operators import flow
+
+    orders = ledger.run_ledger(exchange_cmds(spark, d), SYMBOLS, DEFAULT_PPM).filter("rec = 'order'")
+    return flow.trade_sides(A.adapted(spark, d, _TRADED, "events"), orders)
+
+
+@register("tick_commands", "SELECT shard, lsn + k AS lsn, CASE k WHEN 1 THEN 'clock' ELSE 'sweep' END AS cmd, CASE k WHEN 1 THEN 5000::BIGINT END AS now_ns, CASE k WHEN 2 THEN 60::BIGINT END AS max_age_ns, CASE k WHEN 2 THEN 30::BIGINT END AS retry_ns, CASE k WHEN 2 THEN 9 END AS max FROM (SELECT user_id % 3 AS shard, max(event_id) AS lsn FROM events GROUP BY 1), (VALUES (1), (2)) AS t(k)")
+def tick_commands(spark, d):
+    from ..operators import flow
+
+    return flow.tick_commands(_events(spark, d).groupBy(F.expr("user_id % 3").alias("shard")).agg(F.max("event_id").alias("lsn")), 5000, 60, 30, 9)
+
+
+@register("batch_status", "SELECT event_id // 7 AS batch, count(*) FILTER (event_id // 7 % 10 <> 3) AS commands, CASE WHEN event_id // 7 % 10 = 3 THEN 'size' WHEN bool_or(event_id % 50 = 0) THEN 'undecodable' ELSE 'ok' END AS status FROM events GROUP BY 1")
+def batch_status(spark, d):
+    """Batches of seven commands in bytes: every tenth is empty, some hold bytes that are no command."""
+    e = _events(spark, d).selectExpr("event_id div 7 as batch", "event_id as lsn", "0L as shard", "'clock' as cmd", "event_id as now_ns")
+    coded = ledger_codec.encoded(cmds(e.filter("batch % 10 <> 3"))).withColumn("data", F.expr("if(lsn % 50 = 0, cast('?' as binary), data)"))
+    return endpoints.batch_status(e.select("batch"), ledger_codec.decoded(coded).selectExpr("lsn div 7 as batch", "cmd"))
+
+
+@register("intake_replayed", "SELECT user_id % 3 AS shard, arrival, idx, outcome, n + CASE WHEN outcome = 'gap' THEN 0 ELSE 1 END AS cursor FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) - 1 AS n FROM events), LATERAL (VALUES (3 * event_id, n + 2, 'gap'), (3 * event_id + 1, n, 'applied'), (3 * event_id + 2, n, 'duplicate')) AS v(arrival, idx, outcome)")
+def intake_replayed(spark, d):
+    """Each message comes after one from ahead of it, and once more."""
+    from ..operators import flow
+
+    n = ordering.number(_events(spark, d).selectExpr("user_id % 3 as shard", "event_id"), ["shard"], ["event_id"], "n")
+    a = n.select("shard", F.explode(F.expr("array(struct(3 * event_id as arrival, n + 1 as idx), struct(3 * event_id + 1 as arrival, n - 1 as idx), struct(3 * event_id + 2 as arrival, n - 1 as idx))")).alias("v")).select("shard", "v.arrival", "v.idx")
+    return flow.intake(a)
+
+
+@register("span_intake", """SELECT 0::BIGINT AS shard, arrival, first, "end", outcome, skip, "cursor" FROM events, LATERAL (VALUES
+  (3 * event_id, 10 * event_id, 10 * event_id + 15, 'applied', CAST(CASE WHEN event_id = 0 THEN 0 ELSE 5 END AS BIGINT), 10 * event_id + 15), (3 * event_id + 1, 10 * event_id + 16, 10 * event_id + 90, 'gap', NULL, 10 * event_id + 15), (3 * event_id + 2, 10 * event_id, 10 * event_id + 15, 'duplicate', NULL, 10 * event_id + 15)) AS v(arrival, first, "end", outcome, skip, "cursor")""")
+def span_intake(spark, d):
+    """Spans that overlap the one before by five messages, one from ahead and one again between them."""
+    from ..operators import flow
+
+    s = _events(spark, d).select(F.explode(F.expr("array(struct(0L as shard, 3 * event_id as arrival, 10 * event_id as first, 10 * event_id + 15 as end), struct(0L as shard, 3 * event_id + 1 as arrival, 10 * event_id + 16 as first, 10 * event_id + 90 as end), struct(0L as shard, 3 * event_id + 2 as arrival, 10 * event_id as first, 10 * event_id + 15 as end))")).alias("v")).select("v.*")
+    return flow.span_intake(s)
+
+
+@register("event_store_window", "SELECT source, idx, event_id FROM (SELECT *, max(idx) OVER (PARTITION BY source) AS last FROM (SELECT user_id % 4 AS source, event_id, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS idx FROM events)) WHERE idx // 64 >= greatest(last + 1 - 300, 1) // 64")
+def event_store_window(spark, d):
+    """Events stored in two batches that overlap, of which whole segments are dropped again."""
+    import uuid
+
+    from ..functions.tables import shared_dir
+    from ..sources import event_store
+
+    e = ordering.number(_events(spark, d).selectExpr("user_id % 4 as source", "event_id"), ["source"], ["event_id"], "idx")
+    folder = f"{shared_dir(spark)}/tidebook/event-store-{uuid.uuid4().hex}"
+    half = _events(spark, d).count() // 2
+    event_store.append(spark, folder, e.filter(F.col("event_id") < half + half // 5), 64)
+    event_store.append(spark, folder, e.filter(F.col("event_id") >= half), 64)
+    event_store.retain(spark, folder, 300, 64)
+    return event_store.read(spark, folder).select("source", "idx", "event_id")
+
+
+@register("nodes_settled", "SELECT node_set, bool_and(TRUE) AND node_set <> 1 AS settled FROM (SELECT event_id % 3 AS node_set FROM events) GROUP BY node_set")
+def nodes_settled(spark, d):
+    """Three sets of nodes, of which one has a node behind."""
+    e = _events(spark, d).agg(F.max("event_id").alias("top"))
+    sets = [e.selectExpr("explode(array(0L, 1L, 2L)) as node", "top").selectExpr(f"top - if({k} = 1 and node = 2, 1, 0) as applied", "top as committed", "'d' as digest", "false as halted") for k in range(3)]
+    return reduce(DataFrame.unionByName, [audit.settled(s).select(F.lit(k).cast("long").alias("node_set"), "settled") for k, s in enumerate(sets)])
+
+
 # --- credit slices ---
 
 
