@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions import digest, routing
 from tidebook.functions.numbering import number, running_sum
-from tidebook.functions.tables import shared_dir
+from tidebook.functions.tables import released, shared_dir, stored
 from tidebook.operators import ledger, matching, ordering, slices
 from tidebook.operators.ledger import Ledger
 from tidebook.plans import recovery, scripts
@@ -338,3 +338,42 @@ def test_intermediate_tables_need_a_shared_folder_on_a_cluster():
     for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn", "k8s://host"):
         with pytest.raises(RuntimeError):
             shared_dir(Session(master))
+
+
+def test_tables_are_released_but_for_the_last(spark):
+    with released(spark):
+        a = stored(spark.range(5), "a")
+        b = stored(a.selectExpr("id + 1 as id"), "b")
+    paths = [p.split("/part-")[0].removeprefix("file:").replace("///", "/") for p in (*a.inputFiles(), *b.inputFiles())]
+    import os
+
+    assert b.count() == 5 and not os.path.exists(paths[0]) and os.path.exists(paths[-1])
+
+
+def test_event_store_reports_gaps_and_adds_nothing_twice(spark, tmp_path):
+    from tidebook.sources import event_store
+
+    folder = f"file://{tmp_path}/store"
+    rows = lambda *r: spark.createDataFrame(list(r), "source long, idx long, event string")
+    assert event_store.read(spark, folder) is None and event_store.window(spark, folder) is None and event_store.retain(spark, folder, 5) == []
+    assert event_store.append(spark, folder, rows((1, 1, "a"), (1, 2, "b"), (1, 2, "b"), (2, 1, "x")), 4).count() == 0
+    gaps = event_store.append(spark, folder, rows((1, 2, "b"), (1, 3, "c"), (2, 3, "z"), (3, 2, "late")), 4)
+    assert sorted(map(tuple, gaps.collect())) == [(2, 3, 2), (3, 2, 1)]
+    assert [(r.idx, r.event) for r in event_store.stream(spark, folder, 1, 2, 10).collect()] == [(2, "b"), (3, "c")]
+    event_store.append(spark, folder, rows(*[(1, i, str(i)) for i in range(4, 20)]), 4)
+    assert event_store.retain(spark, folder, 5, 4) == ["source=1/segment=0", "source=1/segment=1", "source=1/segment=2"]
+    assert sorted(map(tuple, event_store.window(spark, folder).collect())) == [(1, 12, 20), (2, 1, 2)]
+
+
+def test_the_credit_loop_counts_grants_on_their_way(spark):
+    """A grant that a group has not taken in yet is its credit: the pair is not lent to again."""
+    long = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    c = [{"cmd": "deposit", "account": a, "asset": 2, "amount": 1000, "external_id": a} for a in (1, 2)] + [{"cmd": "lend", "grp": 1, "account": 1, "asset": 2, "amount": 400}]
+    fields = ["cmd", "account", "asset", "amount", "external_id", "grp"]
+    state = ledger.run_ledger(cmds(long([(0, i, *[x.get(f) for f in fields]) for i, x in enumerate(c)], "shard long, lsn long, cmd string, account long, asset long, amount long, external_id long, grp long")), SYMBOLS).cache()
+    rows = slices.run_slices(long([(1, 0, "status")], "grp long, idx long, cmd string").selectExpr(*[f"{n} as {n}" if n in ("grp", "idx", "cmd") else f"cast(null as {t}) as {n}" for n, t in (x.split(" ", 1) for x in slices.ENTRIES.split(", "))]), SYMBOLS)
+    wanted, policy = long([(1, 0, 1, 2), (1, 1, 2, 2)], "grp long, place long, account long, asset long"), long([(1, 2, 300, 50, None, None)], "grp long, asset long, chunk long, low_water_pct long, account_cap long, group_cap long")
+    seen = long([], slices.SEEN)
+    plan = lambda cursor: sorted((x.cmd, x.account, x.amount) for x in slices.drive(rows, state, long([(1, 0, cursor)], "grp long, shard long, cursor long"), wanted, policy, seen, 5, 10, 9)[0].collect())
+    assert plan(0) == [("lend", 2, 300)]  # 400 are on their way to account 1
+    assert plan(1) == [("lend", 1, 300), ("lend", 2, 300)]  # taken in, and nothing of them is left

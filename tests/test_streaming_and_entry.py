@@ -71,6 +71,12 @@ def test_cli_runs_a_command_file(spark, tmp_path, capsys):
     assert capsys.readouterr().out.splitlines()[1] == '{"seq":2,"ev":"trade","maker":1,"taker":2,"price":5,"qty":2}'
     f.write_text('{"format":"x"}\nnonsense\n')
     assert cli.main(["run", str(f)]) == 2
+    assert cli.main(["fuzz", "--commands", "300", "--seed", "4"]) == 0
+    f.write_text(capsys.readouterr().out)
+    assert cli.main(["run", str(f), "--partitions", "2"]) == 0
+    assert len(capsys.readouterr().out.splitlines()) >= 300
+    assert cli.main(["bench", "--commands", "2000", "--symbols", "5"]) == 0
+    assert '"commands": 2000' in capsys.readouterr().out
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")

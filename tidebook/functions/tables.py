@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,4 +26,25 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     it, with its lineage cut. The folder can be emptied when the job has ended."""
     path = f"{shared_dir(df.sparkSession)}/tidebook/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _made:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: What stored() has written inside each open released().
+_made: list[list[str]] = []
+
+
+@contextmanager
+def released(spark: SparkSession, keep: int = 1):
+    """Deletes the tables that stored() wrote inside, but for the last `keep`: for steps whose
+    result is stored itself. What is read lazily afterwards must be among those kept."""
+    made: list[str] = []
+    _made.append(made)
+    try:
+        yield
+    finally:
+        _made.remove(made)
+        for path in made[: len(made) - keep]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
