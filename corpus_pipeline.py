@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.llm import packing, quality_classifier, quality_rules, secret_scans, simhash
-from tidebook.llm.common import stored, table
+from tidebook.llm.common import released, stored, table
 
 #: The columns of documents; stages take and return these, whatever else a table has.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -75,7 +75,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn. A stage's own intermediate tables are deleted once its result is stored."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with released(spark):
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

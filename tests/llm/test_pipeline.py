@@ -1,10 +1,12 @@
+import os
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 import corpus_pipeline as cp
-from tidebook.llm import quality_rules, secret_scans, simhash
+from tidebook.llm import quality_classifier, quality_rules, secret_scans, simhash
 
 from .data import awkward, documents, prose
 
@@ -165,3 +167,40 @@ def test_stages_take_awkward_and_empty_tables(spark, corpus):
             got = stage(spark, docs, d).count()
             assert got <= n or name == "packing"
         assert cp.secrets(spark, docs, d).count() == n
+
+
+DATA = "/root/testdata/sf0.01"
+
+
+def five_grams(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_near_dedup_recall_on_the_given_table(spark):
+    """Every pair of documents with a similarity of 0.8 or more, found by an inverted index over all
+    shingles, is in one group, and no group holds a document that is similar to none of it."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    grams, where = {i: five_grams(t) for i, t in rows}, defaultdict(list)
+    for i, g in grams.items():
+        for x in g:
+            where[x].append(i)
+    both = Counter((a, b) for ids in where.values() for k, a in enumerate(ids) for b in ids[k + 1 :])
+    true = {(a, b) for (a, b), n in both.items() if n >= 0.8 * (len(grams[a]) + len(grams[b]) - n)}
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.read.parquet(f"{DATA}/documents.parquet")).collect()}
+    texts = dict(rows)
+    near = {p for p in true if texts[p[0]] != texts[p[1]]}
+    assert len(true) > 50 and len(near) >= 3 and sum(got[a] == got[b] for a, b in true) >= 0.99 * len(true) and sum(got[a] == got[b] for a, b in near) >= 0.9 * len(near)
+    linked = {x for p in true for x in p}
+    for i, root in got.items():
+        assert i == root or i in linked or texts[i] == texts[root]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_classifier_on_the_given_table(spark):
+    """Held-out labels of the given table: at least 0.95 of the decisions at 0.3 are right."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    scored = quality_classifier.score(docs, quality_classifier.train(docs, labels))
+    held = scored.join(labels.filter("quality in (0, 1)"), scored["id"] == labels["doc_id"]).filter(quality_classifier.crc_fold(labels["doc_id"]) == 0).select("score", "quality").collect()
+    assert len(held) > 50 and sum((r.score >= 0.3) == (r.quality == 1) for r in held) >= 0.95 * len(held)

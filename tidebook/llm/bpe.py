@@ -3,7 +3,8 @@
 The rank file's path is a parameter and is opened on the executors, where the
 vocabulary is loaded once for each Python worker. Long texts are split before
 the library sees them, at places where its pattern always ends a match, so the
-ids are those of the whole text and no call holds more than one piece. Decoding
+ids are those of the whole text; a text without such a place (no ASCII letter,
+digit or full stop before a blank) is one piece however long it is. Decoding
 gives raw bytes: ids need not be whole characters.
 """
 
@@ -110,6 +111,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col="doc_id", t
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded: counts and digests."""
     import public_tokenizers as P
 
     return round_trip(table(spark, sf_dir, "documents"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)

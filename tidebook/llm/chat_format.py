@@ -177,6 +177,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1 formatted, and digests read back from the windows."""
     import public_tokenizers as P
 
     said = "<|im_end|><|im_start|>assistant ok"

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tables import shared_dir, stored  # noqa: F401  stored is used by the operators
+from ..functions.tables import released, shared_dir, stored  # noqa: F401  used by the operators
 
 #: Java and RE2 class of the six ASCII blanks that separate words.
 BLANKS = r"[\x20\x09-\x0D]+"

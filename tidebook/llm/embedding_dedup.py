@@ -303,4 +303,5 @@ def near_vectors(rows: DataFrame, id_col="vec_id", vec_col="embedding", least=LE
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
+    """Links, component and representative of every embedding."""
     return near_vectors(table(spark, sf_dir, "embeddings"))

@@ -268,6 +268,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_c
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
+    """All documents packed: a row for each piece of a sequence."""
     import public_tokenizers as P
 
     return pack_documents(table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"))

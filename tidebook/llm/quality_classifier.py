@@ -149,6 +149,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col="doc_id", text_col="text"
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learned from labels outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select(F.col("id").alias("doc_id"), (crc_fold(F.col("id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

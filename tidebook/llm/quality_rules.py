@@ -163,4 +163,5 @@ def quality_rules(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="l
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
+    """All documents with their base measures, verdict and the thresholds behind it."""
     return quality_rules(table(spark, sf_dir, "documents"))

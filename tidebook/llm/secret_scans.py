@@ -109,7 +109,8 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, scope: int) -> DataFrame:
     base = F.concat(*[F.col(x) for x in BASE])
     weak = F.concat(*[F.col(x) for x in WEAK])
     found = stored(df.select("id", F.xxhash64("text").alias("th"), *[F.size(x).cast("long").alias(f"n_{x}") for x in BASE], base.alias("base"), weak.alias("weak")), "secret-spans")
-    some = found.filter((F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1))
+    # rows that repeat an id and text have the same parts: one of them stands for all
+    some = found.filter((F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)).dropDuplicates(["id", "th"])
     parts = some.select("id", "th", F.explode(F.concat("base", "weak")).alias("s")).select("id", "th", "s.*")
     added = linked_parts(parts, scope).groupBy("id", "th").agg(F.collect_list(F.struct("start", "k", "end")).cast(SPAN).alias("more"))
     added = stored(added.select(F.col("id").alias("i2"), F.col("th").alias("t2"), "more"), "secret-links")
@@ -121,6 +122,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, scope: int) -> DataFrame:
         F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("n_linked"),
     )
 
+
 def secret_scans(docs: DataFrame, id_col="doc_id", text_col="text", scope=SCOPE) -> DataFrame:
     """One row per row of `docs`: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked.
 
@@ -153,4 +155,5 @@ def redacted(docs: DataFrame, id_col="doc_id", text_col="text", mark="[secret]",
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: base counts and digest, and all spans."""
     return secret_scans(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")

@@ -76,6 +76,7 @@ def interleave(rows: DataFrame, n_shards: int, id_col: str, stratum_col: str, pa
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
+    """All documents dealt to eight shards by the law `rows`."""
     text = F.col("text")
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
     out = interleave(table(spark, sf_dir, "documents"), 8, "doc_id", "source", {"size": size, "text_crc32": F.crc32(F.coalesce(text, F.lit("")).cast("binary"))})

@@ -458,4 +458,5 @@ def _text_of(batches):
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -263,4 +263,5 @@ def archive_and_read(pages: DataFrame, least_bytes=0, id_col="page_id", url_col=
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back through the index."""
     return archive_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
