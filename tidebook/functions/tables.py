@@ -21,6 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+def as_uri(folder: str) -> str:
+    """A folder's name as pyarrow's file systems take it: a bare path and file:/path are local ones."""
+    if "://" in folder:
+        return folder
+    return "file://" + os.path.abspath(folder.removeprefix("file:"))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """`df` written to the shared folder and read back: computed once however many plans read
     it, with its lineage cut. The folder can be emptied when the job has ended."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbering import number
-from ..functions.routing import group_of
+from ..functions.routing import group_of, shard_of_account, shard_of_order
 from .fold import fold
 
 
@@ -142,19 +142,15 @@ def read_stream(archive: DataFrame, source: int, start: int, limit: int) -> Data
     return good.unionByName(bad)
 
 
-#: Order ids hold their shard above this bit (fixed value).
-SHARD_BITS = 48
-
-
 def concerned_shards(shards: int):
     """Column: the ledger shards that a settlement event concerns: of both orders of a trade, of a closed
     order, of the account of a slice event (account modulo shards); slice fees are booked on shard 0."""
-    of = lambda c: F.shiftrightunsigned(F.col(c), SHARD_BITS)
+    of = lambda c: shard_of_order(F.col(c))
     return (
         F.when(F.col("kind") == "trade", F.array_distinct(F.array(of("buy"), of("sell"))))
         .when(F.col("kind") == "closed", F.array(of("order_id")))
         .when(F.col("kind") == "slice_fee", F.array(F.lit(0).cast("long")))
-        .otherwise(F.array(F.pmod("account", F.lit(shards)).cast("long")))
+        .otherwise(F.array(shard_of_account(F.col("account"), shards).cast("long")))
     )
 
 

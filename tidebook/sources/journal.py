@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import as_uri
 from ..operators.fold import batch_of
 from ..schemas import BOOK_CONFIG, CLOSE_REASONS, CMD_CODES, EV_CODES, OTYPE_CODES, REJECT_REASONS, SIDE_CODES, TIF_CODES
 
@@ -241,7 +242,7 @@ def open_segment(folder: str, kind: str, partition: int, partitions: int, start:
     """A segment of lines that holds its header only."""
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + os.path.abspath(folder))
+    system, path = fs.FileSystem.from_uri(as_uri(folder))
     name = f"{kind}-{partition}.{start}.journal"
     with system.open_output_stream(f"{path}/.{name}", compression=None) as f:
         f.write((header_line(kind, partition, partitions, config) + "\n").encode())
@@ -260,7 +261,7 @@ def write(rows: DataFrame, folder: str, kind: str, partitions: int, config: dict
 
         from ..operators.fold import rows_of
 
-        system, path = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + os.path.abspath(folder))
+        system, path = fs.FileSystem.from_uri(as_uri(folder))
         system.create_dir(path, recursive=True)
         out = []
         for p, group in groupby(rows_of(batches), lambda r: r["partition"]):
