@@ -83,9 +83,12 @@ class Book:
     def apply(self, cmd: dict) -> list[tuple]:
         """Events of one command. A command that can't be decoded (see decodable()) changes
         nothing and has no events."""
+        return self.run(cmd) if decodable(cmd) else []
+
+    def run(self, cmd: dict) -> list[tuple]:
+        """Events of a command that is known to be decodable."""
         out: list[tuple] = []
-        if decodable(cmd):
-            self.COMMANDS[cmd["cmd"]](self, cmd, out)
+        self.COMMANDS[cmd["cmd"]](self, cmd, out)
         return out
 
     def _reject(self, out, order_id, reason):

@@ -47,8 +47,11 @@ def _state_rows(symbol, core):
 def _run(config: dict, per_symbol: dict, state: bool, make):
     def step(symbol, rows):
         core = make(**(config | per_symbol.get(symbol, {})))
+        apply = getattr(core, "run", core.apply)  # the rows are decodable
         for r in rows:
-            for i, event in enumerate(core.apply(r)):
+            if r["cmd"] is None:
+                continue
+            for i, event in enumerate(apply(r)):
                 row = (symbol, r["iseq"], i, *event)
                 yield row + (None,) * 5 if state else row
         if state:
@@ -61,21 +64,27 @@ def match(commands: DataFrame, config: dict | None = None, per_symbol: dict | No
     """Events of all books. Each symbol has one core with `config`, or its entry of
     `per_symbol`; results do not depend on partitions, batches or task order. Commands that
     can't be decoded have no events: see undecodable()."""
-    return fold(commands, "symbol", ["iseq"], _run(config or {}, per_symbol or {}, False, core), EVENTS, names(COMMANDS))
+    return fold(commands.filter(_decodable()), "symbol", ["iseq"], _run(config or {}, per_symbol or {}, False, core), EVENTS, names(COMMANDS))
 
 
 def match_with_state(commands: DataFrame, config: dict | None = None, per_symbol: dict | None = None, core=Book) -> DataFrame:
     """STATE rows: events (rec null) and the books' state after the last command."""
-    return fold(commands, "symbol", ["iseq"], _run(config or {}, per_symbol or {}, True, core), STATE, names(COMMANDS))
+    # a symbol whose every command is passed over still has a book, so its rows stay and have no command
+    rows = commands.withColumn("cmd", F.when(_decodable(), F.col("cmd")))
+    return fold(rows, "symbol", ["iseq"], _run(config or {}, per_symbol or {}, True, core), STATE, names(COMMANDS))
 
 
 def undecodable(commands: DataFrame) -> DataFrame:
     """The commands that a book passes over: an unknown variant, or a field or token of it missing."""
+    return commands.filter(~_decodable())
+
+
+def _decodable():
     known = lambda c, t: F.coalesce(F.col(c).isin(*t), F.lit(False))
     sized = F.col("qty").isNotNull() & F.col("price").isNotNull()
     new = known("side", SIDE_CODES) & known("otype", OTYPE_CODES) & known("tif", TIF_CODES) & F.col("qty").isNotNull() & ((F.col("otype") == "market") | F.col("price").isNotNull())
     fields = F.when(F.col("cmd") == "new", new).when(F.col("cmd") == "replace", sized).otherwise(True)
-    return commands.filter(~(known("cmd", CMD_CODES) & F.col("order_id").isNotNull() & fields))
+    return known("cmd", CMD_CODES) & F.col("order_id").isNotNull() & fields
 
 
 def events_of(state: DataFrame) -> DataFrame:
