@@ -143,6 +143,29 @@ def test_vectors_match_brute_force(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_a_crowd_of_near_copies_costs_no_pairs(spark, monkeypatch):
+    """12,000 near copies of one vector, some odd ones among them: counts are exact, and the crowd is not compared with itself."""
+    g = np.random.default_rng(2)
+    centre = g.normal(size=32)
+    x = centre + 0.04 * g.normal(size=(12_000, 32))
+    x[::100] = centre + 0.33 * g.normal(size=(120, 32))  # on the edge of a link
+    x = np.concatenate([x, g.normal(size=(500, 32))])
+    df = embedding_dedup.stored(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4), "crowd")
+    asked, real = [], embedding_dedup.map_arrow
+
+    def watched(rows, run, schema):
+        if schema == embedding_dedup.FOUND:
+            asked.append(rows.filter("asks = 1").count())
+        return real(rows, run, schema)
+
+    monkeypatch.setattr(embedding_dedup, "map_arrow", watched)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.concatenate([(x[i : i + 2000] @ x.T >= 0.9).sum(1) - 1 for i in range(0, len(x), 2000)])
+    assert [got[i][0] for i in range(len(x))] == want.tolist() and 0 < (want[:12_000:100] > 0).sum()
+    assert all(got[i][1] == 1 or got[i][0] == 0 or got[i][1] == 0 for i in range(12_000)) and asked[0] < 40 * len(x)
+
+
 def test_recall_over_a_thousand_lists(spark):
     """Pairs close to the least cosine, dealt over 1024 lists: at least 0.99 of them are found."""
     g = np.random.default_rng(8)

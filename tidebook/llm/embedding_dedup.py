@@ -17,7 +17,10 @@ its links. A link that only one side can find (the other did not probe its list)
 for both where it is found.
 
 Lists nearer than SEPARATION are merged, so near copies of one vector share a list
-however many there are. Quantisers are trained in one task on a bounded sample (MAX_SAMPLE
+however many there are. Vectors within half the distance of a link from their list's
+centroid are its core: any two of them link, by the triangle inequality, so they are
+counted and joined by one sum over the list and compared only with the rest. A crowd of near
+copies therefore costs as much as it has vectors, not as it has pairs. Quantisers are trained in one task on a bounded sample (MAX_SAMPLE
 vectors, by hash); all vectors are indexed. Recall is measured in the tests.
 """
 
@@ -110,7 +113,8 @@ class Quantiser:
         return int(min(MAX_PROBES, 1 + np.quantile(np.concatenate(ranks), SURE, method="higher")))
 
     def encode(self, x: np.ndarray, probes: int | None = None):
-        """Probed lists (own first, -1 where a probe can find nothing), codes, and distances from the decoded vectors."""
+        """Probed lists (own first, -1 where a probe can find nothing), codes, distances from the decoded
+        vectors, and whether a vector is in the core of its list."""
         near = _nearest(x, self.coarse, min(probes or self.probes, len(self.coarse)))
         own = self.coarse[near[:, :1]]
         # distance of x from the plane between its own centroid and another: what lies beyond is no nearer
@@ -120,7 +124,7 @@ class Quantiser:
         rest = x - own[:, 0]
         codes = np.stack([_nearest(rest[:, p], b)[:, 0] for p, b in zip(self.parts, self.books)], 1).astype(np.uint8)
         decoded = np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], 1)
-        return probed, codes, np.sqrt(((rest - decoded) ** 2).sum(1))
+        return probed, codes, np.sqrt(((rest - decoded) ** 2).sum(1)), np.sqrt((rest * rest).sum(1)) <= self.far / 2 - 1e-6
 
     def distances(self, x: np.ndarray, own: int, codes: np.ndarray) -> np.ndarray:
         """Distances of rows of x from vectors coded in list `own`, by table look-up."""
@@ -189,18 +193,22 @@ def _search(classes: DataFrame, size: int, least: float, lists: int | None = Non
     def index(batches):
         for b in batches:
             if b.num_rows:
-                near, codes, err = sent.value.encode(_unit(b.column(2).to_pylist(), size))
+                near, codes, err, core = sent.value.encode(_unit(b.column(2).to_pylist(), size))
                 lists_of = pa.array([x[x >= 0] for x in near.astype(np.int32)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(near[:, 0].astype(np.int32)), lists_of, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err), b.column(2)],
-                    names=["rep", "n", "own", "near", "codes", "err", "raw"],
+                    [b.column(0), b.column(1), pa.array(near[:, 0].astype(np.int32)), pa.array(core), lists_of, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err), b.column(2)],
+                    names=["rep", "n", "own", "core", "near", "codes", "err", "raw"],
                 )
 
-    coded = stored(map_arrow(classes.select("rep", "n", "raw"), index, "rep long, n long, own int, near array<int>, codes binary, err double, raw binary"), "pq-codes")
-    blocks = {r["own"]: -(-r["count"] // block) for r in coded.groupBy("own").count().collect()}  # MAX_LISTS rows at most
-    n_blocks = stored(spark.createDataFrame([(k, v) for k, v in blocks.items()], "l int, n_blocks int"), "pq-blocks") if blocks else spark.createDataFrame([], "l int, n_blocks int")
-    held = coded.join(F.broadcast(n_blocks), F.col("own") == F.col("l")).select("own", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "rep", "n", F.col("own").alias("home"), "near", "codes", "err", "raw")
-    asking = coded.withColumn("to", F.explode("near")).join(F.broadcast(n_blocks), F.col("to") == F.col("l")).withColumn("block", F.explode(F.expr("sequence(0, n_blocks - 1)")))
+    coded = stored(map_arrow(classes.select("rep", "n", "raw"), index, "rep long, n long, own int, core boolean, near array<int>, codes binary, err double, raw binary"), "pq-codes")
+    # a row per list, MAX_LISTS at most: blocks of its core (numbers below 0) and of the rest, and what the core holds
+    of = lambda c, core: F.when(F.col("core") == core, F.col(c))
+    cut = lambda core: F.ceil(F.count(of("rep", core)) / block).cast("int")
+    lists_of = stored(coded.groupBy(F.col("own").alias("l")).agg(cut(True).alias("core_blocks"), cut(False).alias("rest_blocks"), F.sum(of("n", True)).alias("core_n"), F.min(of("rep", True)).alias("core_rep")), "pq-blocks")
+    place = F.expr("if(core, -1 - pmod(xxhash64(rep), core_blocks), pmod(xxhash64(rep), rest_blocks))").cast("int")
+    held = coded.join(F.broadcast(lists_of), F.col("own") == F.col("l")).select("own", place.alias("block"), F.lit(0).alias("asks"), "rep", "n", F.col("own").alias("home"), "near", "codes", "err", "raw")
+    asked = F.expr("concat(if(rest_blocks > 0, sequence(0, rest_blocks - 1), array()), if(core_blocks > 0 and not (core and to = own), sequence(-core_blocks, -1), array()))")
+    asking = coded.withColumn("to", F.explode("near")).join(F.broadcast(lists_of), F.col("to") == F.col("l")).withColumn("block", F.explode(asked))
     none = F.lit(None)
     asking = asking.select(F.col("to").alias("own"), "block", F.lit(1).alias("asks"), "rep", "n", F.col("own").alias("home"), none.cast("array<int>").alias("near"), none.cast("binary").alias("codes"), none.cast("double").alias("err"), "raw")
 
@@ -273,7 +281,10 @@ def _search(classes: DataFrame, size: int, least: float, lists: int | None = Non
                         yield out
 
     dealt = held.unionByName(asking).repartition("own", "block").sortWithinPartitions("own", "block", "asks", "rep")
-    return map_arrow(dealt, links, FOUND)
+    inside = coded.filter("core").join(F.broadcast(lists_of), F.col("own") == F.col("l"))
+    counted = inside.select(F.lit(False).alias("edge"), F.col("rep").alias("a"), (F.col("core_n") - F.col("n")).alias("b")).filter("b > 0")
+    joined = inside.filter("rep <> core_rep").select(F.lit(True).alias("edge"), F.col("rep").alias("a"), F.col("core_rep").alias("b"))
+    return map_arrow(dealt, links, FOUND).unionByName(counted).unionByName(joined)
 
 
 def near_vectors(rows: DataFrame, id_col="vec_id", vec_col="embedding", least=LEAST_COSINE, lists: int | None = None) -> DataFrame:
