@@ -38,8 +38,19 @@ def get_field(rows, name):
     return F.transform(rows, lambda r: r[name])
 
 
+_AT_END: list[Callable] = []
+
+
+def at_task_end(forget: Callable) -> Callable:
+    """Registers a function that empties what a module's tasks have kept at hand."""
+    _AT_END.append(forget)
+    return forget
+
+
 def give_back() -> None:
-    """Returns a worker's free memory to the machine: workers live on, idle, beside the next tasks."""
+    """Empties caches and returns a worker's free memory to the machine: workers live on, idle, beside the next tasks."""
+    for forget in _AT_END:
+        forget()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

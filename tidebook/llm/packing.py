@@ -25,14 +25,13 @@ import json
 import re
 import struct
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table
+from .common import at_task_end, map_arrow, table
 
 TIERS = (256, 512, 1024, 2048)
 #: Tokens that a task packs at a time.
@@ -40,10 +39,17 @@ BUFFER = 1 << 21
 #: Windows of the longest tier whose tokens make a step group; shorter windows count by their share.
 STEP_SIZE = 64
 END_ID = 1
-#: Words and pieces that a worker keeps at hand, for each of its tables.
+#: Words and pieces that a task keeps at hand, for each of its tables.
 CACHE = 1 << 18
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+
+
 class WordTokens:
     """Ids of texts under a `tokenizers` file. If its normalizer and pre-tokenizer are those
     stated here, which drop white space and never cross it, the ids of a text are those of
@@ -82,46 +88,58 @@ class WordTokens:
         self.parts: dict[str, bytes] = {}
 
     def part(self, piece: str) -> bytes:
+        """Ids of one lower-case piece of the pre-tokenizer."""
         out = self.parts.get(piece)
         if out is None:
             mapped = piece if piece.isascii() else "".join(map(self.as_char.__getitem__, piece.encode()))
-            ids = [t.id for t in self.model.tokenize(mapped)]
-            out = struct.pack(f"<{len(ids)}I", *ids)
+            out = _packed([t.id for t in self.model.tokenize(mapped)])
             if len(self.parts) >= CACHE:
                 self.parts = {}
             self.parts[piece] = out
         return out
 
     def word(self, raw: bytes) -> bytes:
-        out = self.older.get(raw)
-        if out is None:
-            text = raw.decode()
-            if self.PLAIN.fullmatch(text):
-                text = text.lower()
-                out = self.part(text) if text.isalpha() else b"".join(map(self.part, self.PIECES.findall(text)))
-            else:
-                out = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(raw) <= 64:
-            if len(self.words) >= CACHE:  # words still in use come back from the older half
-                self.older, self.words = self.words, {}
-            self.words[raw] = out
-        return out
+        if raw.isalpha():  # ASCII letters only
+            return self.part(raw.lower().decode())
+        text = raw.decode()
+        if not self.PLAIN.fullmatch(text):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        text = text.lower()
+        return self.part(text) if text.isalpha() else b"".join(map(self.part, self.PIECES.findall(text)))
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not self.by_word:
             return np.array(self.whole.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
-        out = []
-        for raw in re.split(b"[ \n]+", (text or "").encode("utf-8", "replace")):
-            if raw:
-                got = self.words.get(raw)
-                out.append(self.word(raw) if got is None else got)
+        if len(self.words) >= CACHE:  # words still in use come back from the older half
+            self.older, self.words = self.words, {}
+        words, older = self.words, self.older
+        raws = (text or "").encode("utf-8", "replace").split()  # at ASCII blanks
+        out = list(map(words.get, raws))
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            raw = raws[i]
+            got = older.get(raw)
+            if got is None:
+                got = self.word(raw)
+            out[i] = got
+            if len(raw) <= 64:
+                words[raw] = got
         return b"".join(out)
 
 
-@lru_cache(maxsize=2)
+_LOADED: dict[str, WordTokens] = {}
+
+
 def tokens_of(path: str) -> WordTokens:
-    return WordTokens(path)
+    if path not in _LOADED:
+        _LOADED[path] = WordTokens(path)
+    return _LOADED[path]
+
+
+@at_task_end
+def _forget() -> None:
+    for t in _LOADED.values():
+        t.words, t.older, t.parts = {}, {}, {}
 
 
 class _Waiting:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored, table
+from .common import at_task_end, map_arrow, stored, table
 
 BITS = 18
 #: Labelled rows that training reads, at most.
@@ -29,7 +29,7 @@ MAX_TRAIN = 6000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 1.0, 0.1, 1e-4, 1e-3
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-#: Distinct tokens that a worker keeps hashed.
+#: Distinct tokens that a task keeps hashed.
 CACHE = 1 << 18
 _U = np.uint64
 #: Odd multipliers of the n-gram hashes.
@@ -52,6 +52,7 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+at_task_end(_HASHES.clear)
 _BIAS, _AGAIN, _ECHO = 0, 1, 2  # fixed places of the vector
 
 
