@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebook.functions import digest, routing
-from tidebook.functions.numbering import number, running_sum
+from tidebook.functions.numbering import number, running, running_sum
 from tidebook.functions.tables import released, shared_dir, stored
 from tidebook.operators import ledger, matching, ordering, slices
 from tidebook.operators.ledger import Ledger
@@ -282,6 +282,12 @@ def test_running_sums_and_numbers_with_a_hot_key(spark):
     assert got == want
     assert [x.n for x in number(df, [], ["i"], "n").orderBy("i").collect()] == list(range(1, 4001))
     assert number(df.limit(0), ["k"], ["i"], "n").count() == 0
+    top, most = {}, {}
+    for k, i, v in rows:
+        most[i] = (top.get(k), max(v, top.get(k, v)))
+        top[k] = most[i][1]
+    got = {x.i: (x.b, x.m) for x in running(running(df, ["k"], ["i"], "v", "b", "max", True), ["k"], ["i"], "v", "m", "max").collect()}
+    assert got == most
 
 
 def test_percentiles_of_many_distinct_values_by_key(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbering import number
+from ..functions.numbering import number, running
 from ..functions.routing import group_of, shard_of_account, shard_of_order
 from .fold import fold
 
@@ -105,13 +105,13 @@ def replay_problems(replayed: DataFrame, ring: DataFrame) -> DataFrame:
 
 def session_accepted(rows: DataFrame, client: str = "client", seq: str = "seq", index: str = "idx") -> DataFrame:
     """Adds `applied`: whether a request's seq is above all earlier ones of its client."""
-    before = Window.partitionBy(client).orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("applied", F.col(seq) > F.coalesce(F.max(seq).over(before), F.lit(0)))
+    seen = running(rows, [client], [index], seq, "_seen", "max", True)
+    return seen.withColumn("applied", F.col(seq) > F.coalesce("_seen", F.lit(0))).drop("_seen")
 
 
 def running_clock(rows: DataFrame, key: str, ts: str, order: str) -> DataFrame:
     """Adds `clock`: the greatest time so far."""
-    return rows.withColumn("clock", F.max(ts).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return running(rows, [key], [order], ts, "clock", "max")
 
 
 def intake_without_gaps(arrivals: DataFrame, key: str = "shard", idx: str = "idx", arrival: str = "arrival") -> DataFrame:
@@ -159,8 +159,12 @@ def settle_routes(events: DataFrame, shards: int) -> DataFrame:
     that an event concerns, with `prev`, the index before it that went there (0: none); orders of
     credit slices belong to no ledger shard."""
     routed = events.withColumn("shard", F.explode(concerned_shards(shards))).filter((F.col("shard") >= 0) & (F.col("shard") < shards))
-    prev = F.lag("idx").over(Window.partitionBy("source", "shard").orderBy("idx"))
-    return routed.withColumn("prev", F.coalesce(prev, F.lit(0)))
+    return _chained(routed)
+
+
+def _chained(routed: DataFrame) -> DataFrame:
+    """Adds `prev`: the greatest index before it of the same source and shard."""
+    return running(routed, ["source", "shard"], ["idx"], "idx", "prev", "max", True).withColumn("prev", F.coalesce("prev", F.lit(0)))
 
 
 def settle_chain(events: DataFrame, shards: int) -> DataFrame:
@@ -168,8 +172,7 @@ def settle_chain(events: DataFrame, shards: int) -> DataFrame:
     with `prev`, the index before it that went to the same shard (0: none)."""
     of = lambda c: F.pmod(F.col(c), F.lit(shards))
     routed = events.select("*", F.explode(F.array_distinct(F.array(of("buy"), of("sell")))).alias("shard"))
-    prev = F.lag("idx").over(Window.partitionBy("source", "shard").orderBy("idx"))
-    return routed.withColumn("prev", F.coalesce(prev, F.lit(0)))
+    return _chained(routed)
 
 
 def durable_acks(events: DataFrame, marks: DataFrame) -> DataFrame:
