@@ -9,7 +9,7 @@ from tidebook.plans import ledger_queries
 from tidebook.schemas import COMMANDS
 from tidebook.sources import partition_map
 from tidebook.streaming.ledger_stream import ledger_stream
-from tidebook.streaming.match_stream import acked_sink, match_stream
+from tidebook.streaming.match_stream import acked_sink, callback_sink, match_stream
 
 from .test_matching import flow, frame
 
@@ -38,6 +38,24 @@ def test_stream_equals_batch_across_micro_batches_and_restart(spark, tmp_path):
     assert sorted((tuple(r) for r in got.collect()), key=lambda x: x[:3]) == sorted((tuple(r) for r in matching.match(c).collect()), key=lambda x: x[:3])
 
 
+def test_callback_sink_hands_over_each_partition_in_order(spark, tmp_path):
+    c, out = frame(spark, flow(8, 120)), str(tmp_path / "log")
+
+    def handle(partition, e):
+        with open(f"{out}-{partition}", "a") as f:
+            f.write(f"{e['symbol']} {e['iseq']} {e['ordinal']}\n")
+
+    src = str(tmp_path / "in")
+    c.coalesce(1).write.parquet(src)
+    match_stream(spark.readStream.schema(COMMANDS).parquet(src)).writeStream.option("checkpointLocation", str(tmp_path / "ck")).foreachBatch(callback_sink(handle, 3)).trigger(availableNow=True).start().awaitTermination()
+    from tidebook.functions import routing
+
+    want = {}
+    for r in routing.with_partition(matching.match(c), 3).orderBy("iseq", "ordinal").collect():
+        want.setdefault(r.partition, []).append(f"{r.symbol} {r.iseq} {r.ordinal}")
+    assert {p: open(f"{out}-{p}").read().splitlines() for p in want} == want
+
+
 def test_ledger_stream_equals_batch(spark, tmp_path):
     names = [x.split(" ", 1)[0] for x in ledger.CMDS.split(", ")]
     rows = [{"shard": n % 2, "lsn": n, "cmd": "deposit", "account": n % 3, "asset": 2, "amount": 100 + n, "external_id": n % 25} if n % 4 < 2 else {"shard": n % 2, "lsn": n, "cmd": "reserve", "account": n % 3, "symbol": 10, "side": "buy", "price": 7, "qty": 1 + n % 5} for n in range(80)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lines, money, routing
 from ..functions.tables import shared_dir
-from ..operators import flow, ledger, matching, ordering
+from ..operators import flow, ledger, matching, ordering, udtf
 from ..schemas import COMMANDS
 from ..sources import adapters as A
 from ..sources import corpus, journal, partition_map, snapshot
@@ -62,11 +62,26 @@ def journal_of_records(spark, d):
 def event_journal_of_records(spark, d):
     """Event journals in binary; iseq is not in them, so it is taken from the commands' numbers by (symbol, seq)."""
     folder, c = _folder(spark, "events"), A.commands(spark, d, A.PASSIVE)
-    journal.write(routing.with_partition(matching.match(c), PARTITIONS), folder, "evt", PARTITIONS, None, True).count()
+    recovery.run_journaled(c, folder, PARTITIONS, None, True)
     e = journal.read(spark, folder).filter("kind = 'evt' and place >= 0").select("symbol", "seq", "ev", "order_id", "leaves_qty", "reason")
     return e.join(ordering.number(c.select("symbol", "iseq"), ["symbol"], ["iseq"], "seq"), ["symbol", "seq"]).select("symbol", "iseq", "seq", "ev", "order_id", "leaves_qty", "reason")
 
 
+@register("journaled_run", ORACLES["passive_events"])
+def journaled_run(spark, d):
+    """Events of a run whose commands were journaled as lines first."""
+    e = recovery.run_journaled(A.commands(spark, d, A.PASSIVE), _folder(spark, "journaled"), PARTITIONS)
+    return e.select("symbol", "iseq", "seq", "ev", "order_id", "leaves_qty", "reason")
+
+
+@register("match_table_function", ORACLES["passive_events"])
+def match_table_function(spark, d):
+    """The same by SQL, matching being a table function."""
+    udtf.register(spark)
+    e = spark.sql("SELECT * FROM match_commands(TABLE(SELECT * FROM {c}) PARTITION BY symbol ORDER BY iseq)", c=A.commands(spark, d, A.PASSIVE))
+    return e.select("symbol", "iseq", "seq", "ev", "order_id", "leaves_qty", "reason")
+
+
 @register("recovered_from_journals", ORACLES["resting_orders"])
 def recovered_from_journals(spark, d):
     """A snapshot file at a cut, its journals' later segments, and the books that recovery makes of them."""

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lines, routing
+from ..functions.tables import stored
 from ..operators import matching
 from ..sources import journal, snapshot
 
@@ -21,6 +23,18 @@ def _refuse(problems: DataFrame) -> None:
         raise Corrupt("; ".join(f"{r[0]}: {r[1]}" for r in bad))
 
 
+def run_journaled(commands: DataFrame, folder: str, partitions: int, config: dict | None = None, binary: bool = False) -> DataFrame:
+    """Matching with its journals: the commands are written before they are applied, the events
+    after; both by partition. Returns the events."""
+    spark, line = commands.sparkSession, lines.command_line(True, True)
+    cmds = routing.with_partition(commands, partitions)
+    journal.write(cmds if binary else cmds.withColumn("line", line), folder, "cmd", partitions, config, binary).count()
+    again = journal.commands(journal.read(spark, folder))  # what is applied is what was written
+    events = stored(routing.with_partition(matching.match(again, config), partitions), "journaled-events")
+    journal.write(events if binary else events.withColumn("line", lines.event_line()), folder, "evt", partitions, config, binary).count()
+    return events.drop("partition")
+
+
 def recover(spark: SparkSession, folder: str, snapshot_file: str | None = None, cut: int = 0, mode: str = "strict", config: dict | None = None) -> DataFrame:
     """matching.STATE rows of a run from the snapshot (none: from nothing) over the commands after its cut."""
     rows = journal.read(spark, folder, mode)
