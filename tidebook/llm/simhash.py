@@ -186,8 +186,8 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", size=3) -
     return rows.join(by_fp, "fp").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of a text in similar_documents(): one, as MinHash bands find what it misses (a second
-#: one changed no group of any table it was tried on). Odd multipliers make their word hashes independent.
+#: Fingerprints of a text in similar_documents(): one, as MinHash bands find what it misses (on
+#: check_h a second one changed no group). Odd multipliers make their word hashes independent.
 VIEWS = 1
 #: Spanning forests of candidate links that a task sends on to be verified.
 FORESTS = 1
