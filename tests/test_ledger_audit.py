@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebook.functions import money
-from tidebook.operators import audit, flow, ledger, ordering, slices
+from tidebook.operators import audit, flow, ledger, ordering, replication, slices
 from tidebook.operators.ledger import FEE_ACCOUNT, MOST, Ledger
 from tidebook.plans.ledger_queries import DEFAULT_PPM, SYMBOLS, cmds, symbols_table
 
@@ -157,6 +157,13 @@ def test_order_and_money_audits_name_the_fault(spark):
     assert got == {("overfilled", "3"), ("closed twice", "4"), ("still open", "5"), ("released unfilled", "6"), ("never acknowledged", "99")}
 
 
+def test_logs_of_more_than_a_million_entries_are_compared(spark):
+    """Sums of this many digests pass the range of a long; a short log of another node differs in its second entry."""
+    whole = spark.range(1_300_000).selectExpr("0L as node", "id as idx", "1L as term", "'p' as payload")
+    short = spark.range(3).selectExpr("1L as node", "id as idx", "1L as term", "if(id = 1, 'other', 'p') as payload")
+    assert sorted(r.key for r in replication.log_matching(whole.unionByName(short)).collect()) == ["1/1", "2/1"]
+
+
 def test_replica_and_cursor_audits(spark):
     d = spark.createDataFrame([(0, 1, "a"), (1, 1, "a"), (2, 1, "b"), (0, 2, "a"), (1, 2, "b"), (2, 2, "c"), (0, 3, "a"), (1, 3, "b")], "node long, idx long, digest string")
     assert {(r.node, r.idx): r.halt for r in audit.divergence(d, 3).collect()} == {(0, 1): False, (1, 1): False, (2, 1): True, (0, 2): True, (1, 2): True, (2, 2): True, (0, 3): False, (1, 3): False}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import running_sum
+
 
 def _v(df: DataFrame, rule: str, *key) -> DataFrame:
     return df.select(F.lit(rule).alias("rule"), F.concat_ws("/", *key).alias("key"))
@@ -34,10 +36,10 @@ def applied_in_order(applied: DataFrame) -> DataFrame:
 
 def log_matching(logs: DataFrame) -> DataFrame:
     """logs: node, idx, term, payload. Entries of equal index and term have equal payloads, and so
-    have all entries before them: compared by a digest of the prefix, summed along each log."""
-    h = F.pmod(F.xxhash64("idx", "term", "payload"), F.lit(1 << 44))
-    upto = Window.partitionBy("node").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    p = logs.withColumn("prefix", F.sum(h).over(upto))
+    have all entries before them: compared by a digest of the prefix, summed along each log. Sums
+    are decimals: those of 64-bit numbers pass a long's range after a few entries."""
+    h = logs.withColumn("_h", F.xxhash64("idx", "term", "payload").cast("decimal(20,0)"))
+    p = running_sum(h, ["node"], ["idx"], "_h", "prefix")
     return _v(p.groupBy("idx", "term").agg(F.count_distinct("prefix").alias("n")).filter("n > 1"), "log matching", "idx", "term")
 
 
