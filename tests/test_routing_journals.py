@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidebook.functions import digest, lines, routing
 from tidebook.operators import matching
 from tidebook.plans import recovery
+from tidebook.schemas import BOOK_CONFIG
 from tidebook.sources import config, journal, snapshot
 
 from .test_matching import flow, frame
@@ -100,6 +101,24 @@ def test_binary_middle_damage_and_version_one(spark):
     assert problem is None and [r["order_id"] for r in got] == [1, 2, 3, 4, 5] and head["index"] == "tree"
 
 
+@pytest.mark.parametrize("name", ["cmd-0.bin", "cmd-0.journal"])
+def test_a_journal_is_read_a_part_at_a_time(monkeypatch, name):
+    import pyarrow as pa
+
+    monkeypatch.setattr(journal, "PART", 600)
+    rows = [{"iseq": i, "symbol": 1, "cmd": "cancel", "order_id": i} for i in range(1, 301)]
+    line = lambda i: b'{"cmd":"cancel","symbol":1,"order_id":%d,"iseq":%d}\n' % (i, i)
+    data = journal.encode("cmd", rows, 0, 1, BOOK_CONFIG) if name.endswith("bin") else (journal.header_line("cmd", 0, 1) + "\n").encode() + b"".join(line(i) for i in range(1, 301))
+    r = journal.Reading(name, pa.BufferReader(data), False)
+    some = r.rows()
+    assert next(some)["order_id"] == 1 and r.file.tell() <= 1200 < len(data)
+    assert [x["order_id"] for x in some] == list(range(2, 301)) and r.problem is None and r.header["partition"] == 0
+    # torn, then zeros over more than a part: all of it is cut, and nothing but it
+    for tail in (b"{" * 1500,) if name.endswith("journal") else (b"\0" * 1500, b"\0" * 1499):
+        _, got, problem, cut = journal.decode(name, data + tail, True)
+        assert problem is None and len(got) == 300 and cut == len(tail)
+
+
 def test_snapshot_round_trip_and_validation(spark, tmp_path):
     c = frame(spark, flow(9, 500))
     s = matching.match_with_state(c)

@@ -1,9 +1,9 @@
 """Command and event journals, as JSON lines or fixed binary records.
 
-A directory holds `{kind}-{partition}[.{start}].{ext}` files. Spark reads them as whole
-files, one row each, so any store that Spark reads will do; decoding runs on the executors,
-a task per file, vectorised over fixed-width records. Strict mode refuses any damage; repair
-mode cuts what a crash can leave at the end of a journal's last segment, and only that.
+A directory holds `{kind}-{partition}[.{start}].{ext}` files. Spark lists them, and any store that
+Spark reads will do; decoding runs on the executors, a task per file, in parts of bounded size.
+Strict mode refuses any damage; repair mode cuts what a crash can leave at the end of a journal's
+last segment, and only that.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import json
 import os
 import re
 import struct
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import as_uri
-from ..operators.fold import batch_of
+from ..operators.fold import OUT, batch_of, rows_of
 from ..schemas import BOOK_CONFIG, CLOSE_REASONS, CMD_CODES, EV_CODES, OTYPE_CODES, REJECT_REASONS, SIDE_CODES, TIF_CODES
 
 NAME = re.compile(r"(cmd|evt)-(\d+)(?:\.(\d+))?\.(journal|bin)$")
@@ -32,6 +33,8 @@ MAGIC, HEADER = b"ORDJ", struct.Struct("<4sHBBIIIIqqQ16x")  # fixed layout
 _CMD = np.dtype([("iseq", "<u8"), ("symbol", "<u4"), ("cmd", "u1"), ("side", "u1"), ("otype", "u1"), ("tif", "u1"), ("order_id", "<u8"), ("price", "<i8"), ("qty", "<u8")])
 _EVT = np.dtype([("seq", "<u8"), ("symbol", "<u4"), ("ev", "u1"), ("reason", "u1"), ("pad", "<u2"), ("a", "<u8"), ("b", "<u8"), ("c", "<i8"), ("d", "<u8")])
 _DTYPES = {"cmd": _CMD, "evt": _EVT}
+#: Bytes of a file that are read at a time.
+PART = 1 << 22
 _REASON_BASE = {2: REJECT_REASONS, 4: CLOSE_REASONS}
 # Binary codes of reject reasons are those of the documented record, 1-based.
 
@@ -55,40 +58,40 @@ def crc32c(rows: np.ndarray) -> np.ndarray:
     return crc ^ np.uint32(0xFFFFFFFF)
 
 
-def _token(codes: dict, n: int):
-    return next((k for k, v in codes.items() if v == n), None)
+_CMDS, _SIDES, _OTYPES, _TIFS, _EVS = ({n: k for k, n in codes.items()} for codes in (CMD_CODES, SIDE_CODES, OTYPE_CODES, TIF_CODES, EV_CODES))
 
 
-def _signed(x):
-    x = int(x)
+def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _binary_row(kind: str, r) -> dict:
+def _binary_row(kind: str, r: dict) -> dict:
     if kind == "cmd":
-        cmd = _token(CMD_CODES, r["cmd"])
+        cmd = _CMDS.get(r["cmd"])
         new, sized = cmd == "new", cmd in ("new", "replace")
-        return {"iseq": _signed(r["iseq"]), "symbol": int(r["symbol"]), "cmd": cmd, "order_id": _signed(r["order_id"]),
-                "side": _token(SIDE_CODES, r["side"]) if new else None, "otype": _token(OTYPE_CODES, r["otype"]) if new else None, "tif": _token(TIF_CODES, r["tif"]) if new else None,
-                "price": int(r["price"]) if sized else None, "qty": _signed(r["qty"]) if sized else None}
-    ev, out = _token(EV_CODES, r["ev"]), {"seq": _signed(r["seq"]), "symbol": int(r["symbol"])}
+        return {"iseq": _signed(r["iseq"]), "symbol": r["symbol"], "cmd": cmd, "order_id": _signed(r["order_id"]),
+                "side": _SIDES.get(r["side"]) if new else None, "otype": _OTYPES.get(r["otype"]) if new else None, "tif": _TIFS.get(r["tif"]) if new else None,
+                "price": r["price"] if sized else None, "qty": _signed(r["qty"]) if sized else None}
+    ev, out = _EVS.get(r["ev"]), {"seq": _signed(r["seq"]), "symbol": r["symbol"]}
     out["ev"] = ev
     if ev == "trade":
-        return out | {"maker": _signed(r["a"]), "taker": _signed(r["b"]), "price": int(r["c"]), "qty": _signed(r["d"])}
+        return out | {"maker": _signed(r["a"]), "taker": _signed(r["b"]), "price": r["c"], "qty": _signed(r["d"])}
     out["order_id"] = _signed(r["a"])
     if ev == "accepted":
         out["leaves_qty"] = _signed(r["d"])
     elif ev == "replaced":
-        out |= {"price": int(r["c"]), "qty": _signed(r["d"])}
+        out |= {"price": r["c"], "qty": _signed(r["d"])}
     else:
         out["reason"] = _REASON_BASE[EV_CODES[ev]][r["reason"] - 1]
     return out
 
 
-def encode(kind: str, rows: list[dict], partition: int, partitions: int, config: dict, version: int = 2) -> bytes:
-    """A binary journal file."""
+def _binary_head(kind: str, partition: int, partitions: int, config: dict, version: int = 2) -> bytes:
+    return HEADER.pack(MAGIC, version, 1 if kind == "cmd" else 2, int(config["index"] == "tree"), partition, partitions, _DTYPES[kind].itemsize + 8 * (version == 2), 0, config["pmin"], config["pmax"], config["max_orders"])
+
+
+def _binary_body(kind: str, rows: list[dict], version: int = 2) -> bytes:
     dt, extra = _DTYPES[kind], 8 if version == 2 else 0
-    head = HEADER.pack(MAGIC, version, 1 if kind == "cmd" else 2, int(config["index"] == "tree"), partition, partitions, dt.itemsize + extra, 0, config["pmin"], config["pmax"], config["max_orders"])
     out = np.zeros(len(rows), dt)
     u = lambda x: (x or 0) % (1 << 64)
     for o, r in zip(out, rows):
@@ -109,96 +112,188 @@ def encode(kind: str, rows: list[dict], partition: int, partitions: int, config:
         tail = np.zeros((len(rows), 8), np.uint8)
         tail[:, :4] = crc32c(body).astype("<u4").view(np.uint8).reshape(-1, 4)
         body = np.hstack([body, tail])
-    return head + body.tobytes()
+    return body.tobytes()
+
+
+def encode(kind: str, rows: list[dict], partition: int, partitions: int, config: dict, version: int = 2) -> bytes:
+    """A binary journal file."""
+    return _binary_head(kind, partition, partitions, config, version) + _binary_body(kind, rows, version)
 
 
 def decode(name: str, data: bytes, repair: bool) -> tuple[dict | None, list[dict], str | None, int]:
     """Header, rows, problem (strict damage) and bytes that repair cuts off the end."""
-    kind, partition, _, ext = NAME.search(name).groups()
-    return (_decode_binary if ext == "bin" else _decode_lines)(kind, int(partition), data, repair)
-
-
-def _decode_lines(kind, partition, data, repair):
-    cut = 0
-    if data and not data.endswith(b"\n"):
-        if not repair:
-            return None, [], "torn last line", 0
-        keep = data.rfind(b"\n") + 1
-        cut, data = len(data) - keep, data[:keep]
-    if not data:
-        return None, [], "no header", cut
-    rows = []
+    r = Reading(name, pa.BufferReader(data), repair)
+    rows = list(r.rows())
+    return r.header, rows, r.problem, r.cut
+
+
+class Reading:
+    """A journal file (one that can be read at any place) whose records are read a part at a time.
+    header, problem (strict damage) and cut (bytes that repair drops off the end) are known once
+    rows() has ended."""
+
+    def __init__(self, name: str, file, repair: bool):
+        self.kind, partition, _, self.ext = NAME.search(name).groups()
+        self.partition, self.file, self.repair, self.size = int(partition), file, repair, file.size()
+        self.header, self.problem, self.cut = None, None, 0
+
+    def rows(self):
+        yield from self._of_binary() if self.ext == "bin" else self._of_lines()
+
+    def _at(self, start: int, n: int) -> bytes:
+        self.file.seek(start)
+        return self.file.read(n)
+
+    def _ordered(self, rows):
+        """The rows, and a problem if a command's iseq is not above the one before."""
+        before = None
+        for r in rows:
+            if self.kind == "cmd" and before is not None and r["iseq"] <= before:
+                self.problem = "iseq order"
+            before = r.get("iseq")
+            yield r
+
+    # --- lines ---
+
+    def _split(self, size: int):
+        rest = b""
+        for at in range(0, size, PART):
+            *whole, rest = (rest + self._at(at, min(PART, size - at))).split(b"\n")
+            yield from whole
+
+    def _of_lines(self):
+        size = self.size
+        if size and self._at(size - 1, 1) != b"\n":
+            if not self.repair:
+                self.problem = "torn last line"
+                return
+            while size and (found := self._at(max(0, size - PART), min(PART, size)).rfind(b"\n")) < 0:
+                size = max(0, size - PART)
+            size = max(0, size - PART) + found + 1 if size else 0
+            self.cut = self.size - size
+        if not size:
+            self.problem = "no header"
+            return
+        lines, self.damage = self._split(size), None
+        try:
+            header = json.loads(next(lines).decode())
+        except ValueError:
+            self.problem = "record 0"
+            return
+        sound = header.get("kind") == self.kind and header.get("partition") == self.partition and str(header.get("format", "")).endswith("-journal/1")
+        for r in self._ordered(self._parsed(lines)):
+            if sound:
+                yield r
+        self.header = None if self.damage == "json" else header
+        self.problem = f"record {self.parsed}" if self.damage else "header" if not sound else self.problem
+
+    def _parsed(self, lines):
+        needs = {"cmd", "iseq", "order_id"} if self.kind == "cmd" else {"seq", "ev"}
+        self.parsed = 0
+        for line in lines:
+            try:
+                r = json.loads(line.decode())
+            except ValueError:
+                self.damage = "json"
+                return
+            if not needs <= set(r):
+                self.damage = "fields"
+                return
+            yield r
+            self.parsed += 1
+
+    # --- fixed records ---
+
+    def _of_binary(self):
+        data = self._at(0, HEADER.size)
+        if len(data) < HEADER.size or data[:4] != MAGIC:
+            self.problem = "header" if any(any(self._at(at, PART)) for at in range(HEADER.size, self.size, PART)) else "no header"
+            return
+        _, version, k, index, p, parts, size, _, pmin, pmax, most = HEADER.unpack(data)
+        dt = _DTYPES[self.kind]
+        self.header = {"kind": self.kind, "partition": p, "partitions": parts, "pmin": pmin, "pmax": pmax, "max_orders": most, "index": "tree" if index else "ladder"}
+        if version not in (1, 2) or k != (1 if self.kind == "cmd" else 2) or p != self.partition or size != dt.itemsize + (8 if version == 2 else 0):
+            self.problem = "header"
+            return
+        n, torn = divmod(self.size - HEADER.size, size)
+        if torn:
+            if not self.repair:
+                self.problem = "torn record"
+                return
+            self.cut = torn
+        each = max(1, PART // size)
+        part = lambda at, n: np.frombuffer(self._at(HEADER.size + at * size, min(each, n - at) * size), np.uint8).reshape(-1, size)
+        while self.repair and n:  # records of zeros at the end
+            begin = max(0, n - each)
+            full = np.flatnonzero(part(begin, n).any(axis=1))
+            keep = begin + int(full[-1]) + 1 if len(full) else begin
+            self.cut, n = self.cut + (n - keep) * size, keep
+            if len(full):
+                break
+        if version == 2:
+            good_at = lambda rows: crc32c(rows[:, : dt.itemsize]) == np.ascontiguousarray(rows[:, dt.itemsize : dt.itemsize + 4]).view("<u4")[:, 0]
+            if self.repair and n and not good_at(part(n - 1, n))[0]:
+                n, self.cut = n - 1, self.cut + size
+            for at in range(0, n, each):  # all sums before the first record is given out
+                good = good_at(part(at, n))
+                if not good.all():
+                    self.problem = f"checksum of record {at + int(np.argmin(good))}"
+                    return
+        records = (r for at in range(0, n, each) for r in np.ascontiguousarray(part(at, n)[:, : dt.itemsize]).view(dt)[:, 0].tolist())
+        yield from self._ordered(_binary_row(self.kind, dict(zip(dt.names, r))) for r in records)
+
+
+def _opened(path: str):
+    """A file of the store, to be read at any place."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
+def _opens(folder: str) -> bool:
+    """Whether pyarrow's file systems have the folder's store."""
+    from pyarrow import fs
+
     try:
-        first, *rest = data.decode().split("\n")[:-1]
-        header = json.loads(first)
-        for n, line in enumerate(rest):
-            r = json.loads(line)
-            if (kind == "cmd" and not {"cmd", "iseq", "order_id"} <= set(r)) or (kind == "evt" and not {"seq", "ev"} <= set(r)):
-                return header, rows, f"record {n}", cut
-            rows.append(r)
-    except ValueError:
-        return None, rows, f"record {len(rows)}", cut
-    if header.get("kind") != kind or header.get("partition") != partition or not str(header.get("format", "")).endswith("-journal/1"):
-        return header, [], "header", cut
-    return header, rows, _order_problem(kind, rows), cut
-
-
-def _decode_binary(kind, partition, data, repair):
-    if len(data) < HEADER.size or data[:4] != MAGIC:
-        return None, [], "no header" if not any(data[HEADER.size :]) else "header", 0
-    _, version, k, index, p, parts, size, _, pmin, pmax, most = HEADER.unpack(data[: HEADER.size])
-    dt = _DTYPES[kind]
-    header = {"kind": kind, "partition": p, "partitions": parts, "pmin": pmin, "pmax": pmax, "max_orders": most, "index": "tree" if index else "ladder"}
-    if version not in (1, 2) or k != (1 if kind == "cmd" else 2) or p != partition or size != dt.itemsize + (8 if version == 2 else 0):
-        return header, [], "header", 0
-    body, cut = data[HEADER.size :], 0
-    if len(body) % size:
-        if not repair:
-            return header, [], "torn record", 0
-        cut = len(body) % size
-        body = body[: len(body) - cut]
-    rows = np.frombuffer(body, np.uint8).reshape(-1, size)
-    if repair:
-        while len(rows) and not rows[-1].any():
-            rows, cut = rows[:-1], cut + size
-    if version == 2 and len(rows):
-        good = crc32c(rows[:, : dt.itemsize]) == np.ascontiguousarray(rows[:, dt.itemsize : dt.itemsize + 4]).view("<u4")[:, 0]
-        if repair and not good[-1]:
-            rows, good, cut = rows[:-1], good[:-1], cut + size
-        if not good.all():
-            return header, [], f"checksum of record {int(np.argmin(good))}", cut
-    out = [_binary_row(kind, r) for r in np.ascontiguousarray(rows[:, : dt.itemsize]).view(dt)[:, 0]] if len(rows) else []
-    return header, out, _order_problem(kind, out), cut
-
-
-def _order_problem(kind, rows):
-    if kind == "cmd" and any(b["iseq"] <= a["iseq"] for a, b in zip(rows, rows[1:])):
-        return "iseq order"
-    return None
+        fs.FileSystem.from_uri(as_uri(folder))
+    except (pa.ArrowException, OSError):
+        return False
+    return True
 
 
 def read(spark: SparkSession, folder: str, mode: str = "strict") -> DataFrame:
     """ROWS of every journal file: its records in order, or one row with `problem`.
 
     In repair mode each file's end is cut as the last segment's may be; last_segments() tells
-    which files that is lawful for, and checked() refuses the others."""
+    which files that is lawful for, and checked() refuses the others. A task reads a file a part
+    at a time; only from a store that pyarrow doesn't know it is sent whole."""
     repair = mode == "repair"
+    columns = ["path"] if _opens(folder) else ["path", "content"]
+
+    def records(path, content):
+        name = os.path.basename(path)
+        m = NAME.search(name)
+        base = {"file": name, "kind": m[1], "partition": int(m[2]), "start": int(m[3] or 0)}
+        with _opened(path) if content is None else pa.BufferReader(content.as_buffer()) as file:
+            r = Reading(name, file, repair)
+            for n, row in enumerate(r.rows()):
+                yield base | {"place": n} | row
+            head = json.dumps({k: r.header[k] for k in ("partitions", "pmin", "pmax", "max_orders", "index") if k in r.header}, sort_keys=True) if r.header else None
+            yield base | {"place": -1, "problem": r.problem, "header": head, "qty": r.cut}
 
     def run(batches):
         for b in batches:
-            for path, data in zip(b.column(0).to_pylist(), b.column(1)):
-                name = os.path.basename(path)
-                m = NAME.search(name)
-                if not m:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1) if b.num_columns > 1 else [None] * b.num_rows):
+                if not NAME.search(os.path.basename(path)):
                     continue
-                base = {"file": name, "kind": m[1], "partition": int(m[2]), "start": int(m[3] or 0)}
-                header, rows, problem, cut = decode(name, data.as_py(), repair)
-                head = json.dumps({k: header[k] for k in ("partitions", "pmin", "pmax", "max_orders", "index") if k in header}, sort_keys=True) if header else None
-                out = [base | {"place": -1, "problem": problem, "header": head, "qty": cut}] + [base | {"place": n} | r for n, r in enumerate(rows)]
-                for k in range(0, len(out), 8192):
-                    yield batch_of([tuple(r.get(f) for f in FIELDS) for r in out[k : k + 8192]], ROWS)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*-*.{journal,bin}").load(folder).select("path", "content")
+                rows = records(path, content)
+                while part := [tuple(r.get(f) for f in FIELDS) for r in islice(rows, OUT)]:
+                    yield batch_of(part, ROWS)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*-*.{journal,bin}").load(folder).select(*columns)
     return files.mapInArrow(run, ROWS)
 
 
@@ -257,10 +352,6 @@ def write(rows: DataFrame, folder: str, kind: str, partitions: int, config: dict
     c = BOOK_CONFIG | (config or {})
 
     def run(batches):
-        from itertools import groupby
-
-        from ..operators.fold import rows_of
-
         system, path = fs.FileSystem.from_uri(as_uri(folder))
         system.create_dir(path, recursive=True)
         out = []
@@ -268,15 +359,10 @@ def write(rows: DataFrame, folder: str, kind: str, partitions: int, config: dict
             name = f"{kind}-{p}" + (f".{start}" if start else "") + (".bin" if binary else ".journal")
             with system.open_output_stream(f"{path}/.{name}", compression=None) as f:
                 n = 0
-                if binary:
-                    held = list(group)
-                    f.write(encode(kind, held, p, partitions, c))
-                    n = len(held)
-                else:
-                    f.write((header_line(kind, p, partitions, c, prefix) + "\n").encode())
-                    for r in group:
-                        f.write((r["line"] + "\n").encode())
-                        n += 1
+                f.write(_binary_head(kind, p, partitions, c) if binary else (header_line(kind, p, partitions, c, prefix) + "\n").encode())
+                while part := list(islice(group, OUT)):
+                    f.write(_binary_body(kind, part) if binary else "".join(r["line"] + "\n" for r in part).encode())
+                    n += len(part)
             system.move(f"{path}/.{name}", f"{path}/{name}")
             out.append((name, n))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], names=["file", "records"])
