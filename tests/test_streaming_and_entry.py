@@ -133,7 +133,7 @@ def wide(spark, tmp_path_factory):
     return folder
 
 
-WIDE = ["book_at_cut_passive", "book_counts", "book_depth", "book_levels", "event_listing", "level_total", "merged_events", "passive_events", "resting_orders", "snapshot_file_passive"]
+WIDE = ["command_file_events", "event_journal_of_records", "match_table_function", "passive_events_streamed", "snapshot_round_trip", "book_at_cut_passive", "book_counts", "book_depth", "book_levels", "event_listing", "level_total", "merged_events", "passive_events", "resting_orders", "snapshot_file_passive"]
 
 
 @pytest.mark.parametrize("name", WIDE)

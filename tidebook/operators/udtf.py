@@ -10,10 +10,12 @@ from .book import Book
 
 
 class MatchCommands:
-    """One instance, and so one book with the default configuration, for each symbol."""
+    """One instance, and so one book, for each symbol."""
+
+    config: dict = {}
 
     def __init__(self):
-        self.book = Book()
+        self.book = Book(**self.config)
 
     def eval(self, row: Row):
         c = row.asDict()
@@ -21,5 +23,7 @@ class MatchCommands:
             yield (c["symbol"], c["iseq"], i, *event)
 
 
-def register(spark: SparkSession, name: str = "match_commands") -> None:
-    spark.udtf.register(name, udtf(MatchCommands, returnType=EVENTS))
+def register(spark: SparkSession, name: str = "match_commands", config: dict | None = None) -> None:
+    """Registers the function for books of one configuration (none: the default one)."""
+    made = type("MatchCommands", (MatchCommands,), {"config": config or {}})
+    spark.udtf.register(name, udtf(made, returnType=EVENTS))

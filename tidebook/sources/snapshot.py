@@ -4,34 +4,26 @@ from __future__ import annotations
 
 import json
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LINES = "file string, place long, line string"
+from ..functions.numbering import number, running
+
 _REC = "rec string, symbol long, seq long, order_id long, side string, otype string, tif string, price long, qty long"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, place, line: a file's lines numbered from 0."""
-
-    def run(batches):
-        for b in batches:
-            for path, data in zip(b.column(0).to_pylist(), b.column(1)):
-                rows = data.as_py().decode().split("\n")
-                rows = rows[:-1] if rows[-1] == "" else rows
-                for k in range(0, len(rows), 8192):
-                    part = rows[k : k + 8192]
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array(range(k, k + len(part)), pa.int64()), pa.array(part)], names=["file", "place", "line"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, LINES)
+    """file, place, line: a file's lines numbered from 0, however many parts Spark reads it in. Bytes
+    that are no UTF-8 are an error."""
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_n"), F.expr("validate_utf8(value)").alias("line"))
+    return number(rows, ["file"], ["_at", "_n"], "_k").select("file", (F.col("_k") - 1).alias("place"), "line")
 
 
 def parse(rows: DataFrame) -> DataFrame:
     """Records with the symbol of their book block: place, rec, symbol, seq, order fields, block."""
     p = rows.filter("place > 0").select("file", "place", F.from_json("line", _REC).alias("r")).select("file", "place", "r.*")
-    w = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return p.withColumn("block", F.last(F.when(F.col("rec") == "book", F.coalesce("symbol", F.lit(0))), True).over(w))
+    book = F.when(F.col("rec") == "book", F.struct("place", F.coalesce("symbol", F.lit(0).cast("long")).alias("symbol")))
+    return running(p.withColumn("_book", book), ["file"], ["place"], "_book", "_last", "max").withColumn("block", F.col("_last.symbol")).drop("_book", "_last")
 
 
 def books(parsed: DataFrame) -> DataFrame:
