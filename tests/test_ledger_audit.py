@@ -196,7 +196,7 @@ def test_intake_and_spans(spark):
 
 
 def test_lending_to_many_accounts_takes_time_in_proportion():
-    """Sums over groups are kept, not made anew from all that is lent: 40,000 loans took minutes."""
+    """Sums over groups are kept, not made anew from all that is lent."""
     import pickle
     import time
 

@@ -371,6 +371,19 @@ def test_event_store_reports_gaps_and_adds_nothing_twice(spark, tmp_path):
     assert sorted(map(tuple, event_store.window(spark, folder).collect())) == [(1, 12, 20), (2, 1, 2)]
 
 
+def test_a_segment_of_the_event_store_is_one_file(spark, tmp_path):
+    from tidebook.sources import event_store
+
+    folder, one = f"file://{tmp_path}/store", "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(one, "false")  # tables of more than one partition stay so
+    try:
+        event_store.append(spark, folder, spark.range(400).selectExpr("id % 2 as source", "1 + id div 2 as idx"), 50)
+    finally:
+        spark.conf.unset(one)
+    files = [str(f.parent.relative_to(tmp_path / "store")) for f in (tmp_path / "store").glob("*/*/part-*.parquet")]
+    assert sorted(files) == sorted(f"source={s}/segment={k}" for s in (0, 1) for k in range(5))
+
+
 def test_the_credit_loop_counts_grants_on_their_way(spark):
     """A grant that a group has not taken in yet is its credit: the pair is not lent to again."""
     long = lambda rows, ddl: spark.createDataFrame(rows, ddl)

@@ -43,7 +43,8 @@ def append(spark: SparkSession, folder: str, events: DataFrame, segment: int = S
     gaps = stored(ends.filter("first <> next or last - first + 1 <> n").select("source", "first", "next"), "store-gaps")
     good = fresh.join(gaps.select("source"), "source", "left_anti")
     columns = [c for c in events.columns if c not in ("base",)]
-    good.select(*columns, F.expr(f"idx div {segment}").alias("segment")).write.partitionBy("source", "segment").mode("append").parquet(folder)
+    # a segment is written by one task: dealt otherwise, each would be a file in every task
+    good.select(*columns, F.expr(f"idx div {segment}").alias("segment")).repartition("source", "segment").write.partitionBy("source", "segment").mode("append").parquet(folder)
     return gaps
 
 
